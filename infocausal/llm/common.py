@@ -1,46 +1,21 @@
-"""What the operators of this subpackage share: table reading, shared scratch tables, column helpers."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCRATCH = "spark.checkpoint.dir"
+from infocausal.scratch import materialize, n_tasks, scratch_dir
+
+__all__ = ["let", "materialize", "n_tasks", "scratch_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what spark.checkpoint.dir names.
-
-    Where nothing is set (tests on one machine), a folder of this session is made once.
-    """
-    shared = spark.conf.get(SCRATCH, None) or spark.sparkContext.getConf().get(SCRATCH)
-    if shared:
-        return shared.rstrip("/")
-    own = getattr(scratch_dir, "_own", None)
-    if own is None:
-        own = scratch_dir._own = tempfile.mkdtemp(prefix="infocausal-")
-    return f"file://{own}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder, read back.
-
-    The files outlive lost executors, carry statistics for the planner and allow column pruning.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate `value` once per row and use it any number of times in `body`.
 
@@ -48,7 +23,3 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     into a lambda and evaluate it per element.
     """
     return F.transform(F.array(value), body).getItem(0)
-
-
-def n_tasks(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
