@@ -2,17 +2,53 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infocausal.llm import op2_redirects, op5_jump_shards, op9_host_rules, op10_chat_format
-from infocausal.llm.common import table
+from infocausal.llm import (
+    op2_redirects,
+    op3_pair_index_bpe,
+    op4_token_files,
+    op5_jump_shards,
+    op9_host_rules,
+    op10_chat_format,
+)
+from infocausal.llm.common import scratch_dir, table
 
 
 def op2_redirects_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_redirects.judge(table(spark, sf_dir, "pages"))
 
 
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of the pair-index BPE."""
+    coded = op3_pair_index_bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op3_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+def op4_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    op4_token_files.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return op4_token_files.read_tokens(spark, folder).select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 def op5_jump_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_jump_shards.assign(table(spark, sf_dir, "documents"))
 
@@ -32,6 +68,8 @@ def op10_chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_redirect_filter": op2_redirects_query,
+    "op3_pair_index_bpe": op3_bpe_query,
+    "op4_token_files": op4_token_files_query,
     "op5_jump_shards": op5_jump_query,
     "op9_host_rules": op9_host_rules_query,
     "op10_chat_format": op10_chat_query,
