@@ -27,10 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces kept per Python worker; the table starts anew when it is full.
-CACHED_PIECES = 1_000_000
+#: Pieces and words kept per Python worker. A full table keeps its short entries, as those come most.
+CACHED_PIECES, CACHED_WORDS, SHORT = 600_000, 300_000, 7
 #: Characters of text that are looked at for new pieces at a time.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -64,13 +64,13 @@ class PairIndexBPE:
         self.words = regex.compile(split["pattern"]["Regex"])
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.kept: dict[str, bytes] = {}
-        self.kept_words: dict[str, list[int]] = {}
+        self.kept_words: dict[str, bytes] = {}
 
     def normalize(self, text: str) -> str:
         # Lower case letter by letter: a final sigma is no exception.
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word; all words share one index."""
         raw = [w.encode() for w in words]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -120,7 +120,9 @@ class PairIndexBPE:
                         heapq.heappush(heap, new)
         done = np.array(sym, np.int64)
         left = done != -1
-        return [x.tolist() for x in np.split(done[left], np.cumsum(np.add.reduceat(left, ends - size))[:-1])]
+        flat_ids = done[left].astype("<i4").tobytes()
+        stops = (4 * np.cumsum(np.add.reduceat(left, ends - size, dtype=np.int64))).tolist()
+        return [flat_ids[i:j] for i, j in zip([0, *stops], stops, strict=False)]
 
     def _words(self, normal: str) -> list[str]:
         if normal.isalpha():
@@ -145,21 +147,17 @@ class PairIndexBPE:
             joined = " ".join(plain)
         for x, normal in zip(plain, self.normalize(joined).split(" "), strict=False):
             found[x] = self._words(normal)
-        known = self.kept_words
-        if len(known) > CACHED_PIECES:
-            known.clear()
+        self.kept_words = known = trimmed(self.kept_words, CACHED_WORDS)
         new = list({w for ws in found.values() for w in ws if isinstance(w, str)} - known.keys())
         if new:
             known.update(zip(new, self.encode_words(new), strict=True))
         for x, ws in found.items():
-            flat = known[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else [i for w in ws for i in ([w] if isinstance(w, int) else known[w])]
-            self.kept[x] = pack(f"<{len(flat)}i", *flat)
+            self.kept[x] = b"".join([pack("<i", w) if isinstance(w, int) else known[w] for w in ws])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts, as little-endian 32-bit integers."""
         split = [t.split(" ") for t in texts]
-        if len(self.kept) > CACHED_PIECES:
-            self.kept.clear()
+        self.kept = trimmed(self.kept, CACHED_PIECES)
         new = set().union(*split) - self.kept.keys()
         if new:
             self.learn(new)
@@ -169,6 +167,13 @@ class PairIndexBPE:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
+def trimmed(table: dict[str, bytes], most: int) -> dict[str, bytes]:
+    if len(table) <= most:
+        return table
+    short = {k: v for k, v in table.items() if len(k) <= SHORT}
+    return short if len(short) <= most // 2 else {}
+
+
 @lru_cache(maxsize=2)
 def _model(source: str) -> PairIndexBPE:
     return PairIndexBPE(source)

@@ -42,8 +42,9 @@ DICTIONARY_BYTES = 112_640
 LEVEL = 3
 #: Bytes of ids in a block, before compression; a longer document is a block of its own.
 BLOCK_BYTES = 4_000_000
-CACHED_PIECES = 1_000_000
-CHUNK_CHARS = 4_000_000
+#: Pieces kept per Python worker. A full table keeps its short entries, as those come most.
+CACHED_PIECES, SHORT = 400_000, 7
+CHUNK_CHARS = 1_000_000
 _BLOCKS = (
     "part int, seq int, dict_hash string, first_doc long, last_doc long, n_ids long, "
     "doc_ids array<long>, n_tokens array<long>, offsets array<long>, data binary"
@@ -80,7 +81,8 @@ class CachedTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces(t) for t in texts]
         if len(self.kept) > CACHED_PIECES:
-            self.kept.clear()
+            short = {k: v for k, v in self.kept.items() if len(k) <= SHORT}
+            self.kept = short if len(short) <= CACHED_PIECES // 2 else {}
         new = list(set().union(*split) - self.kept.keys())
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]

@@ -9,16 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from infocausal.llm import (
+    op1_icws_neardup,
     op2_redirects,
     op3_pair_index_bpe,
     op4_token_files,
     op5_jump_shards,
+    op6_ecoc_langid,
     op9_host_rules,
     op10_chat_format,
 )
 from infocausal.llm.common import scratch_dir, table
 
 
+def op1_neardup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_icws_neardup.near_classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op2_redirects_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_redirects.judge(table(spark, sf_dir, "pages"))
 
@@ -53,6 +59,13 @@ def op5_jump_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_jump_shards.assign(table(spark, sf_dir, "documents"))
 
 
+def op6_language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = op6_ecoc_langid.learn(docs.filter(~held_out))
+    return op6_ecoc_langid.predict(docs, model, keep=(F.col("doc_id"), held_out.alias("held_out")))
+
+
 def op9_host_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = op9_host_rules.host_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("_row.doc_id", "_q.*", "kept")
@@ -67,10 +80,12 @@ def op10_chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_icws_neardup": op1_neardup_query,
     "op2_redirect_filter": op2_redirects_query,
     "op3_pair_index_bpe": op3_bpe_query,
     "op4_token_files": op4_token_files_query,
     "op5_jump_shards": op5_jump_query,
+    "op6_ecoc_language": op6_language_query,
     "op9_host_rules": op9_host_rules_query,
     "op10_chat_format": op10_chat_query,
 }
