@@ -27,8 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces and words kept per Python worker. A full table keeps its short entries, as those come most.
-CACHED_PIECES, CACHED_WORDS, SHORT = 600_000, 300_000, 7
+from infocausal.llm.pieces import PieceTable
+
+#: Pieces and words kept per Python worker.
+CACHED_PIECES, CACHED_WORDS = 500_000, 200_000
 #: Characters of text that are looked at for new pieces at a time.
 CHUNK_CHARS = 1_000_000
 
@@ -63,8 +65,7 @@ class PairIndexBPE:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.kept: dict[str, bytes] = {}
-        self.kept_words: dict[str, bytes] = {}
+        self.pieces, self.known = PieceTable(CACHED_PIECES), PieceTable(CACHED_WORDS)
 
     def normalize(self, text: str) -> str:
         # Lower case letter by letter: a final sigma is no exception.
@@ -147,33 +148,25 @@ class PairIndexBPE:
             joined = " ".join(plain)
         for x, normal in zip(plain, self.normalize(joined).split(" "), strict=False):
             found[x] = self._words(normal)
-        self.kept_words = known = trimmed(self.kept_words, CACHED_WORDS)
-        new = list({w for ws in found.values() for w in ws if isinstance(w, str)} - known.keys())
+        new = list(self.known.unknown({w for ws in found.values() for w in ws if isinstance(w, str)}))
+        known = self.known.kept
         if new:
             known.update(zip(new, self.encode_words(new), strict=True))
         for x, ws in found.items():
-            self.kept[x] = b"".join([pack("<i", w) if isinstance(w, int) else known[w] for w in ws])
+            self.pieces.kept[x] = b"".join([pack("<i", w) if isinstance(w, int) else known[w] for w in ws])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts, as little-endian 32-bit integers."""
         split = [t.split(" ") for t in texts]
-        self.kept = trimmed(self.kept, CACHED_PIECES)
-        new = set().union(*split) - self.kept.keys()
+        new = self.pieces.unknown(set().union(*split))
         if new:
             self.learn(new)
-        return [b"".join(map(self.kept.__getitem__, s)) for s in split]
+        return [b"".join(map(self.pieces.kept.__getitem__, s)) for s in split]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-def trimmed(table: dict[str, bytes], most: int) -> dict[str, bytes]:
-    if len(table) <= most:
-        return table
-    short = {k: v for k, v in table.items() if len(k) <= SHORT}
-    return short if len(short) <= most // 2 else {}
-
-
 @lru_cache(maxsize=2)
 def _model(source: str) -> PairIndexBPE:
     return PairIndexBPE(source)

@@ -4,7 +4,8 @@ Layout under a folder:
 
 - `dictionary`: one row (dict_hash, dictionary, end_id); the dictionary is trained on the ids of a
   bounded sample of short documents.
-- `blocks`: rows in ascending document order (part, seq): dict_hash, first_doc, last_doc, n_ids,
+- `blocks`: rows in ascending document order (part, seq): part_offset (ids of the part before the
+  block), dict_hash, first_doc, last_doc, n_ids,
   doc_ids[], n_tokens[], offsets[] and `data`, the frames of the block's documents end to end.
   Document i of a block is data[offsets[i]:offsets[i + 1]] and decompresses alone to its ids as
   little-endian unsigned 32-bit integers, the end id included.
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from infocausal.llm.common import n_tasks
+from infocausal.llm.pieces import PieceTable
 
 END_ID = 2
 #: The dictionary is fitted on about so many documents of at most so many bytes each.
@@ -42,11 +44,11 @@ DICTIONARY_BYTES = 112_640
 LEVEL = 3
 #: Bytes of ids in a block, before compression; a longer document is a block of its own.
 BLOCK_BYTES = 4_000_000
-#: Pieces kept per Python worker. A full table keeps its short entries, as those come most.
-CACHED_PIECES, SHORT = 400_000, 7
+#: Pieces kept per Python worker.
+CACHED_PIECES = 500_000
 CHUNK_CHARS = 1_000_000
 _BLOCKS = (
-    "part int, seq int, dict_hash string, first_doc long, last_doc long, n_ids long, "
+    "part int, seq int, part_offset long, dict_hash string, first_doc long, last_doc long, n_ids long, "
     "doc_ids array<long>, n_tokens array<long>, offsets array<long>, data binary"
 )
 
@@ -68,7 +70,8 @@ class CachedTokenizer:
         self.library = Tokenizer.from_str(source)
         self.library.no_padding()
         self.library.no_truncation()
-        self.kept: dict[str, bytes] = {}
+        self.table = PieceTable(CACHED_PIECES)
+        self.mark = dict(zip(",.", self.ask([",", "."]), strict=True))
 
     def pieces(self, text: str) -> list[str]:
         if not text:
@@ -78,18 +81,29 @@ class CachedTokenizer:
             return text.replace(" ", "\0 ").split("\0")
         return self._cut.split(text)
 
+    def ask(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(pieces), 10_000):
+            for e in self.library.encode_batch_fast(pieces[at : at + 10_000], add_special_tokens=False):
+                ids = e.ids
+                out.append(pack(f"<{len(ids)}I", *ids))
+        return out
+
+    def learn(self, new: set[str]) -> None:
+        """A mark after nothing but letters is a pre-token of its own, so such pieces share their letters' ids."""
+        kept = self.table.kept
+        stems = {x: x[:-1] for x in new if x[-1] in ",." and x[x[0] == " " : -1].isalpha()}
+        ask = list((new - stems.keys()) | {s for s in stems.values() if s not in kept})
+        kept.update(zip(ask, self.ask(ask), strict=True))
+        for x, stem in stems.items():
+            kept[x] = kept[stem] + self.mark[x[-1]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces(t) for t in texts]
-        if len(self.kept) > CACHED_PIECES:
-            short = {k: v for k, v in self.kept.items() if len(k) <= SHORT}
-            self.kept = short if len(short) <= CACHED_PIECES // 2 else {}
-        new = list(set().union(*split) - self.kept.keys())
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for piece, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = e.ids
-                self.kept[piece] = pack(f"<{len(ids)}I", *ids)
-        return [b"".join(map(self.kept.__getitem__, s)) for s in split]
+        new = self.table.unknown(set().union(*split))
+        if new:
+            self.learn(new)
+        return [b"".join(map(self.table.kept.__getitem__, s)) for s in split]
 
 
 @lru_cache(maxsize=2)
@@ -155,14 +169,14 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(source.value)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
         ids, sizes, frames, held = [], [], [], 0
 
         def block() -> pa.RecordBatch:
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in frames])]).tolist()
             known = [i for i in ids if i is not None]
             row = {
-                "part": part, "seq": seq, "dict_hash": digest, "first_doc": known[0] if known else None,
+                "part": part, "seq": seq, "part_offset": before, "dict_hash": digest, "first_doc": known[0] if known else None,
                 "last_doc": known[-1] if known else None, "n_ids": sum(sizes), "doc_ids": ids, "n_tokens": sizes,
                 "offsets": offsets, "data": b"".join(frames),
             }
@@ -174,6 +188,7 @@ def write_tokens(
                 for own, x in zip(keys[at : at + len(chunk)], tok.encode(chunk), strict=True):
                     if ids and held + len(x) > BLOCK_BYTES:
                         yield block()
+                        before += sum(sizes)
                         ids, sizes, frames, held, seq = [], [], [], 0, seq + 1
                     ids.append(own)
                     sizes.append(len(x) // 4 + 1)
@@ -192,7 +207,7 @@ def write_tokens(
 
 _SCHEMA = pa.schema(
     [
-        ("part", pa.int32()), ("seq", pa.int32()), ("dict_hash", pa.string()), ("first_doc", pa.int64()),
+        ("part", pa.int32()), ("seq", pa.int32()), ("part_offset", pa.int64()), ("dict_hash", pa.string()), ("first_doc", pa.int64()),
         ("last_doc", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
         ("n_tokens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("data", pa.binary()),
     ]
@@ -209,34 +224,32 @@ def _open_frames(spark: SparkSession, folder: str, blocks: DataFrame, wanted: fr
             for b in batch.to_pylist():
                 if b["dict_hash"] != digest:
                     raise ValueError(f"block {b['part']}/{b['seq']} needs the dictionary {b['dict_hash']}")
-                at, out = 0, []
+                at, out = b["part_offset"], []
                 for i, (own, n) in enumerate(zip(b["doc_ids"], b["n_tokens"], strict=True)):
                     if wanted is None or own in wanted:
                         ids = unpress.decompress(b["data"][b["offsets"][i] : b["offsets"][i + 1]])
-                        out.append((own, b["part"], b["seq"], at, ids))
+                        out.append((own, b["part"], at, ids))
                     at += n
                 if out:
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
                     columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "seq", "at", "ids"])
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "at", "ids"])
 
-    return blocks.select("part", "seq", "dict_hash", "doc_ids", "n_tokens", "offsets", "data").mapInArrow(
-        run, "doc_id long, part int, seq int, at long, ids binary"
+    return blocks.select("part", "seq", "part_offset", "dict_hash", "doc_ids", "n_tokens", "offsets", "data").mapInArrow(
+        run, "doc_id long, part int, at long, ids binary"
     )
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before), ids (binary, little-endian unsigned 32-bit), from the files alone."""
     blocks = spark.read.schema(_BLOCKS).parquet(f"{folder}/blocks")
-    index = blocks.select("part", "seq", "n_ids")
-    parts = index.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("part_start"))
-    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    index = index.select("part", "seq", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("block_start"))
-    starts = index.join(parts, "part").select("part", "seq", (F.col("part_start") + F.col("block_start")).alias("first"))
-    rows = _open_frames(spark, folder, blocks)
-    return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "ids")
+    # A row for each part of the range partitioning, however large the corpus: that bounds the broadcast.
+    parts = F.broadcast(parts.select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("first")))
+    return _open_frames(spark, folder, blocks).join(parts, "part").select(
+        "doc_id", (F.col("first") + F.col("at")).alias("start"), "ids"
+    )
 
 
 def read_documents(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:

@@ -15,6 +15,8 @@ from infocausal.llm import (
     op4_token_files,
     op5_jump_shards,
     op6_ecoc_langid,
+    op7_spaced_seeds,
+    op8_bwt_dedup,
     op9_host_rules,
     op10_chat_format,
 )
@@ -66,6 +68,21 @@ def op6_language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_ecoc_langid.predict(docs, model, keep=(F.col("doc_id"), held_out.alias("held_out")))
 
 
+def op7_decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_spaced_seeds.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = op8_bwt_dedup.remove_repeats(table(spark, sf_dir, "documents"), carry=(F.col("doc_id"),))
+    return cut.select(
+        "row.doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_host_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = op9_host_rules.host_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("_row.doc_id", "_q.*", "kept")
@@ -86,6 +103,8 @@ QUERIES = {
     "op4_token_files": op4_token_files_query,
     "op5_jump_shards": op5_jump_query,
     "op6_ecoc_language": op6_language_query,
+    "op7_spaced_seeds": op7_decontamination_query,
+    "op8_bwt_repeats": op8_repeats_query,
     "op9_host_rules": op9_host_rules_query,
     "op10_chat_format": op10_chat_query,
 }
