@@ -118,6 +118,10 @@ def canonical(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     )
 
 
+def _turns_of(items: Column, role: str, text: str) -> Column:
+    return F.transform(items, lambda e: _turn(e[role], e[text]))
+
+
 def canonical_json(df: DataFrame, conv_id: str, body: str) -> DataFrame:
     """As canonical(), for JSON rows of mixed layouts: each row's own field paths select its mapping.
 
@@ -141,8 +145,8 @@ def canonical_json(df: DataFrame, conv_id: str, body: str) -> DataFrame:
         hit = F.sha2(shape, 256) == F.lit(hashlib.sha256(ddl.encode()).hexdigest())
         whole = F.from_json(F.col(body), kind)
         if "[]" in x.paths[0]:
-            role, text = ("role", "content") if "content" in inner else ("from", "value")
-            mapped = F.transform(whole[fields[0]], lambda e, r=role, t=text: _turn(e[r], e[t]))
+            names = ("role", "content") if "content" in inner else ("from", "value")
+            mapped = _turns_of(whole[fields[0]], *names)
         elif x.name == "instruction":
             mapped = F.array(
                 _turn("user", F.concat_ws("\n\n", whole["instruction"], F.nullif(whole["input"], F.lit("")))),
