@@ -66,7 +66,7 @@ def f_sf(f: float, d1: float, d2: float) -> float:
 
 def digamma(x: float) -> float:
     out = 0.0
-    while x < 6:
+    while x < 10:
         out -= 1 / x
         x += 1
     y = 1 / (x * x)

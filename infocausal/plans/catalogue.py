@@ -396,7 +396,7 @@ def front_door(spark, sf_dir):
 
 @query("""WITH d AS (SELECT (c_mktsegment = 'BUILDING')::INT AS t, c_acctbal AS x, c_nationkey::DOUBLE AS y, c_custkey AS k FROM customer),
 b AS (SELECT a.k, a.y, a.x, (SELECT c.x FROM d c WHERE c.t = 0 ORDER BY abs(c.x - a.x), c.x LIMIT 1) AS mx FROM d a WHERE a.t = 1),
-m AS (SELECT b.*, CASE WHEN mx <= b.x THEN max(c.k) ELSE min(c.k) END AS mk FROM b JOIN d c ON c.t = 0 AND c.x = mx GROUP BY ALL)
+m AS (SELECT b.k, b.y, b.x, b.mx, CASE WHEN mx <= b.x THEN max(c.k) ELSE min(c.k) END AS mk FROM b JOIN d c ON c.t = 0 AND c.x = mx GROUP BY b.k, b.y, b.x, b.mx)
 SELECT """ + r6("avg(m.y - c.y) AS att") + ", count(*) AS n1 FROM m JOIN d c ON c.k = m.mk AND c.t = 0")
 def nearest_match_att(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select((F.col("c_mktsegment") == "BUILDING").cast("int").alias("t"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"), F.col("c_custkey").alias("k"))
