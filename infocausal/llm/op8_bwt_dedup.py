@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from infocausal.llm.common import materialize, n_tasks
+from infocausal.llm.packing import packed, unpacked
 from infocausal.llm.wordhash import chunks, mix, powers, prefix_hashes
 
 LENGTH = 50
@@ -60,9 +61,14 @@ def minimizers(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, least[first]
 
 
-def _texts(it: Iterator[pa.RecordBatch], name: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Pieces of the batches with their texts' bytes, from strings or packed."""
     for batch in it:
-        texts = batch.column(name).to_pylist()
+        texts = batch.column("text").to_pylist()
+        if pa.types.is_binary(batch.column("text").type):
+            for at in range(0, len(texts), 500):
+                yield batch.slice(at, 500), unpacked(texts[at : at + 500])
+            continue
         for at, part in chunks(texts, _CHARS):
             yield batch.slice(at, len(part)), [t.encode("utf-8") for t in part]
 
@@ -152,6 +158,17 @@ def _shared_keys(rows: DataFrame, buckets_log2: int) -> DataFrame:
     return together.mapInArrow(meet, "tag long, hot boolean, keys binary")
 
 
+def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(document, start, end) in order, those that touch as one."""
+    out: list[tuple[int, int, int]] = []
+    for own, i, j in sorted(spans):
+        if out and out[-1][0] == own and i <= out[-1][2]:
+            out[-1] = (own, out[-1][1], max(j, out[-1][2]))
+        else:
+            out.append((own, i, j))
+    return out
+
+
 def _segments(docs: DataFrame, buckets_log2: int) -> DataFrame:
     """(doc_id, text, cold[], hot[]) -> key, segment, doc_id, start; done rows (no key) are spans that are known already.
 
@@ -189,12 +206,18 @@ def _segments(docs: DataFrame, buckets_log2: int) -> DataFrame:
                     if own < least.get(x, own + 1):
                         least[x] = own
             out: tuple[list, ...] = ([], [], [], [], [])
+            done: list[tuple[int, int, int]] = []
             for (k, seg), at in places.items():
                 m = least[(k, seg)]
                 for own, i in at:
-                    done = own > m
-                    for column, v in zip(out, (None if done else k, None if done else seg, own, i, len(seg)), strict=True):
-                        column.append(v)
+                    if own > m:
+                        done.append((own, i, i + len(seg)))
+                    else:
+                        for column, v in zip(out, (k, seg, own, i, len(seg)), strict=True):
+                            column.append(v)
+            for own, i, j in joined(done):
+                for column, v in zip(out, (None, None, own, i, j - i), strict=True):
+                    column.append(v)
             kinds = (pa.uint64(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
             columns = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
             columns[0] = columns[0].view(pa.int64())
@@ -304,7 +327,8 @@ def _spans(segments: DataFrame) -> DataFrame:
                                 ids.append(own)
                                 starts.append(i + int(part[0]))
                                 ends.append(i + int(part[-1]) + LENGTH)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "start", "end"])
+            found = list(zip(*joined(list(zip(ids, starts, ends, strict=True))), strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int32()), pa.array(found[2], pa.int32())], ["doc_id", "start", "end"])
 
         for batch in it:
             columns = [batch.column(c).to_pylist() for c in ("key", "segment", "doc_id", "start", "size")]
@@ -376,31 +400,33 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", car
     digests = materialize(own.select("doc_id", F.unhex(digest).alias("digest"), F.xxhash64(digest).alias("tag")), "digests")
     firsts = digests.groupBy("digest", "tag").agg(F.min("doc_id").alias("first"))
     shared = _shared_keys(own.select("text", F.xxhash64(digest).alias("tag")), buckets_log2)
-    asked = shared.join(firsts.select("tag", "first"), "tag").groupBy(F.col("first").alias("doc_id")).agg(
+    asked = shared.groupBy("tag").agg(
         F.collect_list(F.when(~F.col("hot"), F.col("keys"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("keys"))).alias("hot")
     )
-    met = own.join(asked, "doc_id").select("doc_id", "text", "cold", "hot")
-    spans = materialize(_spans(_segments(met, buckets_log2)), "spans")
+    asked = asked.join(firsts.select("tag", F.col("first").alias("doc_id")), "tag")
+    met = packed(own).join(asked, "doc_id").select("doc_id", "text", "cold", "hot")
+    spans = _spans(_segments(met, buckets_log2))
     by_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.lit(False).alias("whole"))
     copies = digests.join(firsts, ["digest", "tag"]).filter("doc_id > first").select("doc_id").distinct()
     removed = by_doc.unionByName(copies.select("doc_id", F.lit(None).cast(by_doc.schema["spans"].dataType).alias("spans"), F.lit(True).alias("whole")))
     removed = removed.groupBy(F.col("doc_id").alias("_doc")).agg(F.max("whole").alias("whole"), F.flatten(F.collect_list("spans")).alias("spans"))
     row = F.struct(*(carry or [docs[c] for c in docs.columns])).alias("row")
-    whole = docs.select(row, F.coalesce(docs[text], F.lit("")).alias("text"), docs[key].cast("long").alias("_doc"))
+    whole = packed(docs.select(row, F.coalesce(docs[text], F.lit("")).alias("text"), docs[key].cast("long").alias("_doc")))
     return _cut(whole.join(removed, "_doc", "left"))
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """docs with the repeated bytes taken out of its text (halves of letters at the edges go too) and its length set anew."""
-    cut = remove_repeats(docs, key, text)
+    rest = F.struct(*[docs[c] for c in docs.columns if c != text], F.lit(0).alias("_")).alias("rest")
+    cut = remove_repeats(docs, key, text, (rest, docs[text].isNull().alias("null")))
     clean = F.try_validate_utf8(F.col("kept").cast("string"))
     lenient = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    new = F.when(F.col("row")[text].isNull(), None).when(F.size("spans") == 0, F.col("row")[text]).otherwise(F.coalesce(clean, lenient))
-    out = cut.select("row", new.alias("_new"))
+    new = F.when(~F.col("row.null"), F.when(F.size("spans") == 0, F.col("kept").cast("string")).otherwise(F.coalesce(clean, lenient)))
+    out = cut.select("row.rest", new.alias("_new"))
     columns = [
         F.col("_new").alias(c) if c == text
-        else F.when(F.col("_new").isNull(), F.col("row")[c]).otherwise(F.length("_new")).cast(docs.schema[c].dataType).alias(c) if c == length
-        else F.col("row")[c].alias(c)
+        else F.when(F.col("_new").isNull(), F.col("rest")[c]).otherwise(F.length("_new")).cast(docs.schema[c].dataType).alias(c) if c == length
+        else F.col("rest")[c].alias(c)
         for c in docs.columns
     ]
     return out.select(*columns)
