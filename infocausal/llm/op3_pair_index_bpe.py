@@ -157,11 +157,7 @@ class PairIndexBPE:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts, as little-endian 32-bit integers."""
-        split = [t.split(" ") for t in texts]
-        new = self.pieces.unknown(set().union(*split))
-        if new:
-            self.learn(new)
-        return [b"".join(map(self.pieces.kept.__getitem__, s)) for s in split]
+        return self.pieces.look_up([t.split(" ") for t in texts], self.learn)
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))

@@ -41,11 +41,11 @@ END_ID = 2
 #: The dictionary is fitted on about so many documents of at most so many bytes each.
 SAMPLE_DOCS, SAMPLE_BYTES = 2_000, 16_384
 DICTIONARY_BYTES = 112_640
-LEVEL = 3
+LEVEL = 1
 #: Bytes of ids in a block, before compression; a longer document is a block of its own.
 BLOCK_BYTES = 4_000_000
 #: Pieces kept per Python worker.
-CACHED_PIECES = 500_000
+CACHED_PIECES = 800_000
 CHUNK_CHARS = 1_000_000
 _BLOCKS = (
     "part int, seq int, part_offset long, dict_hash string, first_doc long, last_doc long, n_ids long, "
@@ -99,11 +99,7 @@ class CachedTokenizer:
             kept[x] = kept[stem] + self.mark[x[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(t) for t in texts]
-        new = self.table.unknown(set().union(*split))
-        if new:
-            self.learn(new)
-        return [b"".join(map(self.table.kept.__getitem__, s)) for s in split]
+        return self.table.look_up([self.pieces(t) for t in texts], self.learn)
 
 
 @lru_cache(maxsize=2)
