@@ -96,9 +96,11 @@ def granger_lag1(df: DataFrame, series: str = "series", t: str = "t", v: str = "
     m = x.join(z, t).filter("target != source").groupBy("target", "source").agg(
         F.count("*").alias("n"), *[F.covar_pop(a, b).alias(a + b) for a, b in ("xx", "zz", "yy", "xz", "xy", "zy")]
     )
-    det = F.col("xx") * F.col("zz") - F.col("xz") * F.col("xz")
+    or_null = lambda c: F.nullif(c, F.lit(0.0))
+    det = or_null(F.col("xx") * F.col("zz") - F.col("xz") * F.col("xz"))
     b1 = (F.col("xy") * F.col("zz") - F.col("zy") * F.col("xz")) / det
     b2 = (F.col("zy") * F.col("xx") - F.col("xy") * F.col("xz")) / det
     full = F.col("yy") - b1 * F.col("xy") - b2 * F.col("zy")
-    own = F.col("yy") - F.col("xy") * F.col("xy") / F.col("xx")
-    return m.select("target", "source", "n", ((own - full) / (full / (F.col("n") - 3))).alias("f_stat"))
+    own = F.col("yy") - F.col("xy") * F.col("xy") / or_null(F.col("xx"))
+    f = F.when(F.col("n") > 3, (own - full) / or_null(full) * (F.col("n") - 3))
+    return m.select("target", "source", "n", f.alias("f_stat"))

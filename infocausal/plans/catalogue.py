@@ -466,8 +466,8 @@ def detrended(spark, sf_dir):
 @query(f"""WITH {HOURLY}, e AS (SELECT series, t, v AS past, lead(v) OVER w AS nxt, lead(t) OVER w AS t2 FROM s WINDOW w AS (PARTITION BY series ORDER BY t)), f AS (SELECT * FROM e WHERE t2 = t + 1),
 m AS (SELECT x.series AS target, y.series AS source, count(*) AS n, var_pop(x.past) AS xx, var_pop(y.past) AS zz, var_pop(x.nxt) AS yy, covar_pop(x.past, y.past) AS xz, covar_pop(x.past, x.nxt) AS xy, covar_pop(y.past, x.nxt) AS zy
   FROM f x JOIN f y USING (t) WHERE x.series <> y.series GROUP BY 1, 2),
-b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b1, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b2 FROM m),
-r AS (SELECT *, yy - b1 * xy - b2 * zy AS u, yy - xy * xy / xx AS o FROM b) SELECT target, source, n, {r6('(o - u) / (u / (n - 3)) AS f_stat')} FROM r""")
+b AS (SELECT *, (xy * zz - zy * xz) / nullif(xx * zz - xz * xz, 0) AS b1, (zy * xx - xy * xz) / nullif(xx * zz - xz * xz, 0) AS b2 FROM m),
+r AS (SELECT *, yy - b1 * xy - b2 * zy AS u, yy - xy * xy / nullif(xx, 0) AS o FROM b) SELECT target, source, n, {r6('CASE WHEN n > 3 THEN (o - u) / nullif(u, 0) * (n - 3) END AS f_stat')} FROM r""")
 def granger_lag1(spark, sf_dir):
     return rounded(series.granger_lag1(summed(spark, sf_dir)))
 
