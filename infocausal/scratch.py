@@ -24,6 +24,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: Paths of the tables written by this process.
+tables: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write to the shared folder, read back.
 
@@ -31,9 +35,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_unread(spark: SparkSession, paths: list[str], frames: list[DataFrame]) -> None:
+    """Remove those of the paths that none of the frames reads, and take them off the list.
+
+    For a caller that made these tables and whose results have been written elsewhere by now.
+    """
+    read = [f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()] if paths else []
+    for path in [t for t in paths if not any(r.endswith(t.split("//", 1)[-1].lstrip("/")) for r in read)]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        paths.remove(path)
+
+
 def n_tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
