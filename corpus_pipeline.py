@@ -1,38 +1,63 @@
 """The corpus pipeline: quality rules, near-dedup, repeated passages, decontamination, BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of `documents`.
+again as the next stage's docs. All but the last return the columns of `documents`. When a stage
+starts, the scratch tables of the stages before it go, but for those that its docs still read.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from infocausal.llm import op1_icws_neardup, op7_spaced_seeds, op8_bwt_dedup, op9_host_rules
 from infocausal.llm.common import materialize, table
+from infocausal import scratch
+from infocausal.scratch import drop_unread
 from infocausal.llm.queries import bpe_digests
 
 
+_own: list[str] = []
+
+
+def stage(f):
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_unread(spark, _own, [docs])
+        before = len(scratch.tables)
+        out = f(spark, docs, sf_dir)
+        _own.extend(scratch.tables[before:])
+        return out
+
+    return run_stage
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and whose host passes."""
     return op9_host_rules.keep_good(docs)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
     return op1_icws_neardup.keep_first(docs)
 
 
+@stage
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that an earlier one has."""
     return op8_bwt_dedup.drop_repeats(docs)
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     return op7_spaced_seeds.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text."""
     return bpe_digests(docs)
@@ -52,6 +77,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, f in STAGES[:-1]:
+        docs = materialize(f(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -80,6 +80,13 @@ def base_counts(text: Column) -> Column:
     )
 
 
+def base_failed(counts: Column, rules: HostRules) -> Column:
+    return let(
+        counts,
+        lambda c: (c["w"]["n_words"] < rules.min_words) | (100 * c["w"]["n_repeat_words"] > rules.max_repeat_percent * c["w"]["n_words"]),
+    )
+
+
 def with_counts(docs: DataFrame, text: str, keep: list[Column], rules: HostRules) -> DataFrame:
     """`keep` plus the struct `_q`, written out once, as everything after it reads it twice."""
     q = docs.select(*keep, base_counts(docs[text]).alias("_c")).withColumn(
@@ -135,6 +142,16 @@ def host_rules(
     return joined.select("_row", "_q", "host_rate", (~F.col("_q.base_failed") & F.col("host_ok")).alias("kept"))
 
 
-def keep_good(docs: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
-    """The rows of `docs` that pass, with its columns only."""
-    return host_rules(docs, rules=rules).filter("kept").select("_row.*")
+def keep_good(docs: DataFrame, rules: HostRules = HostRules(), text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of `docs` that pass, with its columns only.
+
+    The counts are made twice, for the hosts and for the rows, so that no copy of the texts is written.
+    """
+    failed = base_failed(base_counts(docs[text]), rules)
+    hosts = docs.select(docs[host].alias("host"), failed.cast("long").alias("f")).groupBy("host").agg(
+        F.count("*").alias("n"), F.sum("f").alias("k")
+    )
+    verdicts = host_verdicts(materialize(hosts, "hosts"), rules).filter("host_ok")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[host].alias("_host"), failed.alias("_failed"))
+    good = rows.filter("not _failed")
+    return good.join(verdicts, good["_host"].eqNullSafe(verdicts["host"]), "left_semi").select("_row.*")
