@@ -405,7 +405,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", car
     )
     asked = asked.join(firsts.select("tag", F.col("first").alias("doc_id")), "tag")
     met = packed(own).join(asked, "doc_id").select("doc_id", "text", "cold", "hot")
-    spans = _spans(_segments(met, buckets_log2))
+    # Written out, so that the shuffles before it can go before the texts travel again.
+    spans = materialize(_spans(_segments(met, buckets_log2)), "spans")
     by_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.lit(False).alias("whole"))
     copies = digests.join(firsts, ["digest", "tag"]).filter("doc_id > first").select("doc_id").distinct()
     removed = by_doc.unionByName(copies.select("doc_id", F.lit(None).cast(by_doc.schema["spans"].dataType).alias("spans"), F.lit(True).alias("whole")))
