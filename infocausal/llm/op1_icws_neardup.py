@@ -11,11 +11,11 @@
 4. Bands of `rows` samples are bucket keys. Inside a bucket every document is paired with the
    bucket's first one and the neighbour by total weight. Pairs whose samples agree in less than
    `screen` of the places (more than three standard deviations under the threshold) are left; the
-   others are verified by the exact weighted Jaccard similarity, and links make components. Buckets
-   that still hold several components go on with representatives of each (the lightest and the
-   heaviest), now paired with `near` neighbours of other components and with another first one,
-   until a round finds no new link. So the pairs grow with the bucket, not with its square, and big
-   buckets are put in order in pieces.
+   others are verified by the exact weighted Jaccard similarity, and links make components.
+5. Of buckets that still hold several components, all pairs of members of different components
+   have their samples compared, in blocks: against the largest component, and among the others.
+   First only a forest of the best pairs is verified, as its links settle many of the rest; then
+   every pair that is left. So no pair of a bucket goes unexamined, whatever the bucket's size.
 
 Defined cases: null and empty texts are equal to each other; a text of fewer than five words is
 one shingle; ids that are null are in no class (class null); repeated rows are one document in
@@ -55,9 +55,8 @@ class NearDup:
     common: int = 20
     #: Counters of the pass that looks for common shingles.
     counters_log2: int = 18
-    #: Rows of a bucket that are put in order together, and neighbours there that are paired.
+    #: Rows of a bucket that are put in order together, or compared with each other in a block.
     piece: int = 1_000
-    near: int = 8
     #: Share of equal samples from which on a pair is verified.
     screen: float = 0.64
     seed: int = 7
@@ -284,29 +283,135 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, p: NearDup) -> DataFra
     return wide.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
 
 
-def _bucket_pairs(members: DataFrame, p: NearDup, turn: int) -> DataFrame:
-    """a < b from members (key, id, weight, part): each with its bucket's first and its neighbours, between parts only."""
-    order = F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"), F.col("part"))
-    heads = members.groupBy("key").agg(F.min(order).alias("h"), F.count("*").alias("n")).filter("n > 1")
+def _bucket_pairs(members: DataFrame, p: NearDup) -> DataFrame:
+    """a < b from members (key, id, weight): each with its bucket's first and one neighbour by weight."""
+    heads = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(0)), F.col("id"))).alias("h"), F.count("*").alias("n")).filter("n > 1")
     rows = members.join(heads, "key").withColumn(
         "piece", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / p.piece)).cast("int")
     )
-    w = Window.partitionBy("key", "piece").orderBy("weight", "id").rowsBetween(-(p.near if turn else 1), -1)
-    rows = rows.withColumn("near", F.collect_list(F.struct(F.col("id").alias("o"), F.col("part").alias("op"))).over(w))
-    first = F.array(F.struct(F.col("h.id").alias("o"), F.col("h.part").alias("op")))
-    out = rows.select("id", "part", F.explode(F.concat(first, "near")).alias("x")).filter("x.o != id and x.op != part")
-    return out.select(F.least("id", "x.o").alias("a"), F.greatest("id", "x.o").alias("b")).distinct()
+    near = F.lag("id").over(Window.partitionBy("key", "piece").orderBy("weight", "id"))
+    out = rows.withColumn("near", near).select("id", F.explode(F.array("h.id", "near")).alias("o")).filter("o is not null and o != id")
+    return out.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 
-def _open_buckets(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """The members with their new parts, where a bucket holds two parts or more; two stand for each part."""
-    new = members.join(parts.select(F.col("id").alias("part"), "component"), "part", "left").select(
-        "key", "id", "weight", F.coalesce("component", "part").alias("part")
+#: Members of a bucket's largest component in a block, in pieces.
+_WIDE = 8
+
+
+def _cells(members: DataFrame, p: NearDup) -> DataFrame:
+    """The members (key, id, part, sig) of buckets with several parts, dealt to blocks (key, wide, i, j) with a side.
+
+    Wide blocks compare others (side false) with the largest part (true). The rest compare the others:
+    block i = j with itself, i < j with each other. Buckets of two members need no block: they were paired.
+    """
+    by = members.groupBy("key", "part").agg(F.count("*").alias("c"))
+    shape = by.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("k"), F.max(F.struct("c", "part")).alias("big")).filter("k > 1 and n > 2")
+    shape = shape.select(
+        "key", F.col("big.part").alias("big"), F.ceil((F.col("n") - F.col("big.c")) / p.piece).cast("int").alias("rest_n"),
+        F.ceil(F.col("big.c") / (p.piece * _WIDE)).cast("int").alias("big_n"),
     )
-    ends = [f(F.struct("weight", "id")) for f in (F.min, F.max)]
-    by = new.groupBy("key", "part").agg(F.array_distinct(F.array(*ends)).alias("m"))
-    open_ = by.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return by.join(open_, "key", "left_semi").select("key", "part", F.explode("m").alias("m")).select("key", "m.id", "m.weight", "part")
+    rest = F.col("part") != F.col("big")
+    rows = members.join(shape, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.when(rest, F.col("rest_n")).otherwise(F.col("big_n"))).cast("int"))
+    block = F.col("block")
+
+    def cell(wide, i, j, side):
+        return F.struct(F.lit(wide).alias("wide"), i.alias("i"), j.alias("j"), side.alias("side"))
+
+    up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    among = F.transform(up_to("rest_n"), lambda j: cell(False, F.least(block, j), F.greatest(block, j), block > j))
+    against = F.transform(up_to("big_n"), lambda j: cell(True, block, j, F.lit(False)))
+    largest = F.transform(up_to("rest_n"), lambda i: cell(True, i, block, F.lit(True)))
+    cells = F.explode(F.when(rest, F.concat(among, against)).otherwise(largest)).alias("cell")
+    return rows.select("key", "id", "part", "sig", cells).select("key", "cell.*", "id", "part", "sig")
+
+
+def _compared(ids: np.ndarray, part: np.ndarray, side: np.ndarray, sig: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
+    """Rows x, y of a block in different parts whose samples agree in `least` of the places, and the share."""
+    left, right = (np.flatnonzero(~side), np.flatnonzero(side)) if side.any() else (np.arange(len(ids)), None)
+    xs, ys, shares = [], [], []
+    for n, x in enumerate(left):
+        y = left[n + 1 :] if right is None else right
+        y = y[part[y] != part[x]]
+        if len(y):
+            share = (sig[y] == sig[x]).mean(1)
+            on = np.flatnonzero(share >= least)
+            xs.append(np.full(len(on), x))
+            ys.append(y[on])
+            shares.append(share[on])
+    return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in (xs, ys, shares))
+
+
+def _forest(x: np.ndarray, y: np.ndarray, share: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Places of the pairs, best share first, that join parts not joined by those before."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (r := root.get(v, v)) != v:
+            root[v] = root.get(r, r)
+            v = r
+        return v
+
+    keep = []
+    for k in np.argsort(-share, kind="stable"):
+        u, v = find(int(part[x[k]])), find(int(part[y[k]]))
+        if u != v:
+            root[u] = v
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+def _remaining_pairs(members: DataFrame, sigs: DataFrame, p: NearDup, forest: bool) -> DataFrame:
+    """a < b of different parts from members (key, id, part) that share a bucket and pass the screen: all, or a forest a block."""
+
+    def blocks(cols: tuple[np.ndarray, ...], ends: np.ndarray) -> pa.RecordBatch:
+        a, b, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for end in ends:
+            ids, part, side, sig = (c[at:end] for c in cols[4:])
+            x, y, share = _compared(ids, part, side, sig, p.screen)
+            if forest and len(x):
+                on = _forest(x, y, share, part)
+                x, y = x[on], y[on]
+            if len(x):
+                a.append(np.minimum(ids[x], ids[y]))
+                b.append(np.maximum(ids[x], ids[y]))
+            at = end
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "wide", "i", "j", "id", "part", "side")]
+            cols.append(np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(batch.num_rows, p.samples))
+            if held is not None:
+                cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
+            new = np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)
+            ends = np.flatnonzero(new) + 1
+            yield blocks(tuple(cols), ends)
+            last = ends[-1] if len(ends) else 0
+            held = [c[last:] for c in cols]
+        if held is not None:
+            yield blocks(tuple(held), np.array([len(held[0])]))
+
+    cell = ["key", "wide", "i", "j"]
+    dealt = _cells(members.join(sigs, "id"), p).repartition(*cell).sortWithinPartitions(*cell)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _joined(parts: DataFrame | None, found: DataFrame) -> DataFrame:
+    """id, component after the links (a, b), given those before."""
+    if parts is None:
+        return materialize(connected_components(found, "a", "b").withColumnRenamed("node", "id"), "parts")
+    of = lambda c: F.coalesce(F.col(f"part_{c}"), F.col(c))
+    ends = found
+    for c in ("a", "b"):
+        ends = ends.join(parts.select(F.col("id").alias(c), F.col("component").alias(f"part_{c}")), c, "left")
+    grown = connected_components(ends.select(of("a").alias("a"), of("b").alias("b")), "a", "b").withColumnRenamed("node", "id")
+    grown = materialize(grown, "grown")
+    to = grown.select(F.col("id").alias("component"), F.col("component").alias("root"))
+    old = parts.join(to, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    return materialize(old.unionByName(grown.join(parts, "id", "left_anti")), "parts")
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", p: NearDup = NearDup()) -> DataFrame:
@@ -349,32 +454,24 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Ne
     # Only buckets with company go on, and only their documents' texts are read again.
     shared_keys = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = materialize(members.join(shared_keys, "key"), "members")
-    now = members.withColumn("part", F.col("id"))
-    texts, parts, turn = None, None, 0
-    while True:
-        pairs = materialize(screened(_bucket_pairs(now, p, turn), sigs, p), "pairs")
+    texts, parts, examined = None, None, None
+    for turn in range(3):
+        if turn == 0:
+            pairs = screened(_bucket_pairs(members, p), sigs, p)
+        else:
+            now = members.select("key", "id")
+            now = now.withColumn("part", F.col("id")) if parts is None else now.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+            pairs = _remaining_pairs(now, sigs, p, forest=turn == 1)
+        pairs = materialize(pairs if examined is None else pairs.join(examined, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            break
+            continue
+        examined = pairs if examined is None else examined.unionByName(pairs)
         if texts is None:
             need = members.select("id").distinct()
             texts = materialize(packed(rows.join(need, "id", "left_semi").dropDuplicates(["id"])), "texts")
         found = materialize(verified(pairs, texts, shared, p).select("a", "b"), "links")
-        if found.isEmpty():
-            break
-        if parts is None:
-            parts = grown = materialize(connected_components(found, "a", "b").withColumnRenamed("node", "id"), "parts")
-        else:
-            of = lambda c: F.coalesce(F.col(f"part_{c}"), F.col(c))
-            ends = found
-            for c in ("a", "b"):
-                ends = ends.join(parts.select(F.col("id").alias(c), F.col("component").alias(f"part_{c}")), c, "left")
-            grown = connected_components(ends.select(of("a").alias("a"), of("b").alias("b")), "a", "b").withColumnRenamed("node", "id")
-            grown = materialize(grown, "grown")
-            to = grown.select(F.col("id").alias("component"), F.col("component").alias("root"))
-            old = parts.join(to, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
-            parts = materialize(old.unionByName(grown.join(parts, "id", "left_anti")), "parts")
-        now = materialize(_open_buckets(now, grown), "open")
-        turn += 1
+        if not found.isEmpty():
+            parts = _joined(parts, found)
     classes = copies
     if parts is not None:
         parts = parts.withColumnRenamed("id", "member")

@@ -71,6 +71,30 @@ def test_neardup_equals_all_pairs(spark):
     assert sorted(i for i in ids if i is not None) == sorted(set(want.values())) and ids.count(None) == 1
 
 
+def test_large_mixed_bucket_finds_every_pair(spark):
+    rng = random.Random(11)
+    template = words(rng, 60)
+    p = op1.NearDup(bands=1, rows=1, piece=100)
+    docs = []
+    for i in range(1500):
+        own = words(rng, 60).split()
+        docs.append((2 * i, template + " " + " ".join(own)))
+        if i % 5 == 0:
+            docs.append((2 * i + 1, template + " " + " ".join(own[:57]) + " " + words(rng, rng.randrange(3, 6))))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    w = op1.shingle_weights(frame, p)
+    s, tf, at = op1.shingles_of([t for _, t in docs], p.words)
+    weight = w.of(s, tf)
+    key = dict(zip((i for i, _ in docs), op1.band_keys(op1.signatures(s, weight, at, w.rare, p), p)[:, 0].tolist(), strict=True))
+    size = Counter(key.values())
+    cut = {d: (s[i:j], weight[i:j]) for (d, _), i, j in zip(docs, at[:-1], at[1:], strict=True)}
+    planted = [(i - 1, i) for i in key if i % 2 and key[i] == key[i - 1] and op1.similarity(cut[i], cut[i - 1]) >= p.similarity]
+    assert sum(size[key[a]] > 200 for a, _ in planted) > 50
+    got = {r.id: r.class_id for r in op1.near_classes(frame, p=p).collect()}
+    assert [(a, b) for a, b in planted if got[b] != a] == []
+    assert len(set(got.values())) >= 1500
+
+
 def test_idf_counts_documents(spark):
     docs = spark.createDataFrame([(i, "a b c d e " + ("same words in all of these" if i < 8 else f"other {i} things in here {i}")) for i in range(10)], "id long, text string")
     w = op1.shingle_weights(docs, op1.NearDup(common=2))
