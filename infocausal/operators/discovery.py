@@ -6,18 +6,21 @@ result does not depend on the order of removals.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, count
 
 from pyspark.sql import DataFrame, SparkSession
 
 from infocausal.operators.dependence import Gram
 
 
-def skeleton(gram: Gram, alpha: float = 0.05, most: int = 3) -> tuple[set[frozenset], dict[frozenset, tuple]]:
+def skeleton(gram: Gram, alpha: float = 0.05, most: int | None = None) -> tuple[set[frozenset], dict[frozenset, tuple]]:
+    """Edges and separating sets; levels go on until no node has enough neighbours, or to sets of `most`."""
     names = sorted(gram.columns)
     edges, sepset = {frozenset(p) for p in combinations(names, 2)}, {}
-    for level in range(most + 1):
+    for level in count() if most is None else range(most + 1):
         frozen = {v: sorted(w for w in names if frozenset((v, w)) in edges) for v in names}
+        if all(len(ws) <= level for ws in frozen.values()):
+            break
         for a, b in combinations(names, 2):
             if frozenset((a, b)) not in edges:
                 continue
@@ -60,10 +63,10 @@ def oriented(names: list[str], edges: set[frozenset], sepset: dict[frozenset, tu
     return arrows
 
 
-def pc(spark: SparkSession, df: DataFrame, columns: list[str], alpha: float = 0.05) -> DataFrame:
+def pc(spark: SparkSession, df: DataFrame, columns: list[str], alpha: float = 0.05, most: int | None = None) -> DataFrame:
     """a, b, directed: the edges of the class; undirected ones have a < b."""
     gram = Gram(df, columns)
-    edges, sepset = skeleton(gram, alpha)
+    edges, sepset = skeleton(gram, alpha, most)
     arrows = oriented(columns, edges, sepset)
     rows = sorted({(a, b, True) if (b, a) not in arrows else (min(a, b), max(a, b), False) for a, b in arrows})
     return spark.createDataFrame(rows, "a string, b string, directed boolean")

@@ -79,6 +79,23 @@ def test_identification():
     assert identify.districts(["a", "b", "c"], [("a", "b")]) == [frozenset("ab"), frozenset("c")]
 
 
+def test_front_door_of_many_paths():
+    inner = "bcdefghijkl"
+    edges = [("x", "a"), ("x", "w"), ("w", "y"), *[("a", v) for v in inner], *[(v, "y") for v in inner], *[(u, v) for u in inner for v in inner if u < v]]
+    assert identify.front_door_sets(edges, "x", "y", [("x", "y")], most=1) == []
+    assert identify.front_door_sets(edges, "x", "y", [("x", "y")]) == [("a", "w")]
+
+
+def test_separating_set_of_four():
+    g = dependence.Gram.__new__(dependence.Gram)
+    g.columns, g.n = ["x", "y", "z1", "z2", "z3", "z4"], 10_000
+    b = np.vstack([np.ones((2, 4)), np.eye(4)])
+    g.cov = b @ b.T + np.diag([1.0, 1, 0, 0, 0, 0])
+    edges, sep = discovery.skeleton(g)
+    assert edges == {frozenset((v, z)) for v in "xy" for z in g.columns[2:]} and sep[frozenset("xy")] == ("z1", "z2", "z3", "z4")
+    assert frozenset("xy") in discovery.skeleton(g, most=3)[0]
+
+
 def test_effects_over_class(spark):
     g = dependence.Gram(tables.chain(spark, 500), ["x1", "x2", "x3"])
     edges, sep = discovery.skeleton(g)
