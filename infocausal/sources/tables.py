@@ -18,8 +18,11 @@ def read_series_csv(spark: SparkSession, path: str, columns: list[str] | None =
     return wide.unpivot(["t"], names, "series", "v").select("series", "t", "v")
 
 
-def write_series_csv(long: DataFrame, path: str) -> None:
-    names = [r[0] for r in long.select("series").distinct().orderBy("series").limit(10_000).collect()]
+def write_series_csv(long: DataFrame, path: str, most: int = 10_000) -> None:
+    """One column a series; more than `most` series are an error, as a wide file can't hold them: none is left out."""
+    names = [r[0] for r in long.select("series").distinct().orderBy("series").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} series: write them in parts, or in long form")
     long.groupBy("t").pivot("series", names).agg(F.first("v")).write.option("header", True).csv(path)
 
 

@@ -119,6 +119,12 @@ def test_sources(spark, tmp_path):
     assert tables.as_json(m).first().json == '{"node":"a","a":0.0,"b":2.0}'
 
 
+def test_too_many_series_are_an_error(spark, tmp_path):
+    long = spark.range(10_001).select(F.col("id").cast("string").alias("series"), F.lit(0).alias("t"), F.lit(1.0).alias("v"))
+    with pytest.raises(ValueError, match="series"):
+        tables.write_series_csv(long, f"{tmp_path}/out")
+
+
 def test_streams(spark, tmp_path):
     src = "/root/testdata/sf0.001/events.parquet"
     whole = spark.read.parquet(src)
