@@ -569,6 +569,44 @@ def mutilated_graph(spark, sf_dir):
     return graph.mutilated(_dag(spark, sf_dir), spark.createDataFrame([(3,), (4,)], "node int"))
 
 
+# Whole tables, with links that grow: part - supplier, and supplier -> order <- customer. Kinds of nodes are told apart by an offset.
+
+FAR = 1_000_000_000_000
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS s, l_partkey + {FAR} AS p FROM lineitem), b AS (SELECT s AS x, p AS y FROM e UNION ALL SELECT p, s FROM e),
+r AS (SELECT s AS node, s AS o FROM e UNION SELECT b.y, r.o FROM r JOIN b ON b.x = r.node) SELECT node, min(o) AS component FROM r GROUP BY node""")
+def connected_components_supply(spark, sf_dir):
+    """Suppliers have the smaller numbers, so the smallest node of a component is one."""
+    li = table(spark, sf_dir, LI)
+    return components.connected_components(li.select(F.col("l_suppkey").cast("long").alias("src"), (F.col("l_partkey") + F.lit(FAR)).alias("dst")))
+
+
+CAUSES = f"e AS (SELECT DISTINCT l_suppkey::BIGINT AS src, l_orderkey + {2 * FAR} AS dst FROM lineitem UNION ALL SELECT o_custkey + {FAR}, o_orderkey + {2 * FAR} FROM orders)"
+
+
+def _causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, o = table(spark, sf_dir, LI), table(spark, sf_dir, "orders")
+    e = li.select(F.col("l_suppkey").cast("long").alias("src"), (F.col("l_orderkey") + F.lit(2 * FAR)).alias("dst")).distinct()
+    return e.unionByName(o.select((F.col("o_custkey") + F.lit(FAR)).alias("src"), (F.col("o_orderkey") + F.lit(2 * FAR)).alias("dst")))
+
+
+@query(f"WITH {CAUSES} SELECT p.src AS a, p.dst AS c, q.src AS b FROM e p JOIN e q ON p.dst = q.dst AND p.src < q.src")
+def v_structures_orders(spark, sf_dir):
+    """No two causes of an order are linked, so each pair is one."""
+    return graph.v_structures(_causes(spark, sf_dir))
+
+
+@query(f"WITH {CAUSES} SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM e UNION SELECT p.src, q.src FROM e p JOIN e q USING (dst) WHERE p.src < q.src")
+def moral_graph_orders(spark, sf_dir):
+    return graph.moral_graph(_causes(spark, sf_dir))
+
+
+@query(f"WITH {CAUSES} SELECT src, dst FROM e WHERE dst NOT IN ({2 * FAR + 1}, {2 * FAR + 2})")
+def mutilated_graph_orders(spark, sf_dir):
+    return graph.mutilated(_causes(spark, sf_dir), spark.createDataFrame([(2 * FAR + 1,), (2 * FAR + 2,)], "node long"))
+
+
 # ---------------------------------------------------------------- structural models: orders give the noise
 
 
