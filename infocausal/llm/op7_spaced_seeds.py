@@ -196,9 +196,12 @@ def overlaps(
 ) -> DataFrame:
     """doc_id, item_id, first_word, end_word (place in the document's words), n_equal: the longest overlap of each pair."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    items = benchmark.select(F.col(item).cast("long").alias("of"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    # Joins go by a hash, as an item's id may be null.
+    items = items.withColumn("item_id", F.xxhash64(F.col("of").isNull(), "of", "text"))
+    names = items.select("item_id", "of").dropDuplicates(["item_id"])
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    index, words = benchmark_seeds(items)
+    index, words = benchmark_seeds(items.select("item_id", "text"))
     table, log2 = _bit_table(index)
     hits = materialize(
         _hits(rows, spark.sparkContext.broadcast(table), log2).withColumn("doc", F.xxhash64("doc_id", "places", "seeds")), "hits"
@@ -209,7 +212,7 @@ def overlaps(
         .select("doc", "item_id", (F.col("p") - F.col("q")).alias("diagonal")).distinct()
     )
     wide = lines.join(hits.select("doc", "doc_id", "starts", "segments").dropDuplicates(["doc"]), "doc").join(words, "item_id")
-    found = _compare(wide)
+    found = _compare(wide).join(names, "item_id").drop("item_id").withColumnRenamed("of", "item_id")
     best = F.max(F.struct("n_equal", (-F.col("first_word")).alias("neg_first"), "end_word")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", (-F.col("b.neg_first")).alias("first_word"), "b.end_word", "b.n_equal"

@@ -288,6 +288,15 @@ def test_masks_catch_every_window():
                 assert any(all(o + x not in wrong for x in m) for m in op7.MASKS for o in range(w - m[-1])), (w, wrong)
 
 
+def test_items_without_an_id_are_found(spark):
+    rng = random.Random(12)
+    a, b = words(rng, 20), words(rng, 20)
+    bench = spark.createDataFrame([(None, a), (5, b)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, words(rng, 30) + " " + a), (2, words(rng, 30) + " " + b), (3, words(rng, 60))], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in op7.overlaps(docs, bench).collect()} == {(1, None), (2, 5)}
+    assert [r.doc_id for r in op7.drop_contaminated(docs, bench).collect()] == [3]
+
+
 def brute_overlaps(docs, items):
     cut = lambda t: [x for x in re.split(r"[\x09-\x0d\x20-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+", (t or "").lower()) if x]
     out = set()
