@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -13,11 +15,13 @@ SCRATCH = "spark.checkpoint.dir"
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names.
 
-    Where nothing is set (tests on one machine), a folder of this process is made once.
+    Where nothing is set on one machine (tests), a folder of this process is made once; a cluster needs the setting.
     """
     shared = spark.conf.get(SCRATCH, None) or spark.sparkContext.getConf().get(SCRATCH)
     if shared:
         return shared.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError(f"set {SCRATCH} to a folder that the driver and all executors share")
     own = getattr(scratch_dir, "_own", None)
     if own is None:
         own = scratch_dir._own = tempfile.mkdtemp(prefix="infocausal-")
@@ -54,3 +58,12 @@ def drop_unread(spark: SparkSession, paths: list[str], frames: list[DataFrame])
 
 def n_tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Drop the shuffle files of plans that nothing refers to any more.
+
+    Spark removes them when the driver's garbage is collected, which may be long after a large job.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
