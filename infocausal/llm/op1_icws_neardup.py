@@ -1,26 +1,28 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF word shingles.
 
-1. Equal texts form a class by their digest; only the smallest id of each goes on.
-2. Shingles of five words weigh tf * idf with idf = 1 + ln(N / max(df, N / COMMON)): a frequency
-   under N / COMMON counts as that much. So only shingles in at least one document of COMMON need
-   a table, and it holds at most COMMON times the mean number of shingles a document, whatever N
-   is; it is found by a pass with fixed counters, then counted exactly.
-3. K samples a document: the shingle with the least a = c / (y e^r), with ln y = r (t - beta) and
+1. Equal texts form a class by their digest and are one text from there on.
+2. Shingles of five words weigh tf * idf, with idf = 1 + ln(N / df) / ln(N) from the exact document
+   frequencies of all shingles (copies count): 2 for a shingle of one document, 1 for one that all
+   have. Dividing by ln(N) keeps the similarity of two given texts from falling as the corpus grows.
+   Frequencies are counted and brought back by units of texts (see units.py).
+3. Two texts can only have a similarity of 0.8 if the shingles that some other text has too hold
+   0.8 of the weight of either. Texts that fail this can have no partner; all others are signed.
+4. K samples a text: the shingle with the least a = c / (y e^r), with ln y = r (t - beta) and
    t = floor(ln w / r + beta). r, c ~ Gamma(2, 1) and beta ~ U(0, 1) come from tables that k-wise
    hashes of the shingle address.
-4. Bands of `rows` samples are bucket keys. Inside a bucket every document is paired with the
+5. Bands of `rows` samples are bucket keys. Inside a bucket every document is paired with the
    bucket's first one and the neighbour by total weight. Pairs whose samples agree in less than
    `screen` of the places (more than three standard deviations under the threshold) are left; the
    others are verified by the exact weighted Jaccard similarity, and links make components.
-5. Of buckets that still hold several components, all pairs of members of different components
+6. Of buckets that still hold several components, all pairs of members of different components
    have their samples compared, in blocks: against the largest component, and among the others.
    First only a forest of the best pairs is verified, as its links settle many of the rest; then
    every pair that is left. So no pair of a bucket goes unexamined, whatever the bucket's size.
 
 Defined cases: null and empty texts are equal to each other; a text of fewer than five words is
-one shingle; ids that are null are in no class (class null); repeated rows are one document in
-the classes and come back as often as they came; an empty table gives an empty result; further
-columns are ignored.
+one shingle; ids that are null are in no class (class null) and count for no frequency; repeated
+rows are one document in the classes, come back as often as they came and count as often; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +33,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from infocausal.llm.common import materialize
-from infocausal.llm.packing import packed, unpacked
+from infocausal.llm.common import free_shuffles, materialize
+from infocausal.llm.units import Plan, deal, documents_with, each_unit, expand, key_pairs, runs, squeeze
 from infocausal.llm.wordhash import chunks, mix, shingle_hashes, word_hashes
 from infocausal.operators.components import connected_components
 
@@ -51,10 +52,6 @@ class NearDup:
     samples: int = 64
     bands: int = 36
     rows: int = 6
-    #: Document frequencies under one in so many count as that.
-    common: int = 20
-    #: Counters of the pass that looks for common shingles.
-    counters_log2: int = 18
     #: Rows of a bucket that are put in order together, or compared with each other in a block.
     piece: int = 1_000
     #: Share of equal samples from which on a pair is verified.
@@ -66,38 +63,20 @@ _TABLE = 1 << 16
 _CHARS = 2_000_000
 
 
-def _raw_shingles(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    return shingle_hashes(*word_hashes([t.lower() for t in texts]), n)
+def shingle_keys(texts: list[str | bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all texts in order and the text of each."""
+    keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    lower = [(t.decode("utf-8") if isinstance(t, bytes) else t).lower() for t in texts]
+    for first, part in chunks(lower, _CHARS):
+        s, at = shingle_hashes(*word_hashes(part), n)
+        keys.append(s)
+        owner.append(np.repeat(np.arange(first, first + len(part)), np.diff(at)))
+    return np.concatenate(keys), np.concatenate(owner)
 
 
-def shingles_of(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text in order, their counts, and offsets by text."""
-    s, at = _raw_shingles(texts, n)
-    doc = np.repeat(np.arange(len(texts)), np.diff(at))
-    order = np.lexsort((s, doc))
-    s, doc = s[order], doc[order]
-    first = np.ones(len(s), bool)
-    first[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])
-    places = np.flatnonzero(first)
-    tf = np.diff(np.concatenate([places, [len(s)]]))
-    return s[places], tf, np.searchsorted(doc[places], np.arange(len(texts) + 1))
-
-
-@dataclass(frozen=True)
-class Weights:
-    """idf of common shingles (sorted by hash); all others have `rare`."""
-
-    hashes: np.ndarray
-    idf: np.ndarray
-    rare: float
-
-    def of(self, s: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        idf = np.full(len(s), self.rare)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, s), len(self.hashes) - 1)
-            hit = self.hashes[at] == s
-            idf[hit] = self.idf[at[hit]]
-        return idf * tf
+def idf(documents: np.ndarray, n: int) -> np.ndarray:
+    """1 + ln(n / documents) / ln(n): from 1 for a shingle of all documents to 2 for one of a single one."""
+    return 1 + np.log(n / documents) / np.log(max(n, 2))
 
 
 @lru_cache(maxsize=4)
@@ -119,23 +98,17 @@ def _log_a(ln_w, r, ln_c, beta):
     return ln_c - r * (t - beta) - r
 
 
-def signatures(s: np.ndarray, w: np.ndarray, at: np.ndarray, usual: float, p: NearDup) -> np.ndarray:
-    """Samples (texts x p.samples) as 64-bit values; texts must have shingles. `usual` is the most frequent weight.
+def signatures(s: np.ndarray, w: np.ndarray, at: np.ndarray, p: NearDup) -> np.ndarray:
+    """Samples (texts x p.samples) as 64-bit values; texts must have shingles.
 
     A shingle with the same ln a has the same t, so the pair (ln a, shingle) stands for (shingle, t).
     """
     multipliers, r, ln_c, beta = _draws(p.samples, p.seed)
-    usual_rank = _rank(_log_a(np.log(usual), r, ln_c, beta))
-    odd = np.flatnonzero(w != usual)
-    ln_odd, low = np.log(w[odd]), s & np.uint64(0xFFFFFFFF)
+    ln_w, low = np.log(w), s & np.uint64(0xFFFFFFFF)
     out = np.empty((len(at) - 1, p.samples), np.uint64)
     for k, m in enumerate(multipliers):
         slot = (s * m) >> np.uint64(48)
-        value = usual_rank[slot]
-        if len(odd):
-            i = slot[odd]
-            value[odd] = _rank(_log_a(ln_odd, r[i], ln_c[i], beta[i]))
-        value |= low
+        value = _rank(_log_a(ln_w, r[slot], ln_c[slot], beta[slot])) | low
         out[:, k] = np.minimum.reduceat(value, at[:-1])
     return out
 
@@ -157,77 +130,34 @@ def band_keys(sig: np.ndarray, p: NearDup) -> np.ndarray:
     return out
 
 
-def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    for batch in it:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for at, part in chunks(texts, _CHARS):
-            yield ids[at : at + len(part)], part
-
-
-def shingle_weights(rows: DataFrame, p: NearDup) -> Weights:
-    """The idf table over all documents (id, text)."""
-    spark, size = rows.sparkSession, 1 << p.counters_log2
-    shift = np.uint64(64 - p.counters_log2)
-    piece = 1 << 10
-
-    def count_slots(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, docs = np.zeros(size, np.int64), 0
-        for _, part in _batches(it):
-            s, _ = _raw_shingles(part, p.words)
-            counts += np.bincount((s >> shift).astype(np.int64), minlength=size)
-            docs += len(part)
-        if docs:
-            blocks = [counts[i : i + piece].tobytes() for i in range(0, size, piece)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*range(len(blocks)), -1], pa.int32()), pa.array([TaskContext.get().partitionId() // 256] * (len(blocks) + 1), pa.int32()),
-                    pa.array([*blocks, np.array([docs]).tobytes()], pa.binary()),
-                ],
-                ["block", "some", "counts"],
-            )
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
-        return pa.table({"block": table.column("block")[:1], "some": table.column("some")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    kind = "block int, some int, counts binary"
-    # First of 256 tasks each, then of those sums: no group holds more than a small share of the tasks' counters.
-    sums = rows.mapInArrow(count_slots, kind).groupBy("block", "some").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind)
-    sums = {r["block"]: np.frombuffer(r["counts"], np.int64) for r in sums.collect()}
-    n = int(sums.pop(-1)[0]) if sums else 0
-    rare = 1 + float(np.log(p.common))
-    least = n / p.common
-    counts = np.concatenate([sums[b] for b in sorted(sums)]) if sums else np.zeros(size, np.int64)
-    full = spark.sparkContext.broadcast(np.packbits(counts >= max(least, 1)))
-
-    def count_candidates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.unpackbits(full.value)[:size].astype(bool)
-        for _, part in _batches(it):
-            s, at = _raw_shingles(part, p.words)
-            on = np.flatnonzero(marked[(s >> shift).astype(np.int64)])
-            s, doc = s[on], np.searchsorted(at, on, side="right")
-            order = np.lexsort((doc, s))
-            s, doc = s[order], doc[order]
-            first = np.concatenate([[True], (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])]) if len(s) else np.zeros(0, bool)
-            found, df = np.unique(s[first], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(df.astype(np.int64))], ["s", "df"])
-
-    if not n or not (counts >= max(least, 1)).any():
-        return Weights(np.zeros(0, np.uint64), np.zeros(0), rare)
-    common = (
-        rows.mapInArrow(count_candidates, "s long, df long").groupBy("s").agg(F.sum("df").alias("df"))
-        .filter(F.col("df") > least).toPandas()
-    )
-    hashes = common["s"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return Weights(hashes[order], (1 + np.log(n / common["df"].to_numpy(np.float64)))[order], rare)
-
-
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of two (sorted hashes, weights); 0 where either has none."""
+@dataclass(frozen=True)
+class Weighed:
+    """Distinct shingles (cut hashes) of some texts, text by text and in order, with their weights."""
+
+    shingles: np.ndarray
+    weights: np.ndarray
+    #: Whether another text has the shingle.
+    shared: np.ndarray
+    offsets: np.ndarray
+
+
+def weigh(texts: list[bytes], copies: np.ndarray, counts: np.ndarray, plan: Plan, p: NearDup) -> Weighed:
+    """tf * idf of a unit's texts; counts as documents_with gives them."""
+    k, owner, tf = key_pairs(*shingle_keys(texts, p.words), len(texts), plan.bits)
+    _, n = runs(k)
+    if len(n) != len(counts):
+        raise ValueError(f"{len(counts)} counts for {len(n)} shingles")
+    documents = np.repeat(counts, n)
+    w = idf(np.where(documents > 0, documents, copies[owner] if len(k) else 0), plan.rows) * tf
+    order = np.argsort(owner, kind="stable")
+    return Weighed(k[order], w[order], documents[order] > 0, np.searchsorted(owner[order], np.arange(len(texts) + 1)))
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.ndarray, float]) -> float:
+    """Weighted Jaccard of two (sorted shingles, weights, weight of all shingles); 0 where either has none."""
     both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     least = np.minimum(a[1][i], b[1][j]).sum()
-    total = a[1].sum() + b[1].sum() - least
+    total = a[2] + b[2] - least
     return float(least / total) if len(both) and total > 0 else 0.0
 
 
@@ -248,39 +178,32 @@ def screened(pairs: DataFrame, sigs: DataFrame, p: NearDup) -> DataFrame:
     return wide.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, weights, p: NearDup) -> DataFrame:
-    """a, b, similarity of the pairs (a, b: ids) with p.similarity or more; the packed texts (id, text) join by id."""
-    wide = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"
-    )
+def verified(found: DataFrame, lists: DataFrame, p: NearDup) -> DataFrame:
+    """a, b, similarity of the pairs (a, b: ids) with p.similarity or more; lists (id, weight, shingles, weights) join by id."""
+    side = lambda x: lists.select(F.col("id").alias(x), F.struct("weight", "shingles", "weights").alias(f"of_{x}"))
+    wide = found.join(side("a"), "a").join(side("b"), "b")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
-            got = np.zeros(len(a))
-            order = list(range(len(a)))
-            at = 0
-            while at < len(order):
-                stop, chars = at, 0
-                while stop < len(order) and (stop == at or chars < _CHARS):
-                    chars += 3 * (len(ta[stop]) + len(tb[stop]))
-                    stop += 1
-                own: dict[bytes, int] = {}
-                for t in (*ta[at:stop], *tb[at:stop]):
-                    own.setdefault(t, len(own))
-                s, tf, offsets = shingles_of([t.decode("utf-8") for t in unpacked(list(own))], p.words)
-                w = weights.value.of(s, tf)
-                cut = [(s[i:j], w[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-                for i in range(at, stop):
-                    got[i] = similarity(cut[own[ta[i]]], cut[own[tb[i]]])
-                at = stop
+            got = np.zeros(batch.num_rows)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                known: dict[int, tuple] = {}
+                ids = [part.column(c).to_pylist() for c in ("a", "b")]
+                for own, c in zip(ids, ("of_a", "of_b"), strict=True):
+                    column = part.column(c)
+                    for i, x in enumerate(own):
+                        if x not in known:
+                            v = column[i].as_py()
+                            known[x] = (np.frombuffer(v["shingles"], "<u8"), expand(v["weights"], "<f8"), v["weight"])
+                got[at : at + 500] = [similarity(known[x], known[y]) for x, y in zip(*ids, strict=True)]
             keep = np.flatnonzero(got >= p.similarity - 1e-12)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep)), pa.array(got[keep])],
                 ["a", "b", "similarity"],
             )
 
-    return wide.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
+    return wide.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long, similarity double")
 
 
 def _bucket_pairs(members: DataFrame, p: NearDup) -> DataFrame:
@@ -414,47 +337,63 @@ def _joined(parts: DataFrame | None, found: DataFrame) -> DataFrame:
     return materialize(old.unionByName(grown.join(parts, "id", "left_anti")), "parts")
 
 
+def signed_texts(rows: DataFrame, plan: Plan, p: NearDup) -> DataFrame:
+    """id, weight, sig, keys, shingles, weights of the distinct texts that can have a partner, from rows (id, text) without nulls.
+
+    shingles and weights are those that another text has too; `weight` is that of all.
+    """
+    dealt = deal(rows, plan)
+    counts = materialize(documents_with(dealt, plan, lambda texts: shingle_keys(texts, p.words)), "counts")
+    free_shuffles(rows.sparkSession)
+
+    def sign(_: int, first: np.ndarray, copies: np.ndarray, texts: list[bytes], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x = weigh(texts, copies, counts, plan, p)
+        ids, starts = [], []
+        whole = np.concatenate([[0.0], np.cumsum(x.weights)])
+        common = np.concatenate([[0.0], np.cumsum(x.weights * x.shared)])
+        i, j = x.offsets[:-1], x.offsets[1:]
+        total = whole[j] - whole[i]
+        have = np.flatnonzero((j > i) & (common[j] - common[i] >= (p.similarity - 1e-6) * total))
+        if not len(have):
+            return
+        ids, size = first[have], (j - i)[have]
+        starts = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(i[have] - starts[:-1], size) + np.arange(starts[-1])
+        s, w, shared = x.shingles[at], x.weights[at], x.shared[at]
+        sig = signatures(s, w, starts, p)
+        keys, short = band_keys(sig, p), mix(sig).astype("<u2")
+        cut = [(s[a:b][shared[a:b]], w[a:b][shared[a:b]]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids), pa.array(np.add.reduceat(w, starts[:-1])), pa.array([v.tobytes() for v in short], pa.binary()),
+                pa.ListArray.from_arrays(np.arange(0, keys.size + 1, p.bands, dtype=np.int32), pa.array(keys.ravel().view(np.int64))),
+                pa.array([c[0].astype("<u8").tobytes() for c in cut], pa.binary()), pa.array([squeeze(c[1].astype("<f8")) for c in cut], pa.binary()),
+            ],
+            ["id", "weight", "sig", "keys", "shingles", "weights"],
+        )
+
+    kind = "id long, weight double, sig binary, keys array<long>, shingles binary, weights binary"
+    return each_unit(dealt, counts, sign, kind)
+
+
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", p: NearDup = NearDup()) -> DataFrame:
     """id, class_id (the smallest id of the class) for every row of docs."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    digests = materialize(rows.select("id", F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
+    digests = materialize(rows.select("id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("size")), "digests")
     known = digests.filter("id is not null")
     firsts = known.groupBy("digest").agg(F.min("id").alias("first"))
-    copies = materialize(known.distinct().join(firsts, "digest").select("id", "first"), "copies")
-    rows = rows.filter("id is not null")
-    weights = shingle_weights(rows, p)
-    shared = spark.sparkContext.broadcast(weights)
-
-    def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, part in _batches(it):
-            s, tf, at = shingles_of(part, p.words)
-            w = shared.value.of(s, tf)
-            have = np.flatnonzero(np.diff(at))
-            if not len(have):
-                continue
-            starts = np.append(at[:-1][have], len(s))
-            sig = signatures(s, w, starts, shared.value.rare, p)
-            keys, short = band_keys(sig, p), mix(sig).astype("<u2")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([ids[i] for i in have], pa.int64()),
-                    pa.array(np.add.reduceat(w, starts[:-1])),
-                    pa.array([x.tobytes() for x in short], pa.binary()),
-                    pa.ListArray.from_arrays(np.arange(0, keys.size + 1, p.bands, dtype=np.int32), pa.array(keys.ravel().view(np.int64))),
-                ],
-                ["id", "weight", "sig", "keys"],
-            )
-
-    signed = materialize(rows.mapInArrow(sign, "id long, weight double, sig binary, keys array<long>"), "signed")
-    reps = copies.filter("id = first").select("id")
-    own = materialize(signed.join(reps, "id", "left_semi").dropDuplicates(["id"]), "reps")
+    copies = materialize(known.select("id", "digest").distinct().join(firsts, "digest").select("id", "first"), "copies")
+    plan = Plan.of(*[x or 0 for x in known.agg(F.count("*"), F.sum("size")).first()])
+    own = materialize(signed_texts(rows.filter("id is not null"), plan, p), "signed")
+    free_shuffles(spark)
     sigs = own.select("id", "sig")
+    lists = own.select("id", "weight", "shingles", "weights")
     members = own.select("id", "weight", F.explode("keys").alias("key"))
-    # Only buckets with company go on, and only their documents' texts are read again.
+    # Only buckets with company go on.
     shared_keys = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = materialize(members.join(shared_keys, "key"), "members")
-    texts, parts, examined = None, None, None
+    parts, examined = None, None
     for turn in range(3):
         if turn == 0:
             pairs = screened(_bucket_pairs(members, p), sigs, p)
@@ -466,10 +405,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Ne
         if pairs.isEmpty():
             continue
         examined = pairs if examined is None else examined.unionByName(pairs)
-        if texts is None:
-            need = members.select("id").distinct()
-            texts = materialize(packed(rows.join(need, "id", "left_semi").dropDuplicates(["id"])), "texts")
-        found = materialize(verified(pairs, texts, shared, p).select("a", "b"), "links")
+        found = materialize(verified(pairs, lists, p).select("a", "b"), "links")
         if not found.isEmpty():
             parts = _joined(parts, found)
     classes = copies

@@ -27,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from infocausal.llm.common import release
 from infocausal.llm.pieces import PieceTable
 
 #: Pieces and words kept per Python worker.
@@ -206,6 +207,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
                     [*[own.column(n) for n in names], pa.ListArray.from_arrays(offsets, values), pa.array(decoded, pa.string())],
                     [*names, "ids", "decoded"],
                 )
+            release()
 
     out = rows.mapInArrow(run, f"{kinds}, ids array<int>, decoded string")
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, (key, *keep), strict=True)], "ids", "decoded")

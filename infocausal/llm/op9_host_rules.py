@@ -30,21 +30,20 @@ class HostRules:
     max_repeat_percent: int = 50
     #: A host whose shrunken failure rate is above this is rejected.
     max_host_rate: float = 0.5
-    #: Weight of the prior where all hosts have the same rate, in documents.
+    #: Weight of the prior, in documents, where the hosts' rates differ no more than chance explains.
     flat_prior: float = 1000.0
 
 
 def _repeated_words(words: Column) -> Column:
     """Words inside a window of three that comes twice or more in the text.
 
-    Windows are sorted by a 64-bit hash together with their place; equal neighbours repeat.
-    A repeated window at place i adds min(3, i - previous repeated place) words.
+    Most texts have no such window: a set of the windows' 64-bit hashes tells. In the others, windows
+    are sorted by hash and place; equal neighbours repeat, and a repeated window at place i adds
+    min(3, i - previous repeated place) words.
     """
-    windows = F.transform(
+    hashes = F.transform(
         F.sequence(F.lit(0), F.size(words) - 3),
-        lambda i: F.struct(
-            F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")
-        ),
+        lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
     )
 
     def covered(s: Column) -> Column:
@@ -58,7 +57,15 @@ def _repeated_words(words: Column) -> Column:
             lambda acc: acc["n"],
         )
 
-    return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(let(F.sort_array(windows), covered))
+    def repeats(h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(placed, covered))
+
+    return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(let(hashes, repeats))
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
 def base_counts(text: Column) -> Column:
@@ -73,17 +80,18 @@ def base_counts(text: Column) -> Column:
         )
 
     return F.struct(
-        let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), counts).alias("w"),
+        let(_words(text), counts).alias("w"),
         F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
 
 
-def base_failed(counts: Column, rules: HostRules) -> Column:
+def base_failed(text: Column, rules: HostRules) -> Column:
+    """The base rule alone, from the two counts that it needs; repeats are looked for in texts that are long enough only."""
     return let(
-        counts,
-        lambda c: (c["w"]["n_words"] < rules.min_words) | (100 * c["w"]["n_repeat_words"] > rules.max_repeat_percent * c["w"]["n_words"]),
+        _words(text),
+        lambda w: (F.size(w) < rules.min_words) | (100 * _repeated_words(w) > rules.max_repeat_percent * F.size(w)),
     )
 
 
@@ -109,15 +117,16 @@ def with_counts(docs: DataFrame, text: str, keep: list[Column], rules: HostRules
 def host_verdicts(hosts: DataFrame, rules: HostRules) -> DataFrame:
     """host, docs `n`, failures `k` -> host, shrunken rate, ok.
 
-    Beta(a, b) by moments over the hosts' rates: mean m and variance v give
-    a + b = m (1 - m) / v - 1. The two moments are the only values that the driver sees.
+    Beta(a, b) by moments over the hosts' rates: mean m and variance v give a + b = m (1 - m) / v - 1.
+    From the variance of the rates goes what the draw of n documents a host adds to it, m (1 - m) / n
+    on average. The three moments are the only values that the driver sees.
     """
     rate = F.col("k") / F.col("n")
-    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
+    m, spread, per_document = hosts.agg(F.avg(rate), F.var_pop(rate), F.avg(1 / F.col("n"))).first()
     if m is None:
         return hosts.select("host", F.lit(0.0).alias("host_rate"), F.lit(True).alias("host_ok"))
-    strength = m * (1 - m) / v - 1 if v > 0 else rules.flat_prior
-    strength = min(max(strength, 0.0), rules.flat_prior)
+    v = spread - m * (1 - m) * per_document
+    strength = max(m * (1 - m) / v - 1, 0.0) if v > 0 else rules.flat_prior
     shrunken = (F.col("k") + m * strength) / (F.col("n") + strength)
     return hosts.select(
         "host", shrunken.alias("host_rate"), (shrunken <= rules.max_host_rate).alias("host_ok")
@@ -145,9 +154,9 @@ def host_rules(
 def keep_good(docs: DataFrame, rules: HostRules = HostRules(), text: str = "text", host: str = "source") -> DataFrame:
     """The rows of `docs` that pass, with its columns only.
 
-    The counts are made twice, for the hosts and for the rows, so that no copy of the texts is written.
+    The rule is applied twice, for the hosts and for the rows, so that no copy of the texts is written.
     """
-    failed = base_failed(base_counts(docs[text]), rules)
+    failed = base_failed(docs[text], rules)
     hosts = docs.select(docs[host].alias("host"), failed.cast("long").alias("f")).groupBy("host").agg(
         F.count("*").alias("n"), F.sum("f").alias("k")
     )

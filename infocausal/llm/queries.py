@@ -146,8 +146,8 @@ b AS (SELECT g.doc_id, source, len(words)::BIGINT AS n_words,
       FROM g LEFT JOIN n USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS k FROM f GROUP BY source),
-m AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h),
-s AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 0), 1000) ELSE 1000 END AS s FROM m),
+m AS (SELECT avg(k / n) AS m, var_pop(k / n) - avg(k / n) * (1 - avg(k / n)) * avg(1 / n) AS v FROM h),
+s AS (SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 0) ELSE 1000 END AS s FROM m),
 o AS (SELECT source, (k + m * s) / (n + s) <= 0.5 AS ok FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept
 FROM f JOIN o ON f.source IS NOT DISTINCT FROM o.source

@@ -3,7 +3,7 @@ import hashlib
 import corpus_pipeline
 import pytest
 
-from infocausal.llm import op1_icws_neardup as op1, queries
+from infocausal.llm import queries
 from tests.llm.fixtures import words
 from tests.llm.test_operators import brute_classes, brute_overlaps, brute_repeats, plain_counts, tokenizer
 from tests.oracle import check
@@ -25,8 +25,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = [(i, t) for i, t, *_ in rows if (c := plain_counts(t))[0] >= 50 and 100 * c[4] <= 50 * c[0]]
-    frame = spark.createDataFrame(docs, "id long, text string")
-    classes = brute_classes(docs, weights=op1.shingle_weights(frame, op1.NearDup()))
+    classes = brute_classes(docs)
     docs = [(i, t) for i, t in docs if classes[i] == i]
     cut = brute_repeats(docs)
     docs = [(i, cut[i][2].decode(errors="ignore")) for i, _ in docs]
