@@ -14,10 +14,10 @@
    bucket's first one and the neighbour by total weight. Pairs whose samples agree in less than
    `screen` of the places (more than three standard deviations under the threshold) are left; the
    others are verified by the exact weighted Jaccard similarity, and links make components.
-6. Of buckets that still hold several components, all pairs of members of different components
-   have their samples compared, in blocks: against the largest component, and among the others.
-   First only a forest of the best pairs is verified, as its links settle many of the rest; then
-   every pair that is left. So no pair of a bucket goes unexamined, whatever the bucket's size.
+6. Of buckets that still hold several components, all pairs of members of different components are
+   compared exactly, in blocks: against the largest component, and among the others. A block looks
+   up its members' shingles in an index of its own and sends a forest of the links that it found,
+   so no pair of a bucket goes unexamined and what travels follows members, not pairs.
 
 Defined cases: null and empty texts are equal to each other; a text of fewer than five words is
 one shingle; ids that are null are in no class (class null) and count for no frequency; repeated
@@ -52,8 +52,9 @@ class NearDup:
     samples: int = 64
     bands: int = 36
     rows: int = 6
-    #: Rows of a bucket that are put in order together, or compared with each other in a block.
+    #: Rows of a bucket that are put in order together, or compared with each other in a block, and bytes of their lists.
     piece: int = 1_000
+    piece_bytes: int = 8_000_000
     #: Share of equal samples from which on a pair is verified.
     screen: float = 0.64
     seed: int = 7
@@ -217,21 +218,23 @@ def _bucket_pairs(members: DataFrame, p: NearDup) -> DataFrame:
     return out.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 
-#: Members of a bucket's largest component in a block, in pieces.
-_WIDE = 8
-
-
 def _cells(members: DataFrame, p: NearDup) -> DataFrame:
-    """The members (key, id, part, sig) of buckets with several parts, dealt to blocks (key, wide, i, j) with a side.
+    """The members (key, id, part, size) of buckets with several parts, dealt to blocks (key, wide, i, j) with a side.
 
     Wide blocks compare others (side false) with the largest part (true). The rest compare the others:
     block i = j with itself, i < j with each other. Buckets of two members need no block: they were paired.
     """
-    by = members.groupBy("key", "part").agg(F.count("*").alias("c"))
-    shape = by.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("k"), F.max(F.struct("c", "part")).alias("big")).filter("k > 1 and n > 2")
+    by = members.groupBy("key", "part").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+    shape = by.groupBy("key").agg(
+        F.sum("c").alias("n"), F.sum("s").alias("all"), F.count("*").alias("k"), F.max(F.struct("c", "part", "s")).alias("big")
+    ).filter("k > 1 and n > 2")
+
+    def pieces(count, size):
+        return F.ceil(F.greatest(count / p.piece, size / p.piece_bytes)).cast("int")
+
     shape = shape.select(
-        "key", F.col("big.part").alias("big"), F.ceil((F.col("n") - F.col("big.c")) / p.piece).cast("int").alias("rest_n"),
-        F.ceil(F.col("big.c") / (p.piece * _WIDE)).cast("int").alias("big_n"),
+        "key", F.col("big.part").alias("big"), pieces(F.col("n") - F.col("big.c"), F.col("all") - F.col("big.s")).alias("rest_n"),
+        pieces(F.col("big.c"), F.col("big.s")).alias("big_n"),
     )
     rest = F.col("part") != F.col("big")
     rows = members.join(shape, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.when(rest, F.col("rest_n")).otherwise(F.col("big_n"))).cast("int"))
@@ -245,81 +248,101 @@ def _cells(members: DataFrame, p: NearDup) -> DataFrame:
     against = F.transform(up_to("big_n"), lambda j: cell(True, block, j, F.lit(False)))
     largest = F.transform(up_to("rest_n"), lambda i: cell(True, i, block, F.lit(True)))
     cells = F.explode(F.when(rest, F.concat(among, against)).otherwise(largest)).alias("cell")
-    return rows.select("key", "id", "part", "sig", cells).select("key", "cell.*", "id", "part", "sig")
-
-
-def _compared(ids: np.ndarray, part: np.ndarray, side: np.ndarray, sig: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
-    """Rows x, y of a block in different parts whose samples agree in `least` of the places, and the share."""
-    left, right = (np.flatnonzero(~side), np.flatnonzero(side)) if side.any() else (np.arange(len(ids)), None)
-    xs, ys, shares = [], [], []
-    for n, x in enumerate(left):
-        y = left[n + 1 :] if right is None else right
-        y = y[part[y] != part[x]]
-        if len(y):
-            share = (sig[y] == sig[x]).mean(1)
-            on = np.flatnonzero(share >= least)
-            xs.append(np.full(len(on), x))
-            ys.append(y[on])
-            shares.append(share[on])
-    return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in (xs, ys, shares))
-
-
-def _forest(x: np.ndarray, y: np.ndarray, share: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """Places of the pairs, best share first, that join parts not joined by those before."""
+    return rows.select("key", "id", "part", cells).select("key", "cell.*", "id", "part")
+
+
+def block_links(part: np.ndarray, side: np.ndarray, total: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows x, y of a block in different parts with a similarity of `least` or more: a forest of them.
+
+    Rows of different sides are compared, or all if there is one side. lists: shingles and weights of the rows.
+    """
+    left, right = (np.flatnonzero(~side), np.flatnonzero(side)) if side.any() else (np.arange(len(part)), np.arange(len(part)))
+    xs, ys = [], []
+    if len(left) and len(right):
+        size = np.array([len(x[0]) for x in lists])
+        shingles, slot = np.unique(np.concatenate([x[0] for x in lists]), return_inverse=True)
+        weight, owner = np.concatenate([x[1] for x in lists]), np.repeat(np.arange(len(part)), size)
+        place = np.full(len(part), -1)
+        place[right] = np.arange(len(right))
+        on = np.flatnonzero(place[owner] >= 0)
+        on = on[np.argsort(slot[on], kind="stable")]
+        first = np.searchsorted(slot[on], np.arange(len(shingles) + 1))
+        index, index_weight = place[owner[on]], weight[on]
+        ends = np.cumsum(size)
+        hits = first[slot + 1] - first[slot]
+        work = np.add.reduceat(np.append(hits, 0), ends - size) * (size > 0)
+        at = 0
+        while at < len(left):
+            stop = at + max(1, int(np.searchsorted(np.cumsum(work[left[at:]] + len(right)), 4_000_000, side="right")))
+            own = left[at:stop]
+            mine = np.concatenate([np.arange(ends[i] - size[i], ends[i]) for i in own])
+            n = hits[mine]
+            skip = np.cumsum(n) - n
+            post = np.repeat(first[slot[mine]] - skip, n) + np.arange(n.sum())
+            row = np.repeat(np.repeat(np.arange(len(own)), size[own]), n)
+            common = np.bincount(row * len(right) + index[post], np.minimum(np.repeat(weight[mine], n), index_weight[post]), len(own) * len(right))
+            common = common.reshape(len(own), len(right))
+            near = common >= (least - 1e-12) * (total[own][:, None] + total[right][None, :] - common)
+            i, j = np.nonzero(near & (part[own][:, None] != part[right][None, :]) & (common > 0))
+            xs.append(own[i])
+            ys.append(right[j])
+            at = stop
+    x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (xs, ys))
+    on = _forest(part[x], part[y])
+    return x[on], y[on]
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Places of the links between parts that join parts not joined by those before."""
     root: dict[int, int] = {}
 
-    def find(v: int) -> int:
-        while (r := root.get(v, v)) != v:
-            root[v] = root.get(r, r)
-            v = r
-        return v
+    def find(x: int) -> int:
+        while (r := root.get(x, x)) != x:
+            root[x] = root.get(r, r)
+            x = r
+        return x
 
     keep = []
-    for k in np.argsort(-share, kind="stable"):
-        u, v = find(int(part[x[k]])), find(int(part[y[k]]))
-        if u != v:
-            root[u] = v
+    _, once = np.unique(np.stack([u, v]), axis=1, return_index=True) if len(u) else (None, [])
+    for k in once:
+        a, b = find(int(u[k])), find(int(v[k]))
+        if a != b:
+            root[a] = b
             keep.append(k)
     return np.array(keep, np.int64)
 
 
-def _remaining_pairs(members: DataFrame, sigs: DataFrame, p: NearDup, forest: bool) -> DataFrame:
-    """a < b of different parts from members (key, id, part) that share a bucket and pass the screen: all, or a forest a block."""
+def remaining_links(members: DataFrame, lists: DataFrame, p: NearDup) -> DataFrame:
+    """a < b: links between different parts of members (key, id, part, size) that share a bucket, enough to join all that any link joins."""
 
-    def blocks(cols: tuple[np.ndarray, ...], ends: np.ndarray) -> pa.RecordBatch:
-        a, b, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-        for end in ends:
-            ids, part, side, sig = (c[at:end] for c in cols[4:])
-            x, y, share = _compared(ids, part, side, sig, p.screen)
-            if forest and len(x):
-                on = _forest(x, y, share, part)
-                x, y = x[on], y[on]
-            if len(x):
-                a.append(np.minimum(ids[x], ids[y]))
-                b.append(np.maximum(ids[x], ids[y]))
-            at = end
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+    def link(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, part, side, total = (rows.column(c).to_numpy() for c in ("id", "part", "side", "weight"))
+        cut = list(zip([np.frombuffer(x, "<u8") for x in rows.column("shingles").to_pylist()], [expand(x, "<f8") for x in rows.column("weights").to_pylist()], strict=True))
+        x, y = block_links(part, side.astype(bool), total, cut, p.similarity)
+        return np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.RecordBatch] = []
         for batch in it:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "wide", "i", "j", "id", "part", "side")]
-            cols.append(np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(batch.num_rows, p.samples))
-            if held is not None:
-                cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
-            new = np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)
-            ends = np.flatnonzero(new) + 1
-            yield blocks(tuple(cols), ends)
-            last = ends[-1] if len(ends) else 0
-            held = [c[last:] for c in cols]
-        if held is not None:
-            yield blocks(tuple(held), np.array([len(held[0])]))
+            cell = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "wide", "i", "j")]
+            cut = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in cell], axis=0)) + 1).tolist() if batch.num_rows else []
+            if held and batch.num_rows and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in ("key", "wide", "i", "j")):
+                cut = [0, *cut]
+            found, last = [], 0
+            for at in cut:
+                held.append(batch.slice(last, at - last))
+                found.append(link(pa.Table.from_batches(held)))
+                held, last = [], at
+            held.append(batch.slice(last))
+            held = [b for b in held if b.num_rows]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in link(pa.Table.from_batches(held))], ["a", "b"])
 
     cell = ["key", "wide", "i", "j"]
-    dealt = _cells(members.join(sigs, "id"), p).repartition(*cell).sortWithinPartitions(*cell)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = _cells(members, p).join(lists, "id").repartition(*cell).sortWithinPartitions(*cell)
+    return dealt.select(*cell, "side", "id", "part", "weight", "shingles", "weights").mapInArrow(run, "a long, b long").distinct()
 
 
 def _joined(parts: DataFrame | None, found: DataFrame) -> DataFrame:
@@ -389,25 +412,19 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Ne
     free_shuffles(spark)
     sigs = own.select("id", "sig")
     lists = own.select("id", "weight", "shingles", "weights")
-    members = own.select("id", "weight", F.explode("keys").alias("key"))
+    size = (F.octet_length("shingles") + 100).cast("long").alias("size")
+    members = own.select("id", "weight", size, F.explode("keys").alias("key"))
     # Only buckets with company go on.
     shared_keys = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = materialize(members.join(shared_keys, "key"), "members")
-    parts, examined = None, None
-    for turn in range(3):
-        if turn == 0:
-            pairs = screened(_bucket_pairs(members, p), sigs, p)
-        else:
-            now = members.select("key", "id")
-            now = now.withColumn("part", F.col("id")) if parts is None else now.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-            pairs = _remaining_pairs(now, sigs, p, forest=turn == 1)
-        pairs = materialize(pairs if examined is None else pairs.join(examined, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        examined = pairs if examined is None else examined.unionByName(pairs)
-        found = materialize(verified(pairs, lists, p).select("a", "b"), "links")
-        if not found.isEmpty():
-            parts = _joined(parts, found)
+    near = materialize(screened(_bucket_pairs(members, p), sigs, p), "pairs")
+    found = materialize(verified(near, lists, p).select("a", "b"), "links")
+    parts = None if found.isEmpty() else _joined(None, found)
+    now = members.select("key", "id", "size")
+    now = now.withColumn("part", F.col("id")) if parts is None else now.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
+    found = materialize(remaining_links(now.select("key", "id", "part", "size"), lists, p), "links")
+    if not found.isEmpty():
+        parts = _joined(parts, found)
     classes = copies
     if parts is not None:
         parts = parts.withColumnRenamed("id", "member")

@@ -145,6 +145,32 @@ def test_large_mixed_bucket_finds_every_pair(spark):
     assert [(a, b) for a, b in planted if got[b] != got[a]] == []
 
 
+def test_block_links_equal_all_pairs():
+    rng = np.random.default_rng(5)
+    for turn in range(30):
+        n = int(rng.integers(1, 40))
+        lists = [(x := np.sort(rng.choice(30, int(rng.integers(0, 12)), replace=False).astype(np.uint64)), rng.integers(1, 3, len(x)).astype(float)) for _ in range(n)]
+        total = np.array([w.sum() for _, w in lists]) + rng.integers(0, 2, n)
+        part, side = rng.integers(0, 12, n), rng.random(n) < 0.4 if turn % 2 else np.zeros(n, bool)
+        x, y = op1.block_links(part, side, total, lists, 0.5)
+        want = {(i, j) for i in range(n) for j in range(n) if (side[j] and not side[i] if side.any() else i < j) and part[i] != part[j] and op1.similarity((*lists[i], total[i]), (*lists[j], total[j])) >= 0.5}
+
+        def closed(links, part=part):
+            root = {}
+
+            def find(v):
+                while root.get(v, v) != v:
+                    v = root[v]
+                return v
+
+            for i, j in links:
+                a, b = sorted((find(part[i]), find(part[j])))
+                root[b] = a
+            return [find(v) for v in part]
+
+        assert closed(zip(x.tolist(), y.tolist(), strict=True)) == closed(want) and len(x) <= n
+
+
 def test_documents_with_a_key(spark):
     """Counts over many small units, with more texts than spare bits, against plain counting."""
     texts = [f"{i % 7} {i % 11} {i % 13} same" for i in range(400)]
