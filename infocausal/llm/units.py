@@ -39,6 +39,7 @@ class Plan:
     """How a corpus of so many rows and text bytes is cut."""
 
     rows: int
+    text_bytes: int
     units: int
     buckets_log2: int
     #: Bits of a key that travel: enough that a corpus' keys rarely collide.
@@ -46,11 +47,16 @@ class Plan:
 
     @classmethod
     def of(cls, rows: int, text_bytes: int) -> Plan:
-        def parts(size: int, least: int) -> int:
-            return max(1, -(-size // min(max(size // PARTS, least), MOST_BYTES)))
+        buckets = _parts(8 * text_bytes // BYTES_PER_KEY, BUCKET_BYTES)
+        return cls(rows, text_bytes, _parts(text_bytes, UNIT_BYTES), max(3, (buckets - 1).bit_length()), max(48, text_bytes.bit_length() + 12))
 
-        buckets = parts(8 * text_bytes // BYTES_PER_KEY, BUCKET_BYTES)
-        return cls(rows, parts(text_bytes, UNIT_BYTES), max(3, (buckets - 1).bit_length()), max(48, text_bytes.bit_length() + 12))
+    def parts(self, least: int) -> int:
+        """Parts of about `least` bytes, or larger ones, that the text makes."""
+        return _parts(self.text_bytes, least)
+
+
+def _parts(size: int, least: int) -> int:
+    return max(1, -(-size // min(max(size // PARTS, least), MOST_BYTES)))
 
 
 def deal(rows: DataFrame, plan: Plan) -> DataFrame:

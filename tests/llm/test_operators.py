@@ -23,6 +23,7 @@ from infocausal.llm import (
     op8_bwt_dedup as op8,
     op9_host_rules as op9,
     op10_chat_format as op10,
+    units,
 )
 from infocausal.llm.common import scratch_dir
 from infocausal.llm.units import Plan, deal, documents_with, each_unit, key_pairs
@@ -183,7 +184,7 @@ def test_documents_with_a_key(spark):
 
     df = Counter(w for _, t in docs for w in set(t.split()))
     distinct = Counter(w for t in set(texts) for w in set(t.split()))
-    for plan in (Plan(450, 9, 4, 48), Plan(450, 2, 3, 60)):
+    for plan in (Plan(450, 1, 9, 4, 48), Plan(450, 1, 2, 3, 60)):
         dealt = deal(rows, plan)
         seen = {}
 
@@ -450,19 +451,20 @@ def brute_repeats(docs, n=op8.LENGTH):
     return out
 
 
-@pytest.mark.parametrize("hot", [op8.HOT, 1])
-def test_repeats_equal_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("split", "merge_bytes"), [(op8.SPLIT, op8.MERGE_BYTES), (0, op8.MERGE_BYTES), (op8.SPLIT, 300)])
+def test_repeats_equal_brute_force(spark, monkeypatch, split, merge_bytes):
+    monkeypatch.setattr(op8, "SPLIT", split)
+    monkeypatch.setattr(op8, "MERGE_BYTES", merge_bytes)
+    monkeypatch.setattr(units, "UNIT_BYTES", 6000)
+    monkeypatch.setattr(op8, "BIN_BYTES", 9000)
     docs = messy(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    if hot == 1:
-        shared = op8._shared_keys
-        monkeypatch.setattr(op8, "_shared_keys", lambda *a: shared(*a).withColumn("hot", F.lit(True)))
     want = brute_repeats([r for r in dict(rows).items() if r[0] is not None])
     got = op8.remove_repeats(docs, carry=(F.col("doc_id"), F.col("text"))).select("row.*", "n_bytes", "spans", "kept").collect()
     assert len(got) == len(rows)
     for r in got:
-        n, runs, kept = want[r.doc_id] if r.doc_id is not None else (len(r.text), [], r.text.encode())
-        assert (r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) == (n, runs, kept), r.doc_id
+        n, found, kept = want[r.doc_id] if r.doc_id is not None else (len(r.text), [], r.text.encode())
+        assert (r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) == (n, found, kept), r.doc_id
     assert sum(len(x[1]) for x in want.values()) > 10
     clean = op8.drop_repeats(docs)
     assert clean.columns == docs.columns and clean.count() == len(rows)
@@ -472,16 +474,42 @@ def test_repeats_equal_brute_force(spark, monkeypatch, hot):
     assert op8.remove_repeats(empty(spark)).count() == 0 and op8.drop_repeats(empty(spark)).count() == 0
 
 
+def test_the_merge_finds_what_goes(spark, monkeypatch):
+    """Without the merged transforms only segments that are equal as a whole are left to be found."""
+    rng = random.Random(21)
+    base = words(rng, 40)
+    rows = [(i, words(rng, 20) + base[i : i + 51] + words(rng, 20)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    run = lambda: {r.row.doc_id: bytes(r.kept) for r in op8.remove_repeats(docs).collect()}
+    assert run() == {i: x[2] for i, x in brute_repeats(rows).items()}
+    assert sum(len(x) < len(rows[i][1]) for i, x in run().items()) >= 25
+    plan = Plan.of(len(rows), sum(len(t) for _, t in rows))
+    dealt = deal(docs.withColumnRenamed("doc_id", "id"), plan)
+    found = [r.asDict() for r in op8._segments(dealt, documents_with(dealt, plan, op8.minimizer_keys), plan, 1).collect()]
+    assert len(set(op8.bin_spans(found)[0].tolist())) >= 25
+    monkeypatch.setattr(op8, "covered_windows", lambda *a: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert len(set(op8.bin_spans(found)[0].tolist())) <= 5
+
+
+def test_repeats_of_one_byte(spark):
+    docs = [(1, "a" * 300_000), (2, "b" + "a" * 200_000 + "c"), (3, "ab" * 50_000), (4, "b" * 49 + "a" * 49), (5, "xab" + "ab" * 40)]
+    want = {1: (0, 0), 2: (200_000, 1), 3: (0, 0), 4: (50, 1), 5: (82, 1)}
+    got = {r.row.doc_id: (sum(s.end - s.start for s in r.spans), len(r.spans)) for r in op8.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_merged_transforms_find_all_repeats():
     rng = random.Random(4)
     segments = ["".join(rng.choice("ab") for _ in range(rng.randint(50, 70))).encode() for _ in range(60)]
     shared = "".join(rng.choice("abc") for _ in range(60)).encode()
     segments += [b"q" * k + shared[k : k + 52] + b"w" * 3 for k in range(6)] + [b"z" * 80, b"z" * 51, b"\x00" * 55, b"\xff" * 50]
     ids = [rng.randint(0, 40) for _ in segments]
-    got = op8.covered_windows(segments, ids)
-    for s, i, found in zip(segments, ids, got, strict=True):
-        want = [p for p in range(len(s) - 49) if any(j < i and s[p : p + 50] in x for x, j in zip(segments, ids, strict=True))]
-        assert found.tolist() == want
+    for shards in (1, 4):
+        string, offset = op8.covered_windows(
+            np.frombuffer(b"".join(segments), np.uint8), np.array([len(s) for s in segments]), np.zeros(len(segments)), np.array(ids), np.arange(len(segments)) % shards
+        )
+        want = [(k, p) for k, (s, i) in enumerate(zip(segments, ids, strict=True)) for p in range(len(s) - 49) if any(j < i and s[p : p + 50] in x for x, j in zip(segments, ids, strict=True))]
+        assert list(zip(string.tolist(), offset.tolist(), strict=True)) == want
 
 
 # ------------------------------------------------------------------ 9
