@@ -44,12 +44,12 @@ GRAM = 24
 STEP = 7
 SHARDS = 4
 #: Bytes of strings whose shards are merged together. Cuts are made between keys, so no repeat is lost.
-MERGE_BYTES = 2_000_000
+MERGE_BYTES = 1_000_000
 #: Documents of a key from which on its windows travel one by one, each to the bin of its own hash.
 SPLIT = 50_000
 #: Bytes of segments in a bin, about; like units, bins grow before they become more.
-BIN_BYTES = 8_000_000
-_BYTES = 2_000_000
+BIN_BYTES = 4_000_000
+_BYTES = 1_000_000
 
 
 class Windows:
@@ -139,10 +139,12 @@ def _segments(dealt: DataFrame, counts: DataFrame, plan: Plan, bins: int) -> Dat
     """For each unit and bin: keys, names (hashes), sizes and bytes of its distinct segments, and its places: which segment, document, start."""
 
     def run(unit: int, first: np.ndarray, copies: np.ndarray, texts: list[bytes], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        known = np.unique(minimizer_keys(texts)[0] >> np.uint64(64 - plan.bits))
+        pieces = list(_pieces(texts))
+        known = np.unique(np.concatenate([w.key for _, w in pieces] or [np.zeros(0, np.uint64)]) >> np.uint64(64 - plan.bits))
         if len(known) != len(counts):
             raise ValueError(f"{len(counts)} counts for {len(known)} keys")
-        for at, w in _pieces(texts):
+        while pieces:
+            at, w = pieces.pop()
             key = w.key >> np.uint64(64 - plan.bits)
             n = counts[np.searchsorted(known, key)] if len(known) else np.zeros(0, np.int64)
             cold, hot = np.flatnonzero((n > 0) & (n <= SPLIT)), np.flatnonzero(n > SPLIT)
@@ -313,7 +315,7 @@ def bin_spans(rows: list[dict], merge_bytes: int = MERGE_BYTES) -> tuple[np.ndar
     # Documents after a string's first lose it whole; the first loses the windows that the merge found.
     later = doc > first[hold]
     docs, starts, ends = [doc[later]], [start[later]], [start[later] + size[hold[later]]]
-    if hits:
+    if sum(len(x) for x, _ in hits):
         string, offset = (np.concatenate(c) for c in zip(*hits, strict=True))
         cut = np.flatnonzero(np.concatenate([[True], (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1)]))
         last = np.append(cut[1:], len(string)) - 1
