@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of `documents`. When a stage
-starts, the scratch tables of the stages before it go, but for those that its docs still read.
+starts, the scratch tables of the stages before it over the same sf_dir go, but for those that its
+docs still read; so one pipeline at a time runs over a folder in a process.
+
+Defined cases, in every stage: an empty table gives an empty result; a document with a null id is
+never dropped as a copy, repeat or contaminated one (it can still fail the quality rules); rows
+that are repeated whole are one document from near-dedup on; null text fails the quality rules;
+further columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -18,16 +24,18 @@ from infocausal.scratch import drop_unread
 from infocausal.llm.queries import bpe_digests
 
 
-_own: list[str] = []
+#: Scratch tables of the last stages, by input folder.
+_own: dict[str, list[str]] = {}
 
 
 def stage(f):
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_unread(spark, _own, [docs])
+        own = _own.setdefault(sf_dir, [])
+        drop_unread(spark, own, [docs])
         before = len(scratch.tables)
         out = f(spark, docs, sf_dir)
-        _own.extend(scratch.tables[before:])
+        own.extend(scratch.tables[before:])
         return out
 
     return run_stage
