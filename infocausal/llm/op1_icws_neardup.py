@@ -61,7 +61,7 @@ class NearDup:
 
 
 _TABLE = 1 << 16
-_CHARS = 2_000_000
+_CHARS = 1_000_000
 
 
 def shingle_keys(texts: list[str | bytes], n: int) -> tuple[np.ndarray, np.ndarray]:

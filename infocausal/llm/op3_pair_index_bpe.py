@@ -3,8 +3,8 @@
 The distinct new pieces of a batch are laid out as one symbol array. An index maps each mergeable
 pair to all its positions; active ranks are taken in ascending order from a heap, all positions of
 the rank are merged from left to right, and the lists of the neighbouring pairs are extended.
-Pieces (what stands between spaces) repeat all over a corpus, so their ids are kept per worker in
-a table of bounded size. The vocabulary file is read on the driver and broadcast (its size is
+Pieces (what stands between spaces) repeat all over a corpus, so a task keeps their ids in a table
+of bounded size. The vocabulary file is read on the driver and broadcast (its size is
 fixed by the file).
 
 Defined cases: null text is empty; empty text has no ids and decodes to the empty string; repeated
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from infocausal.llm.common import release
 from infocausal.llm.pieces import PieceTable
 
-#: Pieces and words kept per Python worker.
+#: Pieces and words kept by a task.
 CACHED_PIECES, CACHED_WORDS = 500_000, 200_000
 #: Characters of text that are looked at for new pieces at a time.
 CHUNK_CHARS = 1_000_000
@@ -208,6 +208,9 @@ def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
                     [*names, "ids", "decoded"],
                 )
             release()
+        model.pieces.clear()
+        model.known.clear()
+        release()
 
     out = rows.mapInArrow(run, f"{kinds}, ids array<int>, decoded string")
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, (key, *keep), strict=True)], "ids", "decoded")

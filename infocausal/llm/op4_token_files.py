@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from infocausal.llm.common import n_tasks
+from infocausal.llm.common import n_tasks, release
 from infocausal.llm.pieces import PieceTable
 
 END_ID = 2
@@ -44,7 +44,7 @@ DICTIONARY_BYTES = 112_640
 LEVEL = 1
 #: Bytes of ids in a block, before compression; a longer document is a block of its own.
 BLOCK_BYTES = 4_000_000
-#: Pieces kept per Python worker.
+#: Pieces kept by a task.
 CACHED_PIECES = 800_000
 CHUNK_CHARS = 1_000_000
 _BLOCKS = (
@@ -193,6 +193,8 @@ def write_tokens(
                 at += len(chunk)
         if ids:
             yield block()
+        tok.table.clear()
+        release()
 
     ordered = rows.repartitionByRange(n_tasks(spark), "doc_id").sortWithinPartitions("doc_id", F.crc32(F.col("text").cast("binary")))
     ordered.mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")

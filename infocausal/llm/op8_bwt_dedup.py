@@ -26,15 +26,17 @@ an empty table gives an empty result; further columns are kept apart under `row`
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from infocausal.llm.common import free_shuffles, materialize, n_tasks, release
-from infocausal.llm.packing import packed, unpacked
+from infocausal.llm.packing import LEVEL, unpacked
 from infocausal.llm.units import Plan, deal, documents_with, each_unit, expand, groups, runs, squeeze
 from infocausal.llm.wordhash import mix, powers, prefix_hashes
 
@@ -355,20 +357,23 @@ def _spans(segments: DataFrame, dests: int) -> DataFrame:
     return together.mapInArrow(run, "dest int, docs binary, starts binary, ends binary")
 
 
-def _with_dest(rows: DataFrame, dests: int) -> DataFrame:
-    """rows (.., _doc, text) with the place where each is cut; those without an id go by their text."""
+def _sent(rows: DataFrame, dests: int) -> DataFrame:
+    """rows (.., _doc, text) with packed texts and the place where each is cut; those without an id go by their text."""
+    at = rows.columns.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=LEVEL)
         for batch in it:
-            doc = batch.column("_doc")
-            own = doc.fill_null(0).to_numpy(zero_copy_only=False)
-            dest = _dest(own, dests)
+            doc, raw = batch.column("_doc"), [t.encode("utf-8") for t in batch.column(at).to_pylist()]
+            dest = _dest(doc.fill_null(0).to_numpy(zero_copy_only=False), dests)
             if doc.null_count:
-                other = np.array([hash(x[:64]) % dests for x in batch.column("text").to_pylist()])
+                other = np.array([zlib.crc32(x) % dests for x in raw])
                 dest = np.where(doc.is_null().to_numpy(zero_copy_only=False), other, dest)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dest, pa.int32())], [*batch.schema.names, "dest"])
+            columns = [pa.array([press.compress(x) for x in raw], pa.binary()) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(dest, pa.int32())], [*batch.schema.names, "dest"])
+        release()
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    kinds = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, f"{kinds}, dest int")
 
 
@@ -409,8 +414,8 @@ def _cut(rows: DataFrame, spans: DataFrame, copies: DataFrame, dests: int) -> Da
     row = rows.schema["row"].dataType
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     marks = [none("binary", c) for c in ("docs", "starts", "ends")]
-    texts = _with_dest(packed(rows), dests).select("dest", F.lit(2).alias("kind"), "_doc", *marks, "text", "row")
-    whole = _with_dest(copies.select("_doc", F.lit("").alias("text")), dests).select("dest", F.lit(1).alias("kind"), "_doc", *marks, none("binary", "text"), none(row, "row"))
+    texts = _sent(rows, dests).select("dest", F.lit(2).alias("kind"), "_doc", *marks, "text", "row")
+    whole = _sent(copies.select("_doc", F.lit("").alias("text")), dests).select("dest", F.lit(1).alias("kind"), "_doc", *marks, "text", none(row, "row"))
     told = spans.select("dest", F.lit(0).alias("kind"), none("long", "_doc"), "docs", "starts", "ends", none("binary", "text"), none(row, "row"))
     together = told.unionByName(whole).unionByName(texts).repartition(n_tasks(rows.sparkSession), "dest").sortWithinPartitions("dest", "kind")
     return together.mapInArrow(run, f"row {row.simpleString()}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")

@@ -2,28 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
 
 LEVEL = 3
 
 
-def packed(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the string column `text` (no nulls) as zstandard frames of its UTF-8 bytes."""
-    at = df.columns.index(text)
-    kinds = ", ".join(f"`{f.name}` {'binary' if f.name == text else f.dataType.simpleString()}" for f in df.schema.fields)
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=LEVEL)
-        for batch in it:
-            z = pa.array([press.compress(t.encode("utf-8")) for t in batch.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([z if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
-
-    return df.mapInArrow(run, kinds)
-
-
 def unpacked(frames: list[bytes]) -> list[bytes]:
     return [zstandard.ZstdDecompressor().decompress(z) for z in frames]

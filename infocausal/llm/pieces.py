@@ -12,6 +12,10 @@ class PieceTable:
         self.most = most
         self.kept: dict[str, bytes] = {}
 
+    def clear(self) -> None:
+        """For the end of a task: the worker lives on, and other stages need its memory."""
+        self.kept = {}
+
     def thin(self, needed: Callable[[], set[str]]) -> None:
         if len(self.kept) > self.most:
             self.kept = {k: self.kept[k] for k in needed() if k in self.kept}
