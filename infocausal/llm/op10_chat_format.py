@@ -1,14 +1,16 @@
 r"""Chat formatting with schema fingerprints; DataFrame functions only.
 
-The nested field paths of an input are hashed; the hash selects a declarative mapping that
+The known nested field paths of an input are hashed; the hash selects a declarative mapping that
 turns the layout (turn rows, prompt/response, instruction, message lists, JSON of any of these)
-into canonical turns. The template marks turns with control strings. Inside roles and texts
+into canonical turns. Where the paths hold several layouts, the one with most paths is taken, the
+first of them in the order of LAYOUTS. The template marks turns with control strings. Inside roles and texts
 every `<`, any number of `!`, `|` gets one more `!`, so no control string can occur in a text
 and taking one `!` away restores it.
 
 Defined cases: null text and null role are empty; a null conversation id is a conversation of
 its own; turns sort by turn number (nulls first), then role, then text; repeated rows are
-turns of their own; an empty table gives an empty result; further columns are ignored.
+turns of their own; an empty table gives an empty result; further columns, those with names of
+other layouts too, are ignored. A conversation is one row of the result, so its turns meet in one task.
 """
 
 from __future__ import annotations
@@ -89,16 +91,17 @@ LAYOUTS = (
     ),
 )
 BY_FINGERPRINT = {fingerprint(list(x.paths)): x for x in LAYOUTS}
-_TOP = {p.split("[")[0].split(":")[0].split(".")[0] for x in LAYOUTS for p in x.paths}
+#: Layouts with more paths first.
+_LARGEST_FIRST = sorted(LAYOUTS, key=lambda x: -len(x.paths))
 
 
 def layout_of(df: DataFrame, conv_id: str) -> Layout:
-    """The mapping that the fingerprint of the frame's known fields selects."""
-    known = T.StructType([f for f in df.schema.fields if f.name != conv_id and f.name in _TOP])
-    found = BY_FINGERPRINT.get(fingerprint(field_paths(known)))
-    if found is None:
-        raise ValueError(f"no layout for the field paths {field_paths(known)}")
-    return found
+    """The largest mapping that a fingerprint of the frame's field paths selects."""
+    paths = field_paths(T.StructType([f for f in df.schema.fields if f.name != conv_id]))
+    for x in _LARGEST_FIRST:
+        if found := BY_FINGERPRINT.get(fingerprint([p for p in x.paths if p in paths])):
+            return found
+    raise ValueError(f"no layout for the field paths {paths}")
 
 
 def canonical(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
@@ -122,42 +125,53 @@ def _turns_of(items: Column, role: str, text: str) -> Column:
     return F.transform(items, lambda e: _turn(e[role], e[text]))
 
 
+def _known_paths(body: Column) -> Column:
+    """The field paths of a JSON object; those of a list of objects are the fields of any of them, all known ones where the list is empty."""
+    top = F.coalesce(F.map_keys(F.from_json(body, "map<string,string>")), F.array().cast("array<string>"))
+    out = F.transform(top, lambda k: F.concat(k, F.lit(":text")))
+    for x in LAYOUTS:
+        if "[]" not in x.paths[0]:
+            continue
+        name = x.paths[0].split("[")[0]
+        items = F.from_json(body, f"struct<{name}:array<map<string,string>>>")[name]
+        fields = F.array_distinct(F.flatten(F.transform(items, lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>")))))
+        nested = F.transform(fields, lambda f: F.concat(F.lit(f"{name}[]."), f, F.lit(":text")))
+        some = F.when(F.size(items) == 0, F.array(*map(F.lit, x.paths))).when(items.isNotNull(), nested)
+        out = F.concat(out, F.coalesce(some, F.array().cast("array<string>")))
+    return F.array_distinct(out)
+
+
 def canonical_json(df: DataFrame, conv_id: str, body: str) -> DataFrame:
-    """As canonical(), for JSON rows of mixed layouts: each row's own field paths select its mapping.
+    """As canonical(), for JSON rows of mixed layouts: each row's own known field paths select its mapping.
 
-    Returns conv_id, layout, turns. A row of no known layout, broken JSON included, has the layout
-    null and no turns; none is dropped.
+    Further fields and fields that are null change nothing. Returns conv_id, layout, turns. A row of
+    no known layout, broken JSON included, has the layout null and no turns; none is dropped.
     """
-    parsed = F.try_parse_json(F.col(body))
-    shape = F.schema_of_variant(parsed)
-    found, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
-    for x in LAYOUTS:
-        if x.turns is None:
-            continue
-        fields = sorted({p.split("[")[0].split(":")[0] for p in x.paths})
-        if "[]" in x.paths[0]:
-            inner = sorted(p.split("[].")[1].split(":")[0] for p in x.paths)
-            kind = f"struct<{fields[0]}:array<struct<{','.join(f'{i}:string' for i in inner)}>>>"
-            ddl = f"OBJECT<{fields[0]}: ARRAY<OBJECT<{', '.join(f'{i}: STRING' for i in inner)}>>>"
-        else:
-            kind = f"struct<{','.join(f'{i}:string' for i in fields)}>"
-            ddl = f"OBJECT<{', '.join(f'{i}: STRING' for i in fields)}>"
-        hit = F.sha2(shape, 256) == F.lit(hashlib.sha256(ddl.encode()).hexdigest())
-        whole = F.from_json(F.col(body), kind)
-        if "[]" in x.paths[0]:
-            names = ("role", "content") if "content" in inner else ("from", "value")
-            mapped = _turns_of(whole[fields[0]], *names)
-        elif x.name == "instruction":
-            mapped = F.array(
-                _turn("user", F.concat_ws("\n\n", whole["instruction"], F.nullif(whole["input"], F.lit("")))),
-                _turn("assistant", whole["output"]),
-            )
-        else:
-            ask = "instruction" if "instruction" in fields else "prompt"
-            reply = next(i for i in fields if i != ask)
-            mapped = F.array(_turn("user", whole[ask]), _turn("assistant", whole[reply]))
-        found, turns = F.when(hit, F.lit(x.name)).otherwise(found), F.when(hit, mapped).otherwise(turns)
-    return df.select(F.col(conv_id).alias("conv_id"), found.alias("layout"), turns.alias("turns"))
+
+    def mapped(paths: Column) -> Column:
+        name, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
+        for x in reversed(_LARGEST_FIRST):
+            if x.turns is None:
+                continue
+            own = F.filter(F.array(*map(F.lit, sorted(x.paths))), lambda p: F.array_contains(paths, p))
+            hit = F.substring(F.sha2(F.array_join(own, "\n"), 256), 1, 16) == F.lit(fingerprint(list(x.paths)))
+            fields = [p.split(":")[0] for p in x.paths]
+            if "[]" in x.paths[0]:
+                top = fields[0].split("[")[0]
+                inner = [f.split("[].")[1] for f in fields]
+                whole = F.from_json(F.col(body), f"struct<{top}:array<struct<{','.join(f'`{i}`:string' for i in inner)}>>>")
+                role, text = ("role", "content") if "content" in inner else ("from", "value")
+                made = _turns_of(whole[top], role, text)
+            else:
+                whole = F.from_json(F.col(body), f"struct<{','.join(f'`{i}`:string' for i in fields)}>")
+                ask = "instruction" if "instruction" in fields else "prompt"
+                reply = next(i for i in fields if i not in (ask, "input"))
+                told = F.concat_ws("\n\n", whole[ask], F.nullif(whole["input"], F.lit(""))) if "input" in fields else whole[ask]
+                made = F.array(_turn("user", told), _turn("assistant", whole[reply]))
+            name, turns = F.when(hit, F.lit(x.name)).otherwise(name), F.when(hit, F.coalesce(made, F.array().cast(TURNS))).otherwise(turns)
+        return F.struct(name.alias("layout"), turns.alias("turns"))
+
+    return df.select(F.col(conv_id).alias("conv_id"), let(_known_paths(F.col(body)), mapped).alias("m")).select("conv_id", "m.*")
 
 
 def escape(x: Column) -> Column:
@@ -169,37 +183,23 @@ def unescape(x: Column) -> Column:
 
 
 def format_turns(turns: DataFrame, trained: tuple[str, ...] = TRAINED_ROLES) -> DataFrame:
-    """conv_id, formatted, loss_mask: spans (start, length, in code points from 0) of what is trained on."""
+    """conv_id, formatted, loss_mask: spans of what is trained on, each by its turn (from 0) and the start and length in code points inside the turn."""
 
     def pieces(t: Column) -> Column:
         return F.transform(
             t,
-            lambda x: F.struct(
+            lambda x, i: F.struct(
                 F.concat(F.lit(START), F.replace(escape(x["role"]), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n")).alias("head"),
                 escape(x["text"]).alias("body"),
                 x["role"].isin(*trained).alias("loss"),
+                i.alias("turn"),
             ),
         )
 
     def out(p: Column) -> Column:
-        spans = F.aggregate(
-            p,
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-            lambda acc, x: F.struct(
-                (acc["at"] + F.length(x["head"]) + F.length(x["body"]) + len(END) + 1).alias("at"),
-                F.when(
-                    x["loss"],
-                    F.concat(
-                        acc["spans"],
-                        F.array(
-                            F.struct((acc["at"] + F.length(x["head"])).alias("start"), F.length(x["body"]).alias("length"))
-                        ),
-                    ),
-                )
-                .otherwise(acc["spans"])
-                .alias("spans"),
-            ),
-            lambda acc: acc["spans"],
+        spans = F.transform(
+            F.filter(p, lambda x: x["loss"]),
+            lambda x: F.struct(x["turn"].alias("turn"), F.length(x["head"]).alias("start"), F.length(x["body"]).alias("length")),
         )
         whole = F.array_join(F.transform(p, lambda x: F.concat(x["head"], x["body"], F.lit(END + "\n"))), "")
         return F.struct(whole.alias("formatted"), spans.alias("loss_mask"))
@@ -208,7 +208,7 @@ def format_turns(turns: DataFrame, trained: tuple[str, ...] = TRAINED_ROLES) ->
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns, loss_texts: from the formatted string and its mask alone."""
+    """conv_id, turns, loss_texts: from the formatted string and its mask alone, in one pass over the turns."""
 
     def turn(x: Column) -> Column:
         head = F.substring_index(x, "\n", 1)
@@ -217,16 +217,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
             unescape(F.substr(x, F.length(head) + 2)).alias("text"),
         )
 
-    parts = F.split("formatted", r"<\|im_end\|>\n")
-    texts = F.transform(
-        "loss_mask", lambda s: unescape(F.substr(F.col("formatted"), s["start"] + 1, s["length"]))
-    )
+    def read(parts: Column) -> Column:
+        texts = F.transform("loss_mask", lambda s: unescape(F.substr(F.get(parts, s["turn"]), s["start"] + 1, s["length"])))
+        return F.struct(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), turn).alias("turns"), texts.alias("loss_texts"))
+
     return formatted.select(
-        "conv_id",
-        let(parts, lambda x: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), turn)).alias("turns"),
-        texts.alias("loss_texts"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
-    )
+        "conv_id", let(F.split("formatted", r"<\|im_end\|>\n"), read).alias("r"), F.length("formatted").cast("long").alias("formatted_chars")
+    ).select("conv_id", "r.*", "formatted_chars")
 
 
 def digests(back: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """URL filter with redirect equivalence.
 
 Rules (host, path) judge single urls. Redirects (meta refresh) and canonical links found in the
-pages' html are edges between urls; a block decision of a rule on any url of a connected
-component, whether a page of that url exists or not, holds for its aliases. A url's own rule
-comes first, so an explicit allow is kept.
+pages' html are edges between urls, and so is what servers commonly redirect: a url with tracking
+parameters or a `www.`, `m.` or `amp.` host leads to the url without. A block decision of a rule on
+any url of a connected component, whether a page of that url exists or not, holds for its aliases.
+A url's own rule comes first, so an explicit allow is kept.
 
 Defined cases: a null url or one without `://` has empty host and path, no rule and the verdict
 allow; relative link targets resolve against the page's host; null or empty html has no edges;
@@ -43,7 +44,10 @@ RULES = (
     Rule("org", "/es/", "block"),
 )
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+_LINK = r"(?is)<link\b(?=[^>]*[\s\"']rel\s*=\s*[\"']?canonical\b)[^>]*?[\s\"']href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+#: Query parameters that only tell where a reader came from, and labels of hosts that show the same pages.
+_TRACKING = r"(?<=[?&])(?:ref|utm_[a-z]+|gclid|fbclid)=[^&]*(?:&|$)"
+_SAME_SITE = r"^(?:www|m|amp)\.(?=[^.]+\.)"
 _REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*['\"]?([^\"'>\s]+)"
 
 
@@ -59,10 +63,19 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
+def _query(url: Column) -> Column:
+    return F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+
+
 def _key(url: Column) -> Column:
     """What makes two urls the same node: host, path and query; null without `://`."""
-    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
-    return F.when(url.contains("://"), F.concat(host(url), path(url), query))
+    return F.when(url.contains("://"), F.concat(host(url), path(url), _query(url)))
+
+
+def plain_url(url: Column) -> Column:
+    """The url that the common redirects lead to; null without `://`."""
+    query = F.regexp_replace(F.regexp_replace(_query(url), _TRACKING, ""), "[?&]+$", "")
+    return F.when(url.contains("://"), F.concat(F.lit("https://"), F.regexp_replace(host(url), _SAME_SITE, ""), path(url), query))
 
 
 def _fits(h: Column, p: Column, rule: Rule) -> Column:
@@ -110,7 +123,7 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     start = F.concat(base, F.lit("://"), host(F.col("src")))
     to = F.replace(F.trim("to"), F.lit("&amp;"), F.lit("&"))
     dst = (
-        F.when(to.contains("://"), to)
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
         .when(to.startswith("//"), F.concat(base, F.lit(":"), to))
         .when(to.startswith("/"), F.concat(start, to))
         .otherwise(F.concat(start, F.when(folder == "", F.lit("/")).otherwise(folder), to))
@@ -118,6 +131,11 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return raw.select("src", dst.alias("dst"))
 
 
+def common_redirects(urls: DataFrame) -> DataFrame:
+    """src, dst for the urls (src) that differ from their plain form."""
+    return urls.select("src", plain_url(F.col("src")).alias("dst")).filter(_key(F.col("src")) != _key(F.col("dst")))
+
+
 def judge(
     pages: DataFrame, edges: DataFrame | None = None, rules: tuple[Rule, ...] = RULES,
     page_id: str = "page_id", url: str = "url", html: str = "html",
@@ -126,7 +144,8 @@ def judge(
     found = link_edges(pages, url, html)
     if edges is not None:
         found = found.unionByName(edges.select("src", "dst"))
-    found = materialize(found.select(F.col("src"), F.col("dst")), "links")
+    known = pages.select(F.col(url).alias("src")).unionByName(found.select(F.col("dst").alias("src")))
+    found = materialize(found.unionByName(common_redirects(known)).filter("src is not null and dst is not null"), "links")
     own = pages.select(
         F.col(page_id).alias("page_id"),
         host(F.col(url)).alias("host"),

@@ -3,7 +3,7 @@
 Layout under a folder:
 
 - `dictionary`: one row (dict_hash, dictionary, end_id); the dictionary is trained on the ids of a
-  bounded sample of short documents.
+  bounded sample of documents.
 - `blocks`: rows in ascending document order (part, seq): part_offset (ids of the part before the
   block), dict_hash, first_doc, last_doc, n_ids,
   doc_ids[], n_tokens[], offsets[] and `data`, the frames of the block's documents end to end.
@@ -38,7 +38,7 @@ from infocausal.llm.common import n_tasks, release
 from infocausal.llm.pieces import PieceTable
 
 END_ID = 2
-#: The dictionary is fitted on about so many documents of at most so many bytes each.
+#: The dictionary is fitted on about so many documents, on a piece of those with more than so many bytes.
 SAMPLE_DOCS, SAMPLE_BYTES = 2_000, 16_384
 DICTIONARY_BYTES = 112_640
 LEVEL = 1
@@ -132,12 +132,15 @@ def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
 
 
 def _fit(docs: DataFrame, source, end_id: int) -> bytes:
-    """From a bounded sample: the documents with the smallest hashes of their ids."""
-    short = docs.filter(F.octet_length("text") <= SAMPLE_BYTES)
-    n = short.count()
+    """From a bounded sample: the documents with the smallest hashes of their ids; of long ones a piece from a place that the hash names."""
+    n = docs.count()
     share = min(1.0, SAMPLE_DOCS / n) if n else 1.0
     space = 1 << 30
-    sample = short.filter(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(space)) <= int(share * space)).limit(2 * SAMPLE_DOCS)
+    picked = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(space)) <= int(share * space)).limit(2 * SAMPLE_DOCS)
+    least = SAMPLE_BYTES // 4
+    place = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.greatest(F.length("text") - least, F.lit(1))).cast("int")
+    piece = F.when(F.octet_length("text") <= SAMPLE_BYTES, F.col("text")).otherwise(F.substr("text", place + 1, F.lit(least)))
+    sample = picked.select(piece.alias("text"))
     end = pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,8 @@ w_b is bit b's accuracy on held-back training rows; a small gap to the runner-up
 as ambiguous.
 
 Learning uses a sample of labelled rows of bounded size (SAMPLE_PER_LANGUAGE texts a language and
-SAMPLE_ROWS in all, by the hash of their ids); predictions read whole texts and nothing but the text.
+SAMPLE_ROWS in all, so of at most SAMPLE_ROWS languages, by the hash of their ids; texts of more than
+SAMPLE_BYTES are not learned from); predictions read whole texts and nothing but the text.
 
 Defined cases: null text and text without a letter give `und` with score 0; with no labelled rows
 every text is `und`; with one language every text with a letter has that language; repeated rows
@@ -142,10 +143,10 @@ def training_sample(docs: DataFrame, key: str, text: str, lang: str) -> DataFram
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)
     )
     space = 1 << 30
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1_000).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ROWS).collect()
     if not counts:
         return rows.select("text", "lang").limit(0)
-    each = min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // len(counts))
+    each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // len(counts)))
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], int(min(1.0, each / r["n"]) * space))])
     picked = rows.filter(F.pmod(F.xxhash64("k", F.lit(6)), F.lit(space)) <= share[F.col("lang")])
     return picked.select("text", "lang").limit(2 * SAMPLE_ROWS)

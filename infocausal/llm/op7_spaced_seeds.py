@@ -8,8 +8,9 @@ a passage counts if some window of WINDOW aligned words (or the whole item, if s
 least 80 in 100 equal words. The masks together catch every such window (shown by a test).
 
 Words are lower-cased and split at white space and ASCII punctuation. An item of fewer than five
-words is too short to tell and never matches; items of five to twelve words match as a whole, up
-to eight words exactly, longer ones with one substitution.
+words holds no mask; it matches the documents that have these words and no others, by a hash of
+all of them. Items of five to twelve words match as a whole, up to eight words exactly, longer ones
+with one substitution.
 
 Defined cases: null texts are empty and match nothing; a null id of a document is returned as
 such; equal documents and items match each for themselves; repeated rows of one document or item
@@ -29,6 +30,8 @@ from infocausal.llm.common import materialize
 from infocausal.llm.wordhash import SPACE_OR_MARK, chunks, mix, word_hashes
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 6, 7), (0, 1, 4, 6, 7))
+#: Words that a mask needs.
+SHORT = 5
 WINDOW = 13
 #: Words kept on both sides of a hit: a window that holds the hit does not reach further.
 AROUND = WINDOW
@@ -64,6 +67,17 @@ def seeds(words: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.n
     return out
 
 
+def whole_seeds(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first places and whole hashes of the texts with too few words for a mask."""
+    count = np.diff(offsets)
+    short = np.flatnonzero((count > 0) & (count < SHORT))
+    out = np.full(len(short), np.uint64(0x51ED270B))
+    for i in range(SHORT - 1):
+        on = count[short] > i
+        out[on] = mix((out[on] ^ words[offsets[short[on]] + i]) + np.uint64(i + 1))
+    return offsets[short], out
+
+
 def benchmark_seeds(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(item_id, text) -> (seed, item_id, q: the place of the seed in the item) and (item_id, words)."""
 
@@ -74,7 +88,7 @@ def benchmark_seeds(items: DataFrame) -> tuple[DataFrame, DataFrame]:
                 words, offsets = _words(part)
                 owner = np.repeat(np.arange(len(part)), np.diff(offsets))
                 per_item = [([], []) for _ in part]
-                for places, found in seeds(words, offsets):
+                for places, found in [*seeds(words, offsets), whole_seeds(words, offsets)]:
                     for p, s in zip(places.tolist(), found.view(np.int64).tolist(), strict=True):
                         per_item[owner[p]][0].append(s)
                         per_item[owner[p]][1].append(p - int(offsets[owner[p]]))
@@ -120,7 +134,7 @@ def _hits(docs: DataFrame, table, log2: int) -> DataFrame:
             for at, part in chunks(texts, _CHARS):
                 words, offsets = _words(part)
                 places, found = [], []
-                for p, s in seeds(words, offsets):
+                for p, s in [*seeds(words, offsets), whole_seeds(words, offsets)]:
                     slot = (s >> shift).astype(np.int64)
                     on = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
                     places.append(p[on])
