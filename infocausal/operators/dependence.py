@@ -41,6 +41,15 @@ class Gram:
         for i, j in pairs:
             self.cov[i, j] = self.cov[j, i] = row[f"c{i}_{j}"] or 0.0
 
+    @classmethod
+    def of_moments(cls, columns: list[str], row: dict) -> Gram:
+        """From n, means m<i> and covariances c<i>_<j> that are known already."""
+        g, p = cls.__new__(cls), len(columns)
+        g.columns, g.n = columns, row["n"]
+        g.mean = np.array([row[f"m{i}"] for i in range(p)], float)
+        g.cov = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], float)
+        return g
+
     def _at(self, names: list[str]) -> list[int]:
         return [self.columns.index(c) for c in names]
 

@@ -72,9 +72,10 @@ def pc(spark: SparkSession, df: DataFrame, columns: list[str], alpha: float = 0.
     return spark.createDataFrame(rows, "a string, b string, directed boolean")
 
 
-def greedy(spark: SparkSession, df: DataFrame, columns: list[str], most_parents: int = 3) -> DataFrame:
+def greedy(spark: SparkSession, df: DataFrame, columns: list[str], most_parents: int | None = None) -> DataFrame:
     """a, b: the DAG that hill climbing by BIC ends at; additions, removals and reversals, best gain first, ties by name."""
     gram, names = Gram(df, columns), sorted(columns)
+    most_parents = len(names) if most_parents is None else most_parents
     parents: dict[str, frozenset] = {v: frozenset() for v in names}
     score = {}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from infocausal.scratch import materialize
+from infocausal.scratch import materialize, n_tasks
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -39,13 +39,28 @@ def bifans(edges: DataFrame) -> DataFrame:
     return shared.agg(F.coalesce(F.sum(F.expr("k * (k - 1) div 2")), F.lit(0)).alias("n_bifan"))
 
 
+def triangles(edges: DataFrame) -> DataFrame:
+    """a, b, c: the triangles of the undirected graph, each once.
+
+    Links point from the end with fewer links to that with more, and wedges are made at their start,
+    so a hub starts few of them: wedges follow edges to the power of one and a half at most.
+    """
+    u = edges.filter("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    deg = u.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("d"))
+    ends = u.join(deg.select(F.col("n").alias("a"), F.col("d").alias("da")), "a").join(deg.select(F.col("n").alias("b"), F.col("d").alias("db")), "b")
+    up = F.struct("da", "a") <= F.struct("db", "b")
+    e = materialize(ends.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("y")), "links")
+    wedge = e.select("x", F.col("y").alias("p")).join(e.select("x", F.col("y").alias("q")), "x").filter("p < q")
+    near = e.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))
+    return wedge.join(near, ["p", "q"], "left_semi").select(F.col("x").alias("a"), F.col("p").alias("b"), F.col("q").alias("c"))
+
+
 def clustering(edges: DataFrame) -> DataFrame:
     """node, degree, clustering of the undirected graph; only nodes with two neighbours or more."""
+    edges = materialize(edges.select("src", "dst").distinct(), "edges")
     u = edges.filter("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    both = u.select(F.col("a").alias("n"), F.col("b").alias("m")).unionByName(u.select(F.col("b").alias("n"), F.col("a").alias("m")))
-    deg = both.groupBy("n").agg(F.count("*").alias("degree"))
-    wedge = both.alias("p").join(both.alias("q"), F.col("p.n") == F.col("q.n")).filter("p.m < q.m").select(F.col("p.n").alias("n"), F.col("p.m").alias("a"), F.col("q.m").alias("b"))
-    closed = wedge.join(u, ["a", "b"], "left_semi").groupBy("n").agg(F.count("*").alias("c"))
+    deg = u.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("degree"))
+    closed = triangles(edges).select(F.explode(F.array("a", "b", "c")).alias("n")).groupBy("n").agg(F.count("*").alias("c"))
     out = deg.filter("degree > 1").join(closed, "n", "left")
     return out.select(F.col("n").alias("node"), "degree", (2 * F.coalesce("c", F.lit(0)) / (F.col("degree") * (F.col("degree") - 1))).alias("clustering"))
 
@@ -56,16 +71,26 @@ def degree_entropy(edges: DataFrame) -> DataFrame:
     return d.agg((F.log(total) - F.sum(F.col("k") * F.log("k")) / total).alias("h"))
 
 
+#: Edges for which an iterated step gets a task.
+EDGES_PER_TASK = 100_000
+
+
 def page_rank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """node, rank after fixed rounds; rank of nodes without out-edges is not passed on. Every fifth round is written out."""
-    e = edges.select("src", "dst").distinct()
-    nodes = degrees(e).select("node")
+    """node, rank after fixed rounds; rank of nodes without out-edges is not passed on.
+
+    The shares are written once, dealt out by their source; every fifth round is written out.
+    """
+    e = materialize(edges.select("src", "dst").distinct(), "edges")
+    tasks = max(1, min(n_tasks(edges.sparkSession), e.count() // EDGES_PER_TASK))
+    nodes = materialize(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().coalesce(tasks), "nodes")
     n = nodes.count()
-    shares = e.join(e.groupBy("src").agg(F.count("*").alias("k")), "src").select("src", "dst", (1 / F.col("k")).alias("w"))
+    shares = materialize(e.join(e.groupBy("src").agg(F.count("*").alias("k")), "src").select("src", "dst", (1 / F.col("k")).alias("w")).coalesce(tasks), "shares")
     rank = nodes.withColumn("rank", F.lit(1.0 / n if n else 0.0))
     for i in range(rounds):
-        got = shares.join(rank.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("g"))
-        rank = nodes.join(got, "node", "left").select("node", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("g", F.lit(0.0))).alias("rank"))
+        given = shares.join(rank.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), (F.col("rank") * F.col("w")).alias("g"))
+        base = nodes.select("node", F.lit(0.0).alias("g"))
+        got = given.unionByName(base).coalesce(tasks).groupBy("node").agg(F.sum("g").alias("g"))
+        rank = got.select("node", (F.lit((1 - damping) / max(n, 1)) + damping * F.col("g")).alias("rank"))
         if i % 5 == 4:
             rank = materialize(rank, "rank")
     return rank
@@ -131,8 +156,8 @@ def d_separated(edges: list[tuple], x, y, given: set) -> bool:
     return True
 
 
-def backdoor_sets(edges: list[tuple], x, y, most: int = 3) -> list[tuple]:
-    """Adjustment sets of at most `most` nodes, smallest first, on a small DAG."""
+def backdoor_sets(edges: list[tuple], x, y, most: int | None = None) -> list[tuple]:
+    """Adjustment sets (of at most `most` nodes), smallest first, on a small DAG."""
     from itertools import combinations
 
     children: dict = {}
@@ -146,4 +171,4 @@ def backdoor_sets(edges: list[tuple], x, y, most: int = 3) -> list[tuple]:
                 todo.append(v)
     nodes = sorted({v for e in edges for v in e} - {x, y} - below)
     cut = [(a, b) for a, b in edges if a != x]
-    return [z for k in range(most + 1) for z in combinations(nodes, k) if d_separated(cut, x, y, set(z))]
+    return [z for k in range((len(nodes) if most is None else most) + 1) for z in combinations(nodes, k) if d_separated(cut, x, y, set(z))]

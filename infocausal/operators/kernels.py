@@ -6,13 +6,16 @@ one series pair (a bounded number of time steps) or one replicate's moments, nev
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from infocausal.functions.special import digamma, normal_sf
-from infocausal.operators import information
+from infocausal.functions.special import digamma
+from infocausal.operators import discovery, information
+from infocausal.operators.dependence import Gram
 
 
 def exponential_smoothing(df: DataFrame, alpha: float, series: str = "series", t: str = "t", v: str = "v") -> DataFrame:
@@ -82,42 +85,57 @@ def surrogate_te(binned: DataFrame, shifts: int, series: str = "series", t: str
     x = e.select(F.col(series).alias("target"), t, F.col("past").alias("xp"), F.col("future").alias("xf"))
     te = information.conditional_information(x.join(y, t).filter("target != source"), "xf", "yp", ["xp"], ["target", "source", "shift"])
     own = F.max(F.when(F.col("shift") == 0, F.col("te"))).alias("te")
-    s = te.groupBy("target", "source").agg(own, F.collect_list(F.when(F.col("shift") > 0, F.col("te"))).alias("others"))
+    s = te.groupBy("target", "source").agg(own, F.collect_list(F.when(F.col("shift") > 0, F.col("te"))).alias("others")).filter("te is not null")
     beaten = F.size(F.filter("others", lambda o: o >= F.col("te")))
     return s.select("target", "source", "te", ((1 + beaten) / (1 + F.size("others"))).alias("p"))
 
 
-def edge_stability(df: DataFrame, columns: list[str], replicates: int, alpha: float = 0.05) -> DataFrame:
-    """a, b, share of replicates whose partial correlation given all other columns is significant.
-
-    A replicate weighs each row by a Poisson(1) draw that a hash of row and replicate decides, so a
-    bootstrap is one grouped aggregation of moments and no row is copied to a driver.
-    """
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    u = (F.pmod(F.xxhash64(*columns, "rep"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+def poisson_weight(*of) -> Column:
+    """A Poisson(1) draw (0 to 5) that a hash of the columns decides: how often a bootstrap replicate takes a row."""
+    u = (F.pmod(F.xxhash64(*of), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
-    weight = sum(((u > c).cast("int") for c in cuts[1:]), (u > cuts[0]).cast("int"))
-    r = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    w = F.col("w")
-    m = r.groupBy("rep").agg(
-        F.sum("w").alias("n"), *[(F.sum(w * F.col(c)) / F.sum("w")).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[(F.sum(w * F.col(columns[i]) * F.col(columns[j])) / F.sum("w")).alias(f"c{i}_{j}") for i, j in pairs],
+    return sum(((u > c).cast("int") for c in cuts[1:]), (u > cuts[0]).cast("int"))
+
+
+def replicate_moments(df: DataFrame, columns: list[str], key: list[str], replicates: int) -> DataFrame:
+    """rep, n, means m<i> and covariances c<i>_<j> of every bootstrap replicate; `key` names a row, so equal rows draw apart."""
+    rows = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], *[F.col(c).cast("double").alias(c) for c in columns]).na.drop(subset=columns)
+    draw = poisson_weight(*[f"_k{i}" for i in range(len(key))], "rep")
+    r = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", draw).filter("w > 0")
+    w, total = F.col("w"), F.sum("w")
+    return r.groupBy("rep").agg(
+        total.alias("n"), *[(F.sum(w * F.col(c)) / total).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[
+            (F.sum(w * F.col(columns[i]) * F.col(columns[j])) / total - F.sum(w * F.col(columns[i])) * F.sum(w * F.col(columns[j])) / total / total).alias(f"c{i}_{j}")
+            for i in range(len(columns)) for j in range(i, len(columns))
+        ],
     )
 
+
+def edge_stability(df: DataFrame, columns: list[str], key: list[str], replicates: int, alpha: float = 0.05) -> DataFrame:
+    """a, b, shares of the replicates in whose constraint search the two stay adjacent, and in which a points to b or b to a."""
+
     def run(it):
         for pdf in it:
             out = []
             for x in pdf.to_dict("records"):
-                cov = np.zeros((len(columns), len(columns)))
-                for i, j in pairs:
-                    cov[i, j] = cov[j, i] = x[f"c{i}_{j}"] - x[f"m{i}"] * x[f"m{j}"]
-                inverse = np.linalg.pinv(cov)
-                for i, j in pairs:
-                    if i < j:
-                        rho = np.clip(-inverse[i, j] / np.sqrt(inverse[i, i] * inverse[j, j]), -1 + 1e-12, 1 - 1e-12)
-                        p = 2 * normal_sf(abs(np.arctanh(rho)) * np.sqrt(max(x["n"] - len(columns) - 1, 1)))
-                        out.append((columns[i], columns[j], float(p < alpha)))
-            yield pd.DataFrame(out, columns=["a", "b", "hit"])
-
-    return m.mapInPandas(run, "a string, b string, hit double").groupBy("a", "b").agg(F.avg("hit").alias("stability"))
+                gram = Gram.of_moments(columns, x)
+                edges, sepset = discovery.skeleton(gram, alpha)
+                arrows = discovery.oriented(columns, edges, sepset)
+                for a, b in combinations(columns, 2):
+                    there = frozenset((a, b)) in edges
+                    out.append((a, b, float(there), float(there and (b, a) not in arrows), float(there and (a, b) not in arrows)))
+            yield pd.DataFrame(out, columns=["a", "b", "hit", "out", "back"])
+
+    hits = replicate_moments(df, columns, key, replicates).mapInPandas(run, "a string, b string, hit double, out double, back double")
+    return hits.groupBy("a", "b").agg(F.avg("hit").alias("stability"), F.avg("out").alias("a_to_b"), F.avg("back").alias("b_to_a"))
+
+
+def stable_graph(stability: DataFrame, expected_false: float) -> DataFrame:
+    """The edges over the threshold that keeps the expected number of false ones in bound (stability selection).
+
+    With q edges a replicate on average out of p possible ones: threshold = (1 + q^2 / (p * bound)) / 2, at most 1.
+    """
+    whole = stability.agg(F.sum("stability").alias("q"), F.count("*").alias("p"))
+    cut = F.least(F.lit(1.0), (1 + F.col("q") * F.col("q") / (F.col("p") * expected_false)) / 2)
+    return stability.crossJoin(whole.select(cut.alias("threshold"))).filter("stability >= threshold")

@@ -7,13 +7,15 @@ from collections import deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from infocausal.scratch import materialize
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """node, community: each node takes the most frequent label around it, ties to the smallest; at most `rounds` rounds."""
+def label_propagation(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """node, community, settled: each node takes the most frequent label around it, ties to the smallest.
+
+    Rounds go on until no label changes; after `rounds` of them (labels can swap for ever) settled is false.
+    """
     e = edges.filter("src != dst").select("src", "dst").unionByName(edges.filter("src != dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     e = materialize(e, "both")
     labels = e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
@@ -22,16 +24,16 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
         new = votes.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((-F.col("n")).alias("n"), "community"))["community"].alias("community"))
         new = materialize(new, "labels")
         if i and new.join(labels, ["node", "community"], "left_anti").isEmpty():
-            break
+            return labels.withColumn("settled", F.lit(True))
         labels = new
-    return labels
+    return labels.withColumn("settled", F.lit(False))
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     c = communities.select("node", "community")
     j = edges.join(c.select(F.col("node").alias("src"), F.col("community").alias("cs")), "src").join(c.select(F.col("node").alias("dst"), F.col("community").alias("cd")), "dst")
-    m = F.sum("m").over(Window.partitionBy())
-    inside = j.groupBy("cs", "cd").agg(F.count("*").alias("m")).withColumn("all", m)
+    inside = j.groupBy("cs", "cd").agg(F.count("*").alias("m"))
+    inside = inside.crossJoin(F.broadcast(inside.agg(F.sum("m").alias("all"))))  # one row
     out = inside.groupBy(F.col("cs").alias("c")).agg(F.sum("m").alias("o"), F.sum(F.when(F.col("cs") == F.col("cd"), F.col("m")).otherwise(0)).alias("in"), F.first("all").alias("all"))
     into = inside.groupBy(F.col("cd").alias("c")).agg(F.sum("m").alias("i"))
     q = out.join(into, "c", "left").select((F.col("in") / F.col("all") - F.col("o") * F.coalesce("i", F.lit(0)) / (F.col("all") * F.col("all"))).alias("q"))
@@ -83,7 +85,7 @@ def betweenness(edges: list[tuple]) -> dict:
     return score
 
 
-def directed_paths(edges: list[tuple], x, y, most: int = 1000) -> list[tuple]:
+def directed_paths(edges: list[tuple], x, y, most: float = float("inf")) -> list[tuple]:
     """Simple directed paths in order of their nodes' names; `most` is a limit of the report."""
     out, found, todo = _out(edges), [], [(x,)]
     while todo and len(found) < most:

@@ -5,17 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def read_series_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """series, t (line order within the file's offsets), v from a CSV with a header, # comments and blank lines.
+    """series, t (0, 1, ... over the files by name and the lines in each), v from CSV files with a header, # comments and blank lines.
 
-    One series a column. What isn't a number is null; the schema is read from the header, never guessed from the data.
+    One series a column. What isn't a number is null; the schema is read from the header, never guessed
+    from the data. Rows are counted by file and split, and only those counts are summed up in order.
     """
     head = spark.read.option("comment", "#").option("header", True).csv(path)
     names = columns or head.columns
-    wide = head.select(F.monotonically_increasing_id().alias("t"), *[F.expr(f"try_cast(trim(`{c}`) as double)").alias(c) for c in names])
-    return wide.unpivot(["t"], names, "series", "v").select("series", "t", "v")
+    place = F.monotonically_increasing_id()
+    wide = head.select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), place.alias("_place"),
+        *[F.expr(f"try_cast(trim(`{c}`) as double)").alias(c) for c in names],
+    )
+    blocks = wide.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_place").alias("_least"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_file", "_block", "_least", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    rows = wide.join(blocks, ["_file", "_block"])
+    # Inside a split places are consecutive.
+    t = (F.col("_first") + F.col("_place") - F.col("_least")).alias("t")
+    return rows.select(t, *[F.col(f"`{c}`") for c in names]).unpivot(["t"], [F.col(f"`{c}`") for c in names], "series", "v").select("series", "t", "v")
 
 
 def write_series_csv(long: DataFrame, path: str, most: int = 10_000) -> None:
@@ -40,6 +52,35 @@ def read_doubles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, i long, v double")
 
 
+def write_doubles(df: DataFrame, path: str, group: str, order: str, v: str) -> None:
+    """A row per group with its values, in order, as raw little-endian 64-bit floats; read_packed gives them back."""
+    packed = df.groupBy(F.col(group).alias("group")).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(v)))).alias("x"))
+
+    @F.pandas_udf("binary")
+    def raw(x):
+        import numpy as np
+
+        return x.map(lambda row: np.array([r[v] if r[v] is not None else float("nan") for r in row], "<f8").tobytes())
+
+    packed.select("group", raw("x").alias("content")).write.parquet(path)
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """group, i, v from what write_doubles wrote."""
+    import numpy as np
+    import pandas as pd
+
+    df = spark.read.parquet(path)
+
+    def run(it):
+        for pdf in it:
+            for g, raw in zip(pdf["group"], pdf["content"], strict=True):
+                x = np.frombuffer(raw, "<f8")
+                yield pd.DataFrame({"group": g, "i": np.arange(len(x)), "v": x})
+
+    return df.mapInPandas(run, f"group {df.schema['group'].dataType.simpleString()}, i long, v double")
+
+
 def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 

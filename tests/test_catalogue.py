@@ -11,7 +11,7 @@ def test_equals_sql(spark, name):
     check(spark, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) - {"pc_graph", "greedy_graph"}))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_rows_only(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
