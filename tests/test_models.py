@@ -129,7 +129,7 @@ def test_front_door_of_many_paths():
     edges = [("x", "a"), ("x", "w"), ("w", "y"), *[("a", v) for v in inner], *[(v, "y") for v in inner], *[(u, v) for u in inner for v in inner if u < v]]
     assert identify.front_door_sets(edges, "x", "y", [("x", "y")], most=1) == []
     sets = identify.front_door_sets(edges, "x", "y", [("x", "y")])
-    assert sets[0] == ("a", "w") and all({"a", "w"} <= set(z) for z in sets)
+    assert sets[0] == ("a", "w") and all("w" in z for z in sets)
 
 
 def test_separating_set_of_four():
