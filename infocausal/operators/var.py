@@ -73,6 +73,66 @@ class Var:
         f = (less - full) / self.order / (full / dof) if full > 0 and dof > 0 else 0.0
         return float(f), f_sf(f, self.order, dof)
 
+    def generalized_shares(self, steps: int) -> np.ndarray:
+        """Forecast error variance by shocks that need no order of the variables; rows are scaled to 1."""
+        psi = self.responses(steps - 1)
+        hit = sum((p @ self.sigma) ** 2 for p in psi) / np.diag(self.sigma)
+        share = hit / np.diag(sum(p @ self.sigma @ p.T for p in psi))[:, None]
+        return share / share.sum(1, keepdims=True)
+
+    def intercept(self) -> np.ndarray:
+        mean = self.gram.mean[self.gram._at([f"{v}_0" for v in self.names])]
+        return mean - sum(a @ mean for a in self.a)
+
+    def forecast(self, last: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Means and standard errors of the next steps; last: the `order` newest rows, oldest first."""
+        rows, c = [np.asarray(x, float) for x in last][-self.order :], self.intercept()
+        for _ in range(steps):
+            rows.append(c + sum(a @ rows[-1 - i] for i, a in enumerate(self.a)))
+        psi = self.responses(steps - 1)
+        var = np.cumsum([np.diag(p @ self.sigma @ p.T) for p in psi], axis=0)
+        return np.stack(rows[-steps:]), np.sqrt(var)
+
+    def partial_granger(self, target: str, source: str, given: list[str]) -> float:
+        """ln of the target's error variance without and with the source, each given the errors of `given`, which takes out their common hidden input."""
+        def error(names: list[str]) -> float:
+            past = [f"{v}_{i}" for v in names for i in range(1, self.order + 1)]
+            now = [f"{v}_0" for v in [target, *given]]
+            at, to = self.gram._at(past), self.gram._at(now)
+            b = np.linalg.lstsq(self.gram.cov[np.ix_(at, at)], self.gram.cov[np.ix_(at, to)], rcond=None)[0]
+            s = self.gram.cov[np.ix_(to, to)] - b.T @ self.gram.cov[np.ix_(at, to)]
+            return float(s[0, 0] - s[0, 1:] @ np.linalg.pinv(s[1:, 1:]) @ s[1:, 0]) if given else float(s[0, 0])
+
+        return float(np.log(error([target, *given]) / error([target, source, *given])))
+
+    def geweke(self, target: str, source: str, frequencies: np.ndarray) -> np.ndarray:
+        """Causality by frequency (0 to one half) from source to target, of the model of all variables; the other errors are made orthogonal to the source's."""
+        i, j = self.names.index(target), self.names.index(source)
+        out = []
+        own = self.sigma[j, j] - self.sigma[i, j] ** 2 / self.sigma[i, i]
+        for f in frequencies:
+            h = np.linalg.inv(self._transfer(f))
+            s = np.real((h @ self.sigma @ h.conj().T)[i, i])
+            out.append(np.log(s / max(s - own * abs(h[i, j]) ** 2, 1e-300)))
+        return np.array(out)
+
+    def geweke_parts(self, x: str, y: str) -> dict[str, float]:
+        """Linear dependence of two variables: x to y, y to x, instantaneous and total (their sum)."""
+        one = lambda v: self.gram.ols(f"{v}_0", [f"{v}_{i}" for i in range(1, self.order + 1)])[2]
+        past = [f"{v}_{i}" for v in (x, y) for i in range(1, self.order + 1)]
+        sx, sy = (self.gram.ols(f"{v}_0", past)[2] for v in (x, y))
+        at, to = self.gram._at(past), self.gram._at([f"{x}_0", f"{y}_0"])
+        b = np.linalg.lstsq(self.gram.cov[np.ix_(at, at)], self.gram.cov[np.ix_(at, to)], rcond=None)[0]
+        det = float(np.linalg.det(self.gram.cov[np.ix_(to, to)] - b.T @ self.gram.cov[np.ix_(at, to)]))
+        parts = {"x_to_y": np.log(one(y) / sy), "y_to_x": np.log(one(x) / sx), "instant": np.log(sx * sy / det)}
+        return {**{k: float(v) for k, v in parts.items()}, "total": float(sum(parts.values()))}
+
+    def causal_edges(self, alpha: float = 0.05) -> list[tuple[str, str, float]]:
+        """source, target, p of the links that the test given all other variables finds, at a level corrected for their number."""
+        k = len(self.names)
+        found = [(s, t, self.granger(t, s, [g for g in self.names if g not in (s, t)])[1]) for s in self.names for t in self.names if s != t]
+        return sorted((x for x in found if x[2] < alpha / (k * (k - 1))), key=lambda x: (x[2], x[0], x[1]))
+
     def _transfer(self, frequency: float) -> np.ndarray:
         z = np.exp(-2j * np.pi * frequency * np.arange(1, self.order + 1))
         return np.eye(len(self.names)) - np.tensordot(z, self.a, 1)

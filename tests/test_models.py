@@ -19,6 +19,27 @@ def test_var_recovers_coupling(spark):
     assert np.allclose(m.responses(3)[0], np.eye(2)) and np.allclose(m.variance_shares(10).sum(1), 1)
     assert np.allclose((m.partial_directed_coherence(0.1) ** 2).sum(0), 1) and (m.coherence(0.2) <= 1 + 1e-9).all()
     assert var.choose_order(df, ["x", "y"], 3) == 1
+    assert np.allclose(m.generalized_shares(10).sum(1), 1) and m.generalized_shares(10)[0, 1] > m.generalized_shares(10)[1, 0]
+    mean, se = m.forecast(x[-1:], 3)
+    assert np.allclose(mean[0], m.intercept() + m.a[0] @ x[-1]) and np.allclose(se[0], np.sqrt(np.diag(m.sigma))) and (np.diff(se, axis=0) > 0).all()
+    assert [e[:2] for e in m.causal_edges()] == [("y", "x")]
+    parts = m.geweke_parts("x", "y")
+    assert parts["y_to_x"] > 0.05 > 0.01 > parts["x_to_y"] >= 0 and parts["total"] == pytest.approx(parts["x_to_y"] + parts["y_to_x"] + parts["instant"])
+    # The mean over the frequencies is the causality in time, but for the sample's noise.
+    assert m.geweke("x", "y", np.linspace(0, 0.5, 400)).mean() == pytest.approx(parts["y_to_x"], rel=0.1) and (m.geweke("y", "x", np.linspace(0, 0.5, 9)) < 0.02).all()
+    assert m.partial_granger("x", "y", []) == pytest.approx(parts["y_to_x"])
+
+
+def test_partial_granger_takes_out_a_common_input(spark):
+    rng = np.random.default_rng(5)
+    e, h = rng.normal(size=(4000, 3)), rng.normal(size=4000)
+    x = np.zeros((4000, 3))
+    for t in range(1, 4000):
+        x[t] = 0.5 * x[t - 1] + e[t] + 2 * h[t]
+        x[t, 0] += 0.4 * x[t - 1, 1]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "t long, a double, b double, c double")
+    m = var.fit(df, ["a", "b", "c"], 1)
+    assert m.partial_granger("a", "b", ["c"]) > 0.05 > 0.01 > abs(m.partial_granger("b", "a", ["c"]))
 
 
 def test_lags_over_pieces_equal_plain_lags(spark):
