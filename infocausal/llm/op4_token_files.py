@@ -44,8 +44,8 @@ DICTIONARY_BYTES = 112_640
 LEVEL = 1
 #: Bytes of ids in a block, before compression; a longer document is a block of its own.
 BLOCK_BYTES = 4_000_000
-#: Pieces kept by a task.
-CACHED_PIECES = 800_000
+#: Pieces kept per Python worker.
+CACHED_PIECES = 1_100_000
 CHUNK_CHARS = 1_000_000
 _BLOCKS = (
     "part int, seq int, part_offset long, dict_hash string, first_doc long, last_doc long, n_ids long, "
@@ -62,6 +62,8 @@ class CachedTokenizer:
 
     _loose = re.compile(r"(?:^|\s)[ ]|[ ](?:\s|$)")
     _other = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    _plain = re.compile(r"( ?[^\W\d_]+)([^\w\s]+)?(?:\n([^\W\d_]+)([^\w\s]+)?)?")
+    _apart = re.compile(r"[\s<]")
     _cut = re.compile(r"(?<=\S)(?=[ ]\S)")
 
     def __init__(self, source: str):
@@ -71,7 +73,10 @@ class CachedTokenizer:
         self.library.no_padding()
         self.library.no_truncation()
         self.table = PieceTable(CACHED_PIECES)
-        self.mark = dict(zip(",.", self.ask([",", "."]), strict=True))
+        end = self.library.encode("a\n b", add_special_tokens=False).ids
+        self.line_end = end[1] if len(end) == 3 else -1
+        #: Whether a word at the start of a text has the ids that it has after a line end.
+        self.bare = len(end) == 3 and self.library.encode("a\na", add_special_tokens=False).ids == [end[0], end[1], end[0]]
 
     def pieces(self, text: str) -> list[str]:
         if not text:
@@ -82,21 +87,36 @@ class CachedTokenizer:
         return self._cut.split(text)
 
     def ask(self, pieces: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(pieces), 10_000):
-            for e in self.library.encode_batch_fast(pieces[at : at + 10_000], add_special_tokens=False):
-                ids = e.ids
-                out.append(pack(f"<{len(ids)}I", *ids))
+        """The ids of each piece. Plain words with their space are asked together: a line end stands alone between them, so its id tells where each ends."""
+        together = [i for i, x in enumerate(pieces) if x[0] == " " and len(x) > 1 and not self._apart.search(x, 1)]
+        out: list[bytes | None] = [None] * len(pieces)
+        for at in range(0, len(together), 5_000):
+            own = together[at : at + 5_000]
+            ids = np.array(self.library.encode_batch_fast(["\n".join([pieces[i] for i in own])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+            if len(ends) == len(own):
+                raw, stops = ids.tobytes(), (4 * ends).tolist()
+                for i, j, k in zip(own, [0, *[x + 4 for x in stops]], stops, strict=False):
+                    out[i] = raw[j:k]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for at in range(0, len(rest), 10_000):
+            part = rest[at : at + 10_000]
+            for i, e in zip(part, self.library.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = pack(f"<{len(e.ids)}I", *e.ids)
         return out
 
     def learn(self, new: set[str]) -> None:
-        """A mark after nothing but letters is a pre-token of its own, so such pieces share their letters' ids."""
+        """Letters, marks after them, and a line end before further letters are pre-tokens of their own, so pieces made of these share the ids of their parts."""
         kept = self.table.kept
-        stems = {x: x[:-1] for x in new if x[-1] in ",." and x[x[0] == " " : -1].isalpha()}
-        ask = list((new - stems.keys()) | {s for s in stems.values() if s not in kept})
+        parts = {}
+        for x in new:
+            m = self._plain.fullmatch(x)
+            if m and (m[2] or m[3]) and m[1].removeprefix(" ").isalpha() and (not m[3] or (self.bare and m[3].isalpha())):
+                parts[x] = [g for g in (m[1], m[2], "\n" if m[3] else "", m[3], m[4]) if g]
+        ask = list((new - parts.keys()) | {p for ps in parts.values() for p in ps if p not in kept})
         kept.update(zip(ask, self.ask(ask), strict=True))
-        for x, stem in stems.items():
-            kept[x] = kept[stem] + self.mark[x[-1]]
+        for x, ps in parts.items():
+            kept[x] = b"".join([kept[p] for p in ps])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.table.look_up([self.pieces(t) for t in texts], self.learn)
@@ -196,7 +216,6 @@ def write_tokens(
                 at += len(chunk)
         if ids:
             yield block()
-        tok.table.clear()
         release()
 
     ordered = rows.repartitionByRange(n_tasks(spark), "doc_id").sortWithinPartitions("doc_id", F.crc32(F.col("text").cast("binary")))
