@@ -110,7 +110,7 @@ class CachedTokenizer:
         kept = self.table.kept
         parts = {}
         for x in new:
-            m = self._plain.fullmatch(x)
+            m = None if x[1:].isalpha() else self._plain.fullmatch(x)
             if m and (m[2] or m[3]) and m[1].removeprefix(" ").isalpha() and (not m[3] or (self.bare and m[3].isalpha())):
                 parts[x] = [g for g in (m[1], m[2], "\n" if m[3] else "", m[3], m[4]) if g]
         ask = list((new - parts.keys()) | {p for ps in parts.values() for p in ps if p not in kept})
