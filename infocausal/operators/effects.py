@@ -143,13 +143,26 @@ def mediation(df: DataFrame) -> DataFrame:
     return s.select("a", "b", "direct", ab.alias("indirect"), (ab + F.col("direct")).alias("total"), (ab / (ab + F.col("direct"))).alias("share"), (ab / se).alias("sobel_z"))
 
 
-def trimmed(df: DataFrame, share: float, tie: str) -> DataFrame:
-    """Difference of means after `share` of each tail of each arm is cut; places come from a rank by y and `tie`."""
-    w = Window.partitionBy("t")
-    r = df.withColumn("r", F.row_number().over(w.orderBy("y", tie))).withColumn("n", F.count("*").over(w))
-    k = F.floor(F.col("n") * share)
-    cut = r.filter((F.col("r") > k) & (F.col("r") <= F.col("n") - k))
-    return cut.agg((arm(F.avg, "y", 1) - arm(F.avg, "y", 0)).alias("ate"), F.count("*").alias("n"))
+def trimmed(df: DataFrame, share: float, parts: int = 64) -> DataFrame:
+    """Difference of means after `share` of each tail of each arm is cut.
+
+    Only how often a value comes matters, so values are counted first; running counts go inside
+    `parts` ranges of the values, and one range's count after another is added to them.
+    """
+    c = df.filter("t is not null and y is not null").groupBy("t", F.col("y").cast("double").alias("y")).agg(F.count("*").alias("n"))
+    cuts = c.agg(F.percentile_approx("y", [i / parts for i in range(1, parts)], 10_000).alias("cuts"))
+    place = F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda x: x < F.col("y")))
+    c = c.crossJoin(F.broadcast(cuts)).withColumn("r", place).drop("cuts")  # one row
+    ranges = c.groupBy("t", "r").agg(F.sum("n").alias("m"))
+    arm_w = Window.partitionBy("t")
+    first = F.coalesce(F.sum("m").over(arm_w.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first")
+    ranges = ranges.select("t", "r", first, F.sum("m").over(arm_w).alias("all"))
+    upto = F.sum("n").over(Window.partitionBy("t", "r").orderBy("y")) + F.col("first")
+    x = c.join(F.broadcast(ranges), ["t", "r"]).withColumn("upto", upto).withColumn("k", F.floor(F.col("all") * share))
+    kept = F.greatest(F.least(F.col("upto"), F.col("all") - F.col("k")) - F.greatest(F.col("upto") - F.col("n"), F.col("k")), F.lit(0))
+    x = x.select("t", "y", kept.alias("n"))
+    mean = lambda t: F.sum(F.when(F.col("t") == t, F.col("y") * F.col("n"))) / F.sum(F.when(F.col("t") == t, F.col("n")))
+    return x.agg((mean(1) - mean(0)).alias("ate"), F.sum("n").alias("n"))
 
 
 def front_door(df: DataFrame) -> DataFrame:
@@ -162,16 +175,22 @@ def front_door(df: DataFrame) -> DataFrame:
     return c.join(inner, "m").groupBy("t").agg(F.sum(F.col("pm") * F.col("g")).alias("y_do"))
 
 
-def nearest_match(df: DataFrame, x: str, key: str) -> DataFrame:
+def nearest_match(df: DataFrame, x: str, key: str, rows_per_cell: int = 100_000) -> DataFrame:
     """att, n1: each treated row against the control nearest in x (ties: smaller x).
 
-    The nearest below and above are found by running windows over one sort by x, inside coarse
-    ranges of x whose edges carry the last control over; no pair of rows is formed otherwise.
+    The nearest below and above are found by running windows over one sort by x, inside ranges of x
+    between quantiles, whose edges carry the last control over; no pair of rows is formed otherwise.
+    Controls with the same x are one row, that which a match takes.
     """
-    span = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-    cells = 64
-    width = ((span["hi"] or 0) - (span["lo"] or 0)) / cells or 1.0
-    rows = df.select("t", "y", F.col(x).alias("x"), F.col(key).alias("k"), F.floor((F.col(x) - (span["lo"] or 0)) / width).alias("cell"))
+    n = df.count()
+    cells = min(max(64, n // rows_per_cell), 4_096)
+    cuts = df.agg(F.percentile_approx(F.col(x).cast("double"), [i / cells for i in range(1, cells)], 10 * cells).alias("cuts"))
+    rows = df.select("t", "y", F.col(x).alias("x"), F.col(key).alias("k")).filter("x is not null")
+    ends = rows.filter("t = 0").groupBy("x").agg(F.min(F.struct("k", "y")).alias("low"), F.max(F.struct("k", "y")).alias("high"))
+    controls = ends.select(F.lit(0).alias("t"), "x", F.explode(F.array_distinct(F.array("low", "high"))).alias("c")).select("t", "c.y", "x", "c.k")
+    rows = rows.filter("t = 1").select(F.col("t").cast("int").alias("t"), "y", "x", "k").unionByName(controls)
+    place = F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c < F.col("x"))).alias("cell")
+    rows = rows.crossJoin(F.broadcast(cuts)).select("t", "y", "x", "k", place)  # one row
     control = F.when(F.col("t") == 0, F.struct("x", "k", "y"))
     edge = rows.groupBy("cell").agg(F.max(control).alias("top"), F.min(control).alias("bottom"))
     by_cell = Window.orderBy("cell")  # over at most `cells` + 1 rows

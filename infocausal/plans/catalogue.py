@@ -384,7 +384,7 @@ def mediation(spark, sf_dir):
 @query(f"""WITH {T_SQL}, r AS (SELECT t, y, row_number() OVER (PARTITION BY t ORDER BY y, ok * 10 + ln) AS r, count(*) OVER (PARTITION BY t) AS n FROM d),
 k AS (SELECT * FROM r WHERE r > floor(n * 0.05) AND r <= n - floor(n * 0.05)) SELECT {r6('avg(y) FILTER (t = 1) - avg(y) FILTER (t = 0) AS ate')}, count(*) AS n FROM k""")
 def trimmed_ate(spark, sf_dir):
-    return rounded(effects.trimmed(treated(spark, sf_dir).withColumn("tie", F.col("ok") * 10 + F.col("ln")), 0.05, "tie"))
+    return rounded(effects.trimmed(treated(spark, sf_dir), 0.05))
 
 
 @query(f"""WITH {T_SQL}, c AS (SELECT t, ls AS m, count(*) AS n, avg(y) AS ym FROM d GROUP BY ALL),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infocausal.operators import bounds, latent, paths, resampling, statistics
-from infocausal.plans.catalogue import DAILY, HOURLY, LI, T_SQL, TRADE, query, r6, rounded, summed, table, trade, treated
+from infocausal.operators import bounds, information, latent, paths, resampling, statistics, transfer
+from infocausal.plans.catalogue import DAILY, EMBED, HOURLY, LI, T_SQL, TE_HOURLY, TRADE, binned_sql, query, r6, rounded, summed, table, te_sql, trade, treated
 from infocausal.sources import tables
 
 # ---------------------------------------------------------------- samples and series
@@ -344,3 +344,89 @@ def shuffled_autocorrelation(spark, sf_dir):
     s = summed(spark, sf_dir, 86400)
     stat = lambda d, by, i: d.withColumn("l", F.lag("v").over(Window.partitionBy(*by).orderBy(i))).groupBy(*by).agg(F.corr("v", "l").alias("c"))
     return rounded(resampling.permutation_p(stat(s, ["series"], "t"), stat(resampling.shuffled(s, 39), ["series", "rep"], "i"), ["series"], "c"))
+
+
+# ---------------------------------------------------------------- forms of transfer entropy
+
+BINNED = f"{HOURLY}, {binned_sql(4)}, {EMBED}"
+
+
+def _binned(spark: SparkSession, sf_dir: str, bins: int = 4) -> DataFrame:
+    return information.equal_width_bins(summed(spark, sf_dir), "v", bins, ["series"])
+
+
+SCAN = f"""WITH {BINNED}, p AS (SELECT x.series AS target, y.series AS source, k::INT AS lag, x.future AS xf, x.past AS xp, y.b AS yp FROM range(1, 5) AS r(k), e x JOIN b y ON y.t = x.t - k + 1 WHERE x.series <> y.series),
+{te_sql('p', 'target, source, lag')}"""
+
+
+@query(f"{SCAN} SELECT target, source, lag, n_obs, {r6('te')} FROM te")
+def te_lag_scan(spark, sf_dir):
+    return rounded(transfer.lag_scan(_binned(spark, sf_dir), 4))
+
+
+@query(f"{SCAN}, best AS (SELECT *, row_number() OVER (PARTITION BY target, source ORDER BY round(te, 12) DESC, lag) AS k FROM te) SELECT target, source, lag, {r6('te')} FROM best WHERE k = 1")
+def te_best_lag(spark, sf_dir):
+    return rounded(transfer.best_lag(transfer.lag_scan(_binned(spark, sf_dir), 4)))
+
+
+@query(f"""WITH {BINNED}, c AS (SELECT x.series AS target, y.series AS source, x.future AS xf, x.past AS xp, y.past AS yp, y.future AS yf, count(*) AS n FROM e x JOIN e y USING (t) WHERE x.series <> y.series GROUP BY ALL),
+k AS (SELECT *, sum(n) OVER (PARTITION BY target, source) AS t, sum(n) OVER (PARTITION BY target, source, xf) AS f, sum(n) OVER (PARTITION BY target, source, xp) AS p, sum(n) OVER (PARTITION BY target, source, xf, xp) AS fp,
+  sum(n) OVER (PARTITION BY target, source, xp, yp) AS py, sum(n) OVER (PARTITION BY target, source, xf, xp, yp) AS fpy, sum(n) OVER (PARTITION BY target, source, xp, yp, yf) AS pyy FROM c),
+h AS (SELECT target, source, sum(n)::BIGINT AS n_obs, sum(n / t * ln(t / f)) AS h_next, sum(n / t * ln(p / fp)) AS h_rate, sum(n / t * ln(py / fpy)) AS h_both, sum(n / t * ln(pyy / n)) AS h_caused FROM k GROUP BY 1, 2),
+r AS (SELECT *, greatest(h_rate - h_both, 0) AS te, greatest(h_both - h_caused, 0) AS instant FROM h)
+SELECT target, source, n_obs, {r6('h_next', 'h_rate', 'te', 'te / nullif(h_rate, 0) AS normalized', 'te / nullif(h_next, 0) AS uncertainty', 'instant', 'te + instant AS directed', 'h_caused')} FROM r""")
+def te_rates(spark, sf_dir):
+    return rounded(transfer.rates(_binned(spark, sf_dir)))
+
+
+@query(f"""WITH {BINNED}, g AS (SELECT * FROM (SELECT series, t, b AS b0, lag(b) OVER w AS b1, lag(t) OVER w AS t0, lead(b) OVER w AS xf, lead(t) OVER w AS t2 FROM b WINDOW w AS (PARTITION BY series ORDER BY t)) WHERE t2 = t + 1 AND t0 = t - 1),
+p AS (SELECT x.series AS target, y.series AS source, x.xf, x.b0 * 10 + x.b1 AS xp, y.b0 * 10 + y.b1 AS yp FROM g x JOIN g y USING (t) WHERE x.series <> y.series), {te_sql('p', 'target, source')} SELECT target, source, n_obs, {r6('te')} FROM te""")
+def te_long_history(spark, sf_dir):
+    return rounded(transfer.long_history(_binned(spark, sf_dir), 2, 2))
+
+
+@query(f"""WITH {BINNED}, x AS (SELECT series, t, past, row_number() OVER (PARTITION BY series ORDER BY t) - 1 AS i FROM e),
+mixed AS (SELECT series, rep, past, row_number() OVER (PARTITION BY series, rep ORDER BY {drawn('series', 'rep', 'i')}, i) - 1 AS i FROM x, range(1, 10) AS r(rep)),
+y AS (SELECT series AS source, 0 AS rep, t, past AS yp FROM e UNION ALL SELECT mixed.series, mixed.rep, x.t, mixed.past FROM mixed JOIN x USING (series, i)),
+p AS (SELECT x.series AS target, y.source, y.rep, x.future AS xf, x.past AS xp, y.yp FROM e x JOIN y USING (t) WHERE x.series <> y.source), {te_sql('p', 'target, source, rep')},
+o AS (SELECT target, source, te AS own FROM te WHERE rep = 0), others AS (SELECT target, source, avg(te) AS bias, stddev_samp(te) AS sd FROM te WHERE rep > 0 GROUP BY 1, 2)
+SELECT target, source, {r6('own AS te', 'bias', 'own - bias AS effective', '(own - bias) / nullif(sd, 0) AS z')} FROM o JOIN others USING (target, source)""")
+def te_effective(spark, sf_dir):
+    return rounded(transfer.effective(_binned(spark, sf_dir), 9))
+
+
+@query(f"""WITH {TE_HOURLY}, w AS (SELECT avg(te) + 0.5 * stddev_samp(te) AS cut, count(*) AS pairs FROM te), linked AS (SELECT source, target, te, pairs FROM te, w WHERE te > cut)
+SELECT source, target, {r6('te', 'count(*) OVER () / pairs AS density')} FROM linked""")
+def te_network(spark, sf_dir):
+    e = information.embedded(_binned(spark, sf_dir, 8), "series", "t", "b")
+    return rounded(transfer.network(information.transfer_entropy_pairs(e, "series", "t")))
+
+
+@query(f"""WITH {BINNED}, p AS (SELECT a.series, k AS lag, a.b, c.b AS later FROM b a, range(1, 9) AS r(k), b c WHERE c.series = a.series AND c.t = a.t + k), n AS (SELECT series, lag, b, later, count(*) AS n FROM p GROUP BY ALL),
+q AS (SELECT *, sum(n) OVER (PARTITION BY series, lag) AS t, sum(n) OVER (PARTITION BY series, lag, b) AS nx, sum(n) OVER (PARTITION BY series, lag, later) AS ny FROM n),
+mi AS (SELECT series, lag::INT AS lag, greatest(sum(n / t * ln(n * t / (nx * ny))), 0) AS mi FROM q GROUP BY 1, 2),
+d AS (SELECT *, round(mi, 12) <= lag(round(mi, 12)) OVER w AND round(mi, 12) <= lead(round(mi, 12)) OVER w AS dip FROM mi WINDOW w AS (PARTITION BY series ORDER BY lag))
+SELECT series, lag, {r6('mi')}, min(CASE WHEN dip THEN lag END) OVER (PARTITION BY series) AS first_minimum FROM d""")
+def self_information(spark, sf_dir):
+    return rounded(transfer.self_information(_binned(spark, sf_dir), 8))
+
+
+def _code(v: str) -> str:
+    a, b, c = (f"{v}{i}" for i in range(3))
+    return f"((({b} < {a})::INT + ({c} < {a})::INT) * 9 + (({a} <= {b})::INT + ({c} < {b})::INT) * 3 + ({a} <= {c})::INT + ({b} <= {c})::INT)"
+
+
+@query(f"""WITH {HOURLY}, g AS (SELECT k::INT AS scale, series, t // k AS t, avg(v) AS v FROM s, range(1, 4) AS r(k) GROUP BY 1, 2, 3),
+o AS (SELECT scale, series, v AS v0, lead(v, 1) OVER w AS v1, lead(v, 2) OVER w AS v2 FROM g WINDOW w AS (PARTITION BY scale, series ORDER BY t)), c AS (SELECT scale, series, {_code('v')} AS b, count(*) AS n FROM o WHERE v2 IS NOT NULL GROUP BY ALL),
+p AS (SELECT scale, series, n / sum(n) OVER (PARTITION BY scale, series) AS p FROM c) SELECT scale, series, {r6('-sum(p * ln(p)) AS h', '-sum(p * ln(p)) / ln(6) AS normalized')} FROM p GROUP BY 1, 2""")
+def multiscale_permutation_entropy(spark, sf_dir):
+    return rounded(transfer.multiscale_permutation_entropy(summed(spark, sf_dir), 3))
+
+
+@query(f"""WITH {HOURLY}, o AS (SELECT series, t, v AS v0, lead(v, 1) OVER w AS v1, lead(v, 2) OVER w AS v2 FROM s WINDOW w AS (PARTITION BY series ORDER BY t)), b AS (SELECT series, t, {_code('v')} AS b FROM o WHERE v2 IS NOT NULL), {EMBED},
+c AS (SELECT series, past AS b, future AS next, count(*) AS n FROM e GROUP BY ALL), q AS (SELECT *, n / sum(n) OVER (PARTITION BY series, b) AS p FROM c)
+SELECT series, b, next, n, {r6('p', '-sum(n * ln(p)) OVER (PARTITION BY series) / sum(n) OVER (PARTITION BY series) AS h')} FROM q""")
+def pattern_transitions(spark, sf_dir):
+    from infocausal.plans.catalogue import _patterns
+
+    return rounded(transfer.pattern_transitions(_patterns(spark, sf_dir)))
