@@ -26,7 +26,7 @@ from infocausal.llm.common import n_tasks, release
 from infocausal.llm.packing import LEVEL, unpacked
 
 #: Text bytes of a unit, bytes of keys in a bucket, and how far both may grow.
-UNIT_BYTES, BUCKET_BYTES, MOST_BYTES = 4_000_000, 8_000_000, 256_000_000
+UNIT_BYTES, BUCKET_BYTES, MOST_BYTES = 2_000_000, 4_000_000, 256_000_000
 PARTS = 4_096
 #: A key of a text for so many bytes of text, at most.
 BYTES_PER_KEY = 6
