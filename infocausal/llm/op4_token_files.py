@@ -21,6 +21,7 @@ reads back as no rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from infocausal.llm.common import n_tasks, release
+from infocausal.llm.op3_pair_index_bpe import byte_letters
 from infocausal.llm.pieces import PieceTable
 
 END_ID = 2
@@ -63,7 +65,6 @@ class CachedTokenizer:
     _loose = re.compile(r"(?:^|\s)[ ]|[ ](?:\s|$)")
     _other = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
     _plain = re.compile(r"( ?[^\W\d_]+)([^\w\s]+)?(?:\n([^\W\d_]+)([^\w\s]+)?)?")
-    _apart = re.compile(r"[\s<]")
     _cut = re.compile(r"(?<=\S)(?=[ ]\S)")
 
     def __init__(self, source: str):
@@ -73,10 +74,15 @@ class CachedTokenizer:
         self.library.no_padding()
         self.library.no_truncation()
         self.table = PieceTable(CACHED_PIECES)
-        end = self.library.encode("a\n b", add_special_tokens=False).ids
-        self.line_end = end[1] if len(end) == 3 else -1
+        self.letters = str.maketrans(dict(enumerate(byte_letters())))
+        spec = json.loads(source)
+        #: Whether nothing but the byte-level splitting stands before the model.
+        self.direct = spec.get("normalizer") is None and spec["pre_tokenizer"]["type"] == "ByteLevel" and spec["model"]["type"] == "BPE" and not any(
+            x["content"].strip().isalpha() for x in spec["added_tokens"]
+        )
+        end = self.library.encode("a\na", add_special_tokens=False).ids
         #: Whether a word at the start of a text has the ids that it has after a line end.
-        self.bare = len(end) == 3 and self.library.encode("a\na", add_special_tokens=False).ids == [end[0], end[1], end[0]]
+        self.bare = len(end) == 3 and end[0] == end[2]
 
     def pieces(self, text: str) -> list[str]:
         if not text:
@@ -87,17 +93,14 @@ class CachedTokenizer:
         return self._cut.split(text)
 
     def ask(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece. Plain words with their space are asked together: a line end stands alone between them, so its id tells where each ends."""
-        together = [i for i, x in enumerate(pieces) if x[0] == " " and len(x) > 1 and not self._apart.search(x, 1)]
+        """The ids of each piece. A space and letters are one pre-token, which goes straight to the library's model, in the letters that stand for its bytes."""
         out: list[bytes | None] = [None] * len(pieces)
-        for at in range(0, len(together), 5_000):
-            own = together[at : at + 5_000]
-            ids = np.array(self.library.encode_batch_fast(["\n".join([pieces[i] for i in own])], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
-            if len(ends) == len(own):
-                raw, stops = ids.tobytes(), (4 * ends).tolist()
-                for i, j, k in zip(own, [0, *[x + 4 for x in stops]], stops, strict=False):
-                    out[i] = raw[j:k]
+        if self.direct:
+            model, letters = self.library.model.tokenize, self.letters
+            for i, x in enumerate(pieces):
+                if x[0] == " " and x[1:].isalpha():
+                    ids = [t.id for t in model(x.encode().decode("latin-1").translate(letters))]
+                    out[i] = pack(f"<{len(ids)}I", *ids)
         rest = [i for i, x in enumerate(out) if x is None]
         for at in range(0, len(rest), 10_000):
             part = rest[at : at + 10_000]
