@@ -1,7 +1,7 @@
 """Statistics that need a series as an array, a replicate or a kernel matrix.
 
-Spark groups and shuffles by series pair or replicate; Arrow hands each group to numpy. Groups are
-one series pair (a bounded number of time steps) or one replicate's moments, never the table.
+Spark groups and shuffles by series pair or replicate; Arrow hands each group to numpy. A group is one
+pair of series, whose distances are in memory for BLOCK steps at a time, or one replicate's moments.
 """
 
 from __future__ import annotations
@@ -34,18 +34,39 @@ def _pairs(df: DataFrame, series: str, t: str, v: str) -> DataFrame:
     return x.join(y, t).filter("x < y")
 
 
+#: Rows of a distance matrix that are in memory at a time.
+BLOCK = 512
+
+
 def ksg(a: np.ndarray, b: np.ndarray, k: int) -> float:
-    """Nearest-neighbour mutual information (first estimator), maximum norm."""
+    """Nearest-neighbour mutual information (first estimator), maximum norm; BLOCK rows of distances at a time."""
     n = len(a)
     if n <= k:
         return 0.0
-    da, db = np.abs(a[:, None] - a), np.abs(b[:, None] - b)
-    joint = np.maximum(da, db)
-    np.fill_diagonal(joint, np.inf)
-    eps = np.partition(joint, k - 1, axis=1)[:, k - 1]
-    nx, ny = (da < eps[:, None]).sum(1) - 1, (db < eps[:, None]).sum(1) - 1
-    psi = np.vectorize(digamma)
-    return float(max(digamma(k) + digamma(n) - (psi(np.maximum(nx, 0) + 1.0) + psi(np.maximum(ny, 0) + 1.0)).mean(), 0.0))
+    psi, total = np.vectorize(digamma), 0.0
+    sa, sb = np.sort(a), np.sort(b)
+    for at in range(0, n, BLOCK):
+        x, y = a[at : at + BLOCK], b[at : at + BLOCK]
+        joint = np.maximum(np.abs(x[:, None] - a), np.abs(y[:, None] - b))
+        joint[np.arange(len(x)), np.arange(at, at + len(x))] = np.inf
+        eps = np.partition(joint, k - 1, axis=1)[:, k - 1]
+        counts = [_closer(s, v, eps) for s, v in ((sa, x), (sb, y))]
+        total += (psi(counts[0] + 1.0) + psi(counts[1] + 1.0)).sum()
+    return float(max(digamma(k) + digamma(n) - total / n, 0.0))
+
+
+def _closer(ordered: np.ndarray, v: np.ndarray, eps: np.ndarray) -> np.ndarray:
+    """For each value the others that are nearer than eps; the ends are looked at again, as a sum may round past them."""
+    low, high = np.searchsorted(ordered, v - eps), np.searchsorted(ordered, v + eps, side="right")
+    last = len(ordered) - 1
+    for _ in range(2):
+        low = np.where((low > 0) & (np.abs(v - ordered[np.maximum(low - 1, 0)]) < eps), low - 1, low)
+        high = np.where((high <= last) & (np.abs(v - ordered[np.minimum(high, last)]) < eps), high + 1, high)
+    while (off := (low < high) & (np.abs(v - ordered[np.minimum(low, last)]) >= eps)).any():
+        low = low + off
+    while (off := (low < high) & (np.abs(v - ordered[np.maximum(high - 1, 0)]) >= eps)).any():
+        high = high - off
+    return np.maximum(high - low - 1, 0)
 
 
 def knn_information(df: DataFrame, k: int = 3, series: str = "series", t: str = "t", v: str = "v") -> DataFrame:
@@ -56,16 +77,40 @@ def knn_information(df: DataFrame, k: int = 3, series: str = "series", t: str =
     return _pairs(df, series, t, v).groupBy("x", "y").applyInPandas(run, "x string, y string, mi double")
 
 
-def hsic_statistic(a: np.ndarray, b: np.ndarray) -> float:
-    """Biased estimate with Gaussian kernels at the median distance."""
+def median_distance(z: np.ndarray) -> float:
+    """The median of the distances over 0 between values, 1 if there are none, without making the pairs: a search over distances that counts by sorted places."""
+    z = np.sort(z)
+    n = len(z)
+    upto = lambda d: int((np.searchsorted(z, z + d, side="right") - np.arange(1, n + 1)).sum())
+    zero = upto(0.0)
+    some = n * (n - 1) // 2 - zero
+    if some <= 0:
+        return 1.0
 
-    def gram(z: np.ndarray) -> np.ndarray:
-        d = np.abs(z[:, None] - z)
-        width = np.median(d[d > 0]) if (d > 0).any() else 1.0
-        k = np.exp(-d * d / (2 * width * width))
-        return k - k.mean(0) - k.mean(1)[:, None] + k.mean()
+    def ranked(k: int) -> float:
+        low, high = 0, int(np.float64(z[-1] - z[0]).view(np.int64)) + 2
+        while low < high:
+            mid = (low + high) // 2
+            if upto(np.int64(mid).view(np.float64)) >= zero + k:
+                high = mid
+            else:
+                low = mid + 1
+        return float(np.int64(low).view(np.float64))
 
-    return float((gram(a) * gram(b)).sum() / len(a) ** 2)
+    return (ranked((some + 1) // 2) + ranked(some // 2 + 1)) / 2
+
+
+def hsic_statistic(a: np.ndarray, b: np.ndarray) -> float:
+    """Biased estimate with Gaussian kernels at the median distance; BLOCK rows of the kernels at a time."""
+    n, wa, wb = len(a), median_distance(a), median_distance(b)
+    product, row_a, row_b = 0.0, [], []
+    for at in range(0, n, BLOCK):
+        ka, kb = (np.exp(-((v[at : at + BLOCK, None] - v) ** 2) / (2 * w * w)) for v, w in ((a, wa), (b, wb)))
+        product += (ka * kb).sum()
+        row_a.append(ka.sum(1))
+        row_b.append(kb.sum(1))
+    ra, rb = np.concatenate(row_a), np.concatenate(row_b)
+    return float((product - 2 / n * (ra @ rb) + ra.sum() * rb.sum() / n**2) / n**2)
 
 
 def hsic(df: DataFrame, series: str = "series", t: str = "t", v: str = "v") -> DataFrame:

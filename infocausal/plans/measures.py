@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infocausal.operators import bounds, information, latent, paths, resampling, statistics, transfer
+from infocausal.operators import bounds, communities, information, latent, paths, resampling, statistics, transfer
 from infocausal.plans.catalogue import DAILY, EMBED, HOURLY, LI, T_SQL, TE_HOURLY, TRADE, binned_sql, query, r6, rounded, summed, table, te_sql, trade, treated
 from infocausal.sources import tables
 
@@ -430,3 +430,18 @@ def pattern_transitions(spark, sf_dir):
     from infocausal.plans.catalogue import _patterns
 
     return rounded(transfer.pattern_transitions(_patterns(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- matching on several covariates
+
+MATCH = """WITH d AS (SELECT (c_mktsegment = 'BUILDING')::INT AS t, c_acctbal AS x, (c_custkey % 97)::DOUBLE AS u, c_nationkey::DOUBLE AS y, c_custkey AS k FROM customer),
+z AS (SELECT t, y, k, (x - avg(x) OVER ()) / stddev_samp(x) OVER () AS a, (u - avg(u) OVER ()) / stddev_samp(u) OVER () AS b FROM d),
+p AS (SELECT i.k, i.y, j.k AS match, j.y AS y_match, sqrt((i.a - j.a) ** 2 + (i.b - j.b) ** 2) AS distance FROM z i JOIN z j ON i.t = 1 AND j.t = 0 AND abs(i.a - j.a) <= 0.1 AND abs(i.b - j.b) <= 0.1),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(distance, 12), match) AS q FROM p WHERE distance <= 0.1)"""
+
+
+@query(f"{MATCH} SELECT {r6('avg(y - y_match) AS att', 'stddev_samp(y - y_match) / sqrt(count(*)) AS se')}, count(*) AS n FROM r WHERE q = 1")
+def caliper_match_att(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select((F.col("c_mktsegment") == "BUILDING").cast("int").alias("t"), F.col("c_acctbal").alias("x"),
+                                                (F.col("c_custkey") % 97).cast("double").alias("u"), F.col("c_nationkey").cast("double").alias("y"), F.col("c_custkey").alias("k"))
+    return rounded(communities.matched_effect(communities.caliper_match(c, ["x", "u"], "k", 0.1)))

@@ -214,3 +214,27 @@ def test_streams(spark, tmp_path):
     sums = want.select("series", "start", "v")
     features.transfer_entropy_sink(4, lambda df, n: seen.append((n, df.count())), lambda: sums.limit(0))(sums, 0)
     assert seen[0][1] > 0
+
+
+def test_blocked_kernels_equal_whole_matrices():
+    from infocausal.functions.special import digamma
+    from infocausal.operators import kernels
+
+    rng = np.random.default_rng(8)
+    for n in (5, 60, 1300):
+        a = np.round(rng.normal(size=n), 1 if n == 60 else 9)
+        b = a + rng.normal(size=n)
+        d = [np.abs(z[:, None] - z) for z in (a, b)]
+        wide = [np.median(x[x > 0]) for x in d]
+        assert [kernels.median_distance(z) for z in (a, b)] == pytest.approx(wide)
+        k = [np.exp(-(x**2) / (2 * w * w)) for x, w in zip(d, wide, strict=True)]
+        c = [x - x.mean(0) - x.mean(1)[:, None] + x.mean() for x in k]
+        assert kernels.hsic_statistic(a, b) == pytest.approx((c[0] * c[1]).sum() / n**2)
+        joint = np.maximum(*d)
+        np.fill_diagonal(joint, np.inf)
+        eps = np.partition(joint, 2, axis=1)[:, 2]
+        psi = np.vectorize(digamma)
+        near = [(x < eps[:, None]).sum(1) - 1 for x in d]
+        want = max(digamma(3) + digamma(n) - (psi(np.maximum(near[0], 0) + 1.0) + psi(np.maximum(near[1], 0) + 1.0)).mean(), 0)
+        assert kernels.ksg(a, b, 3) == pytest.approx(want)
+    assert kernels.median_distance(np.ones(4)) == 1.0
