@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from infocausal.functions.special import digamma
 from infocausal.operators import discovery, information
@@ -184,3 +185,53 @@ def stable_graph(stability: DataFrame, expected_false: float) -> DataFrame:
     whole = stability.agg(F.sum("stability").alias("q"), F.count("*").alias("p"))
     cut = F.least(F.lit(1.0), (1 + F.col("q") * F.col("q") / (F.col("p") * expected_false)) / 2)
     return stability.crossJoin(whole.select(cut.alias("threshold"))).filter("stability >= threshold")
+
+
+def knn_entropy(df: DataFrame, k: int = 3, series: str = "series", v: str = "v") -> DataFrame:
+    """series, n, h: differential entropy from the distance of each value to its k-th nearest; values that coincide with k others have none and are left out of the mean."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = np.sort(pdf[v].to_numpy(float))
+        n, h = len(z), None
+        if n > k:
+            # The k nearest of a sorted value are among the k before and the k after it.
+            near = np.full((n, 2 * k), np.inf)
+            for i in range(1, k + 1):
+                near[i:, i - 1] = z[i:] - z[:-i]
+                near[:-i, k + i - 1] = z[i:] - z[:-i]
+            eps = np.partition(near, k - 1, axis=1)[:, k - 1]
+            if (eps > 0).any():
+                h = float(digamma(n) - digamma(k) + np.log(2) + np.log(eps[eps > 0]).mean())
+        return pd.DataFrame({series: pdf[series].iloc[:1], "n": [n], "h": [h]})
+
+    return df.select(series, v).groupBy(series).applyInPandas(run, f"{series} string, n long, h double")
+
+
+def conditional_ksg(x: np.ndarray, y: np.ndarray, z: np.ndarray, k: int) -> float:
+    """Nearest-neighbour information of x and y given z, maximum norm; BLOCK rows of distances at a time."""
+    n, psi, total = len(x), np.vectorize(digamma), 0.0
+    if n <= k:
+        return 0.0
+    for at in range(0, n, BLOCK):
+        dx, dy, dz = (np.abs(v[at : at + BLOCK, None] - v) for v in (x, y, z))
+        joint = np.maximum(np.maximum(dx, dy), dz)
+        joint[np.arange(len(joint)), np.arange(at, at + len(joint))] = np.inf
+        eps = np.partition(joint, k - 1, axis=1)[:, k - 1 : k]
+        counts = [(d < eps).sum(1) for d in (np.maximum(dx, dz), np.maximum(dy, dz), dz)]
+        nxz, nyz, nz = (np.maximum(c, 1).astype(float) for c in counts)
+        total += (psi(nxz) + psi(nyz) - psi(nz)).sum()
+    return float(max(digamma(k) - total / n, 0.0))
+
+
+def knn_transfer(df: DataFrame, k: int = 3, series: str = "series", t: str = "t", v: str = "v") -> DataFrame:
+    """target, source, n, te: nearest-neighbour information of the target's next value and the source's present one, given the target's present."""
+    w = Window.partitionBy(series).orderBy(t)
+    e = df.select(series, t, F.col(v).alias("past"), F.lead(v).over(w).alias("next"), F.lead(t).over(w).alias("t2")).filter(F.col("t2") == F.col(t) + 1)
+    x = e.select(F.col(series).alias("target"), t, F.col("past").alias("xp"), F.col("next").alias("xf"))
+    y = e.select(F.col(series).alias("source"), t, F.col("past").alias("yp"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = [((c - c.mean()) / (c.std() or 1)).to_numpy() for c in (pdf["xf"], pdf["yp"], pdf["xp"])]
+        return pd.DataFrame({"target": pdf["target"].iloc[:1], "source": pdf["source"].iloc[:1], "n": [len(pdf)], "te": [conditional_ksg(*z, k)]})
+
+    return x.join(y, t).filter("target != source").groupBy("target", "source").applyInPandas(run, "target string, source string, n long, te double")

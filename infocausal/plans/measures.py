@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infocausal.operators import bounds, communities, information, latent, paths, resampling, statistics, transfer
+from infocausal.operators import bounds, communities, information, kernels, latent, paths, resampling, statistics, transfer
 from infocausal.plans.catalogue import DAILY, EMBED, HOURLY, LI, T_SQL, TE_HOURLY, TRADE, binned_sql, query, r6, rounded, summed, table, te_sql, trade, treated
 from infocausal.sources import tables
 
@@ -445,3 +445,27 @@ def caliper_match_att(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select((F.col("c_mktsegment") == "BUILDING").cast("int").alias("t"), F.col("c_acctbal").alias("x"),
                                                 (F.col("c_custkey") % 97).cast("double").alias("u"), F.col("c_nationkey").cast("double").alias("y"), F.col("c_custkey").alias("k"))
     return rounded(communities.matched_effect(communities.caliper_match(c, ["x", "u"], "k", 0.1)))
+
+
+# ---------------------------------------------------------------- nearest neighbours
+
+PSI = "h AS (SELECT k::INT AS k, -0.5772156649015329 + coalesce(sum(1.0::DOUBLE / j), 0) AS psi FROM range(1, 400) AS k(k) LEFT JOIN range(1, 400) AS j(j) ON j.j < k.k GROUP BY 1)"
+
+
+@query(f"""WITH {DAILY}, {PSI}, d AS (SELECT i.series, i.t, abs(i.v - j.v) AS d, row_number() OVER (PARTITION BY i.series, i.t ORDER BY abs(i.v - j.v)) AS k FROM s i JOIN s j ON i.series = j.series AND i.t <> j.t),
+n AS (SELECT series, count(*) AS n FROM s GROUP BY 1), a AS (SELECT series, avg(ln(d)) AS a FROM d WHERE k = 3 AND d > 0 GROUP BY 1)
+SELECT series, n, {r6('CASE WHEN n > 3 THEN hn.psi - h3.psi + ln(2) + a END AS h')} FROM n LEFT JOIN a USING (series) JOIN h h3 ON h3.k = 3 JOIN h hn ON hn.k = n""")
+def knn_entropy(spark, sf_dir):
+    return rounded(kernels.knn_entropy(summed(spark, sf_dir, 86400)))
+
+
+@query(f"""WITH {DAILY}, {PSI}, e AS (SELECT * FROM (SELECT series, t, v AS past, lead(v) OVER w AS nxt, lead(t) OVER w AS t2 FROM s WINDOW w AS (PARTITION BY series ORDER BY t)) WHERE t2 = t + 1),
+p AS (SELECT x.series AS target, y.series AS source, x.t, x.nxt AS a, y.past AS b, x.past AS c FROM e x JOIN e y USING (t) WHERE x.series <> y.series),
+z AS (SELECT target, source, t, count(*) OVER w AS n, (a - avg(a) OVER w) / coalesce(nullif(stddev_samp(a) OVER w, 0), 1) AS a, (b - avg(b) OVER w) / coalesce(nullif(stddev_samp(b) OVER w, 0), 1) AS b,
+  (c - avg(c) OVER w) / coalesce(nullif(stddev_samp(c) OVER w, 0), 1) AS c FROM p WINDOW w AS (PARTITION BY target, source)),
+d AS (SELECT i.target, i.source, i.t, i.n, abs(i.a - j.a) AS da, abs(i.b - j.b) AS db, abs(i.c - j.c) AS dc, row_number() OVER (PARTITION BY i.target, i.source, i.t ORDER BY greatest(abs(i.a - j.a), abs(i.b - j.b), abs(i.c - j.c))) AS k
+  FROM z i JOIN z j ON i.target = j.target AND i.source = j.source AND i.t <> j.t), q AS (SELECT target, source, t, greatest(da, db, dc) AS eps FROM d WHERE k = 3),
+m AS (SELECT target, source, t, any_value(n) AS n, 1 + sum((greatest(da, dc) < eps)::INT)::INT AS na, 1 + sum((greatest(db, dc) < eps)::INT)::INT AS nb, 1 + sum((dc < eps)::INT)::INT AS nc FROM d JOIN q USING (target, source, t) GROUP BY 1, 2, 3)
+SELECT target, source, any_value(n) AS n, {r6('greatest(-0.5772156649015329 + 1.5 - avg(ha.psi + hb.psi - hc.psi), 0) AS te')} FROM m JOIN h ha ON ha.k = na JOIN h hb ON hb.k = nb JOIN h hc ON hc.k = nc GROUP BY 1, 2""")
+def knn_transfer(spark, sf_dir):
+    return rounded(kernels.knn_transfer(summed(spark, sf_dir, 86400)))
