@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infocausal.operators import bounds, communities, information, kernels, latent, paths, resampling, statistics, transfer
+from infocausal.operators import bounds, communities, information, interventions, kernels, latent, paths, resampling, statistics, transfer
 from infocausal.plans.catalogue import DAILY, EMBED, HOURLY, LI, T_SQL, TE_HOURLY, TRADE, binned_sql, query, r6, rounded, summed, table, te_sql, trade, treated
 from infocausal.sources import tables
 
@@ -469,3 +469,44 @@ m AS (SELECT target, source, t, any_value(n) AS n, 1 + sum((greatest(da, dc) < e
 SELECT target, source, any_value(n) AS n, {r6('greatest(-0.5772156649015329 + 1.5 - avg(ha.psi + hb.psi - hc.psi), 0) AS te')} FROM m JOIN h ha ON ha.k = na JOIN h hb ON hb.k = nb JOIN h hc ON hc.k = nc GROUP BY 1, 2""")
 def knn_transfer(spark, sf_dir):
     return rounded(kernels.knn_transfer(summed(spark, sf_dir, 86400)))
+
+
+# ---------------------------------------------------------------- interventions on discrete tables
+
+
+@query("""WITH d AS (SELECT o_orderpriority AS z, (l_discount >= 0.05)::INT AS t, l_linestatus AS m, (l_quantity >= 25)::INT AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+pz AS (SELECT z, count(*) / sum(count(*)) OVER () AS p FROM d GROUP BY z), pm AS (SELECT m, count(*) / sum(count(*)) OVER () AS p FROM d WHERE t = 1 GROUP BY m),
+py AS (SELECT z, m, y, count(*) / sum(count(*)) OVER (PARTITION BY z, m) AS p FROM d GROUP BY z, m, y)
+SELECT y, """ + r6("sum(pz.p * pm.p * py.p) AS p") + " FROM py JOIN pz USING (z) JOIN pm USING (m) GROUP BY y")
+def truncated_factorization(spark, sf_dir):
+    """z -> t -> m -> y <- z, with t set to 1."""
+    li = table(spark, sf_dir, LI)
+    d = li.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_orderpriority").alias("z"), (F.col("l_discount") >= 0.05).cast("int").alias("t"), F.col("l_linestatus").alias("m"), (F.col("l_quantity") >= 25).cast("int").alias("y"))
+    return rounded(interventions.truncated_factorization(d, {"z": [], "t": ["z"], "m": ["t"], "y": ["m", "z"]}, {"t": 1}, "y"))
+
+
+@query(f"""WITH {T_SQL}, a AS (SELECT * FROM d WHERE ls = 'O'), b AS (SELECT * FROM d WHERE ls = 'F'), c AS (SELECT z, t, avg(y) AS m FROM a GROUP BY 1, 2), k AS (SELECT z FROM c GROUP BY z HAVING count(*) = 2),
+h AS (SELECT z, count(*) AS n FROM a JOIN k USING (z) GROUP BY z), g AS (SELECT z, count(*) AS n FROM b JOIN k USING (z) GROUP BY z),
+x AS (SELECT t, sum(m * n) / sum(n) AS ys FROM c JOIN h USING (z) GROUP BY t), y AS (SELECT t, sum(m * n) / sum(n) AS yt, sum(n) AS n FROM c JOIN g USING (z) GROUP BY t)
+SELECT t, {r6('ys AS y_source', 'yt AS y_target', 'n / (SELECT count(*) FROM b) AS covered')} FROM x JOIN y USING (t)""")
+def transported_effect(spark, sf_dir):
+    d = treated(spark, sf_dir)
+    return rounded(interventions.transported(d.filter("ls = 'O'"), d.filter("ls = 'F'")))
+
+
+@query(f"""WITH {T_SQL}, c AS (SELECT z, count(*) AS n, sum((ls = 'O')::INT) AS k, avg(y) FILTER (ls = 'O') AS m FROM d GROUP BY z)
+SELECT {r6('sum(m * k) / sum(k) AS seen', 'sum(m * n) / sum(n) AS corrected', 'sum(k) / sum(n) AS share')} FROM c WHERE k > 0""")
+def selection_weighted(spark, sf_dir):
+    return rounded(interventions.selection_weighted(treated(spark, sf_dir).select("z", (F.col("ls") == "O").cast("int").alias("s"), "y")))
+
+
+@query(f"""WITH {T_SQL}, w AS (SELECT avg(yb) FILTER (t = 1) AS r1, avg(yb) FILTER (t = 0) AS r0 FROM d), c AS (SELECT z, count(*) AS n, avg(yb) FILTER (t = 1) - avg(yb) FILTER (t = 0) AS gap FROM d GROUP BY z),
+i AS (SELECT sum(n * gap) / sum(n) AS c FROM c WHERE gap IS NOT NULL) SELECT {r6('r1 - r0 AS parity', 'c AS conditional', 'r1 - r0 - c AS explained', 'r1 / r0 AS impact')} FROM w, i""")
+def fairness_gap(spark, sf_dir):
+    return rounded(interventions.fairness(treated(spark, sf_dir, (F.col("l_returnflag") == "R").cast("int")), "t", "y", "z"))
+
+
+@query(f"""WITH {T_SQL}, i AS (SELECT ls, count(*) AS n, corr(q, tax) AS r FROM d GROUP BY ls) SELECT {r6('(SELECT corr(q, tax) FROM d) AS marginal', 'sum(n * r) / sum(n) AS conditional')} FROM i""")
+def collider_check(spark, sf_dir):
+    return rounded(interventions.collider_check(treated(spark, sf_dir), "q", "tax", "ls"))
