@@ -1,4 +1,4 @@
-"""Thin queries of the ten operators over their whole tables, with the columns of their contracts."""
+"""Thin queries of the operators over their whole tables, with the columns of their contracts."""
 
 from __future__ import annotations
 
@@ -19,6 +19,8 @@ from infocausal.llm import (
     op8_bwt_dedup,
     op9_host_rules,
     op10_chat_format,
+    op11_ball_clusters,
+    op11_sql,
 )
 from infocausal.llm.common import scratch_dir, table
 
@@ -99,6 +101,12 @@ def op10_chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_chat_format.digests(op10_chat_format.read_back(formatted))
 
 
+def op11_clusters_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op11_ball_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    name = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.withColumn("centroid_sha256", name).drop("centroid")
+
+
 QUERIES = {
     "op1_icws_neardup": op1_neardup_query,
     "op2_redirect_filter": op2_redirects_query,
@@ -110,6 +118,7 @@ QUERIES = {
     "op8_bwt_repeats": op8_repeats_query,
     "op9_host_rules": op9_host_rules_query,
     "op10_chat_format": op10_chat_query,
+    "op11_ball_clusters": op11_clusters_query,
 }
 
 _HOST_PATH = r"""
@@ -170,4 +179,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """,
+    "op11_ball_clusters": op11_sql.SQL,
 }
