@@ -21,6 +21,7 @@ from infocausal.llm import (
     op10_chat_format,
     op11_ball_clusters,
     op11_sql,
+    op13_config_packing,
 )
 from infocausal.llm.common import scratch_dir, table
 
@@ -107,6 +108,10 @@ def op11_clusters_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("centroid_sha256", name).drop("centroid")
 
 
+def op13_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_config_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_icws_neardup": op1_neardup_query,
     "op2_redirect_filter": op2_redirects_query,
@@ -119,6 +124,7 @@ QUERIES = {
     "op9_host_rules": op9_host_rules_query,
     "op10_chat_format": op10_chat_query,
     "op11_ball_clusters": op11_clusters_query,
+    "op13_config_packing": op13_packing_query,
 }
 
 _HOST_PATH = r"""
