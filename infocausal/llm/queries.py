@@ -21,6 +21,7 @@ from infocausal.llm import (
     op10_chat_format,
     op11_ball_clusters,
     op11_sql,
+    op12_token_alignment,
     op13_config_packing,
 )
 from infocausal.llm.common import scratch_dir, table
@@ -108,6 +109,12 @@ def op11_clusters_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("centroid_sha256", name).drop("centroid")
 
 
+def op12_alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_token_alignment.align_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 def op13_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_config_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -124,6 +131,7 @@ QUERIES = {
     "op9_host_rules": op9_host_rules_query,
     "op10_chat_format": op10_chat_query,
     "op11_ball_clusters": op11_clusters_query,
+    "op12_token_alignment": op12_alignment_query,
     "op13_config_packing": op13_packing_query,
 }
 
