@@ -22,7 +22,6 @@ gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,10 +37,13 @@ from infocausal.llm.arrow_words import slices, sums
 from infocausal.llm.common import materialize, n_tasks, release
 from infocausal.llm.op3_pair_index_bpe import byte_letters
 from infocausal.llm.op4_token_files import CachedTokenizer
+from infocausal.llm.pieces import PieceTable
 from infocausal.llm.units import expand, groups, squeeze
 
 #: Bytes of text whose distinct pieces are aligned together.
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 3_000_000
+#: Pieces whose ids a Python worker keeps.
+CACHED_PIECES = 200_000
 #: Rows of pairs in an Arrow batch.
 BATCH = 200_000
 #: White space beside a space, or a space at an end: such texts are cut by a slower rule.
@@ -53,7 +55,7 @@ WITH found AS (
   SELECT a.pos, a.id AS a, b.id AS b, true AS begins_a, b.pos = a.pos AS begins_b FROM a ASOF JOIN b ON a.pos >= b.pos
   UNION ALL
   SELECT b.pos, a.id, b.id, false, true FROM a JOIN b ON b.pos > a.pos AND b.pos < a.stop)
-SELECT pos, a, b, begins_a, begins_b, sum((begins_a AND begins_b)::INTEGER) OVER (ORDER BY pos) AS grp FROM found ORDER BY pos
+SELECT pos, a, b, begins_a, begins_b, (sum((begins_a AND begins_b)::INTEGER) OVER (ORDER BY pos))::BIGINT AS grp FROM found ORDER BY pos
 """
 
 
@@ -65,6 +67,7 @@ class Aligner:
 
         self.a = CachedTokenizer(a_source)
         self.a.library.encode_special_tokens = True
+        self.a.table, self.b_table = PieceTable(CACHED_PIECES), PieceTable(CACHED_PIECES)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         byte_of = {ord(c): i for i, c in enumerate(byte_letters())}
         vocab = self.a.library.get_vocab(with_added_tokens=True)
@@ -80,15 +83,14 @@ class Aligner:
     def _ids(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Flat ids and numbers of ids by word, for A and B."""
         pieces = [" " + w for w in words]
-        self.a.learn(set(pieces))
-        a = [self.a.table.kept[x] for x in pieces]
-        self.a.table.clear()
-        b = self.b.encode(words, num_threads=1)
-        n = np.fromiter(map(len, b), np.int64, len(b))
-        return [
-            (np.frombuffer(b"".join(a), "<u4").astype(np.int64), np.fromiter(map(len, a), np.int64, len(a)) // 4),
-            (np.fromiter(itertools.chain.from_iterable(b), np.int64, int(n.sum())), n),
-        ]
+        self.a.learn(self.a.table.unknown(set(pieces)))
+        new = list(self.b_table.unknown(set(words)))
+        self.b_table.kept.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(new, self.b.encode(new, num_threads=1), strict=True))
+        out = []
+        for known, asked in ((self.a.table.kept, pieces), (self.b_table.kept, words)):
+            ids = list(map(known.__getitem__, asked))
+            out.append((np.frombuffer(b"".join(ids), "<u4").astype(np.int64), np.fromiter(map(len, ids), np.int64, len(ids)) // 4))
+        return out
 
     def align(self, words: list[str]) -> dict[str, np.ndarray]:
         """By word: bad (joined tokens differ), n_a, n_b, n_groups, n_links and text (the groups, each after a `;`); the links in order with word, a and b."""
@@ -97,19 +99,21 @@ class Aligner:
         raw = [b" " + w.encode() for w in words]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         sides = list(zip(self._ids(words), (self.a_bytes, self.b_bytes), (self.a_size, self.b_size), strict=True))
-        bad, whole = np.zeros(len(words), bool), b"".join(raw)
-        for (ids, n), names, sizes in sides:
-            ends = np.cumsum(n)
-            off = sums(sizes[ids], np.concatenate([[0], ends])) != size
-            if off.any() or b"".join(map(names.__getitem__, ids.tolist())) != whole:
-                bad |= [x != b"".join(map(names.__getitem__, ids[j - m : j].tolist())) for x, j, m in zip(raw, ends.tolist(), n.tolist(), strict=True)]
+        bad = np.zeros(len(words), bool)
+        for (ids, n), _, sizes in sides:
+            bad |= sums(sizes[ids], np.concatenate([[0], np.cumsum(n)])) != size
+        whole = np.frombuffer(b"".join(raw), np.uint8)[~np.repeat(bad, size)]
+        place = np.repeat(np.flatnonzero(~bad), size[~bad])
+        differ = [place[np.frombuffer(b"".join(map(names.__getitem__, ids[~np.repeat(bad, n)].tolist())), np.uint8) != whole] for (ids, n), names, _ in sides]
+        bad[np.concatenate(differ)] = True
+        del raw, whole, place
         first = np.cumsum(np.where(bad, 0, size)) - np.where(bad, 0, size)
         tables = []
         for (ids, n), _, sizes in sides:
             ids = ids[~np.repeat(bad, n)]
             stop = np.cumsum(sizes[ids])
             tables.append(pa.table({"pos": stop - sizes[ids], "stop": stop, "id": ids}))
-        with tempfile.TemporaryDirectory() as spill, duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": spill}) as c:
+        with tempfile.TemporaryDirectory() as spill, duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": spill}) as c:
             for name, t in zip("ab", tables, strict=True):
                 c.register(f"{name}_rows", t)
                 c.sql(f"CREATE TABLE {name} AS FROM {name}_rows")
