@@ -22,6 +22,7 @@ gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,17 +34,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from infocausal.llm.arrow_words import slices, sums
+from infocausal.llm.arrow_words import slices, spread, sums
 from infocausal.llm.common import materialize, n_tasks, release
 from infocausal.llm.op3_pair_index_bpe import byte_letters
 from infocausal.llm.op4_token_files import CachedTokenizer
-from infocausal.llm.pieces import PieceTable
 from infocausal.llm.units import expand, groups, squeeze
 
 #: Bytes of text whose distinct pieces are aligned together.
-CHUNK_BYTES = 3_000_000
-#: Pieces whose ids a Python worker keeps.
-CACHED_PIECES = 200_000
+CHUNK_BYTES = 4_000_000
+#: Pieces whose alignment a Python worker keeps, and those that DuckDB is given at a time.
+KEPT_WORDS, ALIGNED_WORDS = 400_000, 40_000
 #: Rows of pairs in an Arrow batch.
 BATCH = 200_000
 #: White space beside a space, or a space at an end: such texts are cut by a slower rule.
@@ -67,7 +67,7 @@ class Aligner:
 
         self.a = CachedTokenizer(a_source)
         self.a.library.encode_special_tokens = True
-        self.a.table, self.b_table = PieceTable(CACHED_PIECES), PieceTable(CACHED_PIECES)
+        self.forget()
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         byte_of = {ord(c): i for i, c in enumerate(byte_letters())}
         vocab = self.a.library.get_vocab(with_added_tokens=True)
@@ -80,20 +80,49 @@ class Aligner:
         # An id with what stands before it: A's first of a group or a later one, then B's.
         self.names = pa.array([f"{s}{i}" for s, t in ((";", self.a_bytes), (",", self.a_bytes), ("|", self.b_bytes), (",", self.b_bytes)) for i in range(len(t))])
 
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.counts, self.links = np.zeros((5, 0), np.int64), np.zeros(0, np.int64)
+        self.texts: list[bytes] = []
+
+    def known(self, words: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """Of each word n_a, n_b, n_groups, n_links and whether it is bad (rows of counts), and its groups, each after a `;`; the link pairs of all words, and each one's word.
+
+        Words met before are looked up; the tables are emptied when they would pass their bound.
+        """
+        new = list(set(words).difference(self.place))
+        if len(self.place) + len(new) > KEPT_WORDS:
+            self.forget()
+            new = list(set(words))
+        counts, links = [self.counts], [self.links]
+        for at in range(0, len(new), ALIGNED_WORDS):
+            part = new[at : at + ALIGNED_WORDS]
+            c, texts, pairs = self.align(part)
+            self.place.update(zip(part, range(len(self.texts), len(self.texts) + len(part)), strict=True))
+            self.texts += texts
+            counts.append(c)
+            links.append(pairs)
+        self.counts, self.links = np.concatenate(counts, axis=1), np.concatenate(links)
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        n = self.counts[3]
+        own = self.counts[:, at]
+        return own, [self.texts[i] for i in at.tolist()], spread(self.links, np.cumsum(n), n, at), np.repeat(np.arange(len(words)), own[3])
+
     def _ids(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Flat ids and numbers of ids by word, for A and B."""
         pieces = [" " + w for w in words]
-        self.a.learn(self.a.table.unknown(set(pieces)))
-        new = list(self.b_table.unknown(set(words)))
-        self.b_table.kept.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(new, self.b.encode(new, num_threads=1), strict=True))
-        out = []
-        for known, asked in ((self.a.table.kept, pieces), (self.b_table.kept, words)):
-            ids = list(map(known.__getitem__, asked))
-            out.append((np.frombuffer(b"".join(ids), "<u4").astype(np.int64), np.fromiter(map(len, ids), np.int64, len(ids)) // 4))
-        return out
-
-    def align(self, words: list[str]) -> dict[str, np.ndarray]:
-        """By word: bad (joined tokens differ), n_a, n_b, n_groups, n_links and text (the groups, each after a `;`); the links in order with word, a and b."""
+        self.a.learn(set(pieces))
+        a = [self.a.table.kept[x] for x in pieces]
+        self.a.table.clear()
+        b = self.b.encode(words, num_threads=1)
+        n = np.fromiter(map(len, b), np.int64, len(b))
+        return [
+            (np.frombuffer(b"".join(a), "<u4").astype(np.int64), np.fromiter(map(len, a), np.int64, len(a)) // 4),
+            (np.fromiter(itertools.chain.from_iterable(b), np.int64, int(n.sum())), n),
+        ]
+
+    def align(self, words: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """counts, texts and link pairs (b in the upper half, a in the lower) of distinct words."""
         import duckdb
 
         raw = [b" " + w.encode() for w in words]
@@ -106,14 +135,13 @@ class Aligner:
         place = np.repeat(np.flatnonzero(~bad), size[~bad])
         differ = [place[np.frombuffer(b"".join(map(names.__getitem__, ids[~np.repeat(bad, n)].tolist())), np.uint8) != whole] for (ids, n), names, _ in sides]
         bad[np.concatenate(differ)] = True
-        del raw, whole, place
         first = np.cumsum(np.where(bad, 0, size)) - np.where(bad, 0, size)
         tables = []
         for (ids, n), _, sizes in sides:
             ids = ids[~np.repeat(bad, n)]
             stop = np.cumsum(sizes[ids])
             tables.append(pa.table({"pos": stop - sizes[ids], "stop": stop, "id": ids}))
-        with tempfile.TemporaryDirectory() as spill, duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": spill}) as c:
+        with tempfile.TemporaryDirectory() as spill, duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": spill}) as c:
             for name, t in zip("ab", tables, strict=True):
                 c.register(f"{name}_rows", t)
                 c.sql(f"CREATE TABLE {name} AS FROM {name}_rows")
@@ -126,10 +154,8 @@ class Aligner:
         word = good[np.searchsorted(first[good], pos, "right") - 1] if len(good) else np.zeros(0, np.int64)
         n_a, n_b = (np.where(bad, 0, n) for (_, n), *_ in sides)
         k, most = len(words), int(grp.max(initial=0)) + 1
-        return {
-            "bad": bad, "n_a": n_a, "n_b": n_b, "n_groups": np.bincount(word[cut], minlength=k), "n_links": np.bincount(word, minlength=k),
-            "text": self._texts(a, b, grp, cut, begins_a, begins_b, most, np.cumsum(n_a + n_b)), "word": word, "a": a, "b": b,
-        }
+        counts = np.stack([n_a, n_b, np.bincount(word[cut], minlength=k), np.bincount(word, minlength=k), bad])
+        return counts, self._texts(a, b, grp, cut, begins_a, begins_b, most, np.cumsum(n_a + n_b)), (b << 32) | a
 
     def _texts(self, a, b, grp, cut, begins_a, begins_b, most: int, ends: np.ndarray) -> list[bytes]:
         """The names of a group's A tokens stand before those of its B tokens; ends: of each word's tokens."""
@@ -180,16 +206,16 @@ def aligned_chunks(rows: DataFrame, a_vocabulary: str, b_vocabulary: str, keys:
         for batch in it:
             for lo, hi in slices(batch.column("text"), CHUNK_BYTES):
                 words, index, bounds, order = _cut(batch.column("text").slice(lo, hi - lo))
-                x = both.align(words.to_pylist())
-                lost = sums(x["bad"][index], bounds) > 0
+                own_counts, texts, links, link_word = both.known(words.to_pylist())
+                lost = sums(own_counts[4][index], bounds) > 0
                 used = index[~np.repeat(lost, np.diff(bounds))]
-                key, pair = np.unique((x["b"] << 32) | x["a"], return_inverse=True)
+                key, pair = np.unique(links, return_inverse=True)
                 times = np.bincount(used, minlength=len(words))
                 many = np.zeros(len(key), np.int64)
-                np.add.at(many, pair, times[x["word"]])
-                counts = np.stack([np.where(lost, 0, sums(x[c][index], bounds)) for c in ("n_a", "n_b", "n_groups", "n_links")])
+                np.add.at(many, pair, times[link_word])
+                counts = np.stack([np.where(lost, 0, sums(x[index], bounds)) for x in own_counts[:4]])
                 digests = [
-                    hashlib.sha256(b"".join(map(x["text"].__getitem__, index[i:j].tolist()))[1:]).hexdigest() if j > i and not gone else ""
+                    hashlib.sha256(b"".join(map(texts.__getitem__, index[i:j].tolist()))[1:]).hexdigest() if j > i and not gone else ""
                     for i, j, gone in zip(bounds.tolist(), bounds[1:].tolist(), lost.tolist(), strict=False)
                 ]
                 own = batch.column("k").slice(lo, hi - lo).take(pa.array(order))
@@ -199,13 +225,13 @@ def aligned_chunks(rows: DataFrame, a_vocabulary: str, b_vocabulary: str, keys:
                 live = many > 0
                 row = {
                     "chunk": chunk, "ids": sink.getvalue().to_pybytes(), "counts": squeeze(counts), "digests": digests, "words": squeeze(np.where(np.repeat(lost, np.diff(bounds)), -1, index).astype(np.int32)),
-                    "bounds": squeeze(bounds), "link_words": squeeze(x["word"].astype(np.int32)), "link_pairs": squeeze((np.cumsum(live) - 1)[pair].astype(np.int32)),
+                    "bounds": squeeze(bounds), "link_words": squeeze(link_word.astype(np.int32)), "link_pairs": squeeze((np.cumsum(live) - 1)[pair].astype(np.int32)),
                     "pairs": squeeze(key[live]), "pair_counts": squeeze(many[live]),
                 }
                 kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()), *[pa.binary()] * 6]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds, strict=True)], list(row))
                 chunk += 1
-                del x, words, index, used, key, pair
+                del texts, words, index, used, key, pair, links, link_word
                 release()
 
     return materialize(rows.mapInArrow(run, _CHUNK), "aligned")
