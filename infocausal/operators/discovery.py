@@ -44,12 +44,17 @@ def oriented(names: list[str], edges: set[frozenset], sepset: dict[frozenset, tu
                 for x in (a, b):
                     if (x, c) in arrows:
                         arrows.discard((c, x))
+    return closed(names, edges, arrows)
+
+
+def closed(names: list[str], edges: set[frozenset], arrows: set[tuple[str, str]]) -> set[tuple[str, str]]:
+    """The arrows that follow from those with one direction, by the first three closing rules; changes `arrows`."""
     directed = lambda a, b: (a, b) in arrows and (b, a) not in arrows
     changed = True
     while changed:
         changed = False
         for b, c in sorted(arrows):
-            if (c, b) not in arrows:
+            if (c, b) not in arrows or (b, c) not in arrows:
                 continue
             one = any(directed(a, b) and frozenset((a, c)) not in edges for a in names)
             two = any(directed(b, k) and directed(k, c) for k in names)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from infocausal.operators import components, dependence, discovery, effects, graph, information, kernels, scm, series
+from infocausal.operators import components, dependence, effects, graph, information, kernels, scm, series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -648,24 +648,6 @@ def unit_types(spark, sf_dir):
 # ---------------------------------------------------------------- searches and series statistics
 
 
-def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """x1 -> x2 -> x3, with the noise that orders give."""
-    d = _noise(spark, sf_dir).select("o_orderkey", F.col("u_t").alias("x1"), "u_m", "u_y").withColumn("x2", 0.7 * F.col("x1") + F.col("u_m"))
-    return d.withColumn("x3", 0.6 * F.col("x2") + F.col("u_y"))
-
-
-@query("SELECT * FROM (VALUES ('x1', 'x2', false), ('x2', 'x3', false)) AS v(a, b, directed)")
-def pc_graph(spark, sf_dir):
-    """The class of the chain: both links, and no direction, as no collider is there."""
-    return discovery.pc(spark, _chain(spark, sf_dir), ["x1", "x2", "x3"], alpha=1e-6)
-
-
-@query("SELECT * FROM (VALUES ('x1', 'x2'), ('x2', 'x3')) AS v(a, b)")
-def greedy_graph(spark, sf_dir):
-    """Of the graphs of the class with the best score, that which comes first by name."""
-    return discovery.greedy(spark, _chain(spark, sf_dir), ["x1", "x2", "x3"])
-
-
 @query()
 def edge_stability(spark, sf_dir):
     return rounded(kernels.edge_stability(table(spark, sf_dir, LI), list(NUMERIC), ["l_orderkey", "l_linenumber"], replicates=20))
@@ -709,4 +691,4 @@ def surrogate_te(spark, sf_dir):
     return rounded(kernels.surrogate_te(b, shifts=19))
 
 
-from infocausal.plans import measures  # noqa: E402, F401  registers its queries
+from infocausal.plans import discovery_queries, kernel_queries, measures  # noqa: E402, F401  register their queries

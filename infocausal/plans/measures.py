@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infocausal.operators import bounds, communities, information, interventions, kernels, latent, paths, resampling, statistics, transfer
+from infocausal.operators import bounds, communities, information, interventions, kernels, paths, resampling, statistics, transfer
 from infocausal.plans.catalogue import DAILY, EMBED, HOURLY, LI, T_SQL, TE_HOURLY, TRADE, binned_sql, query, r6, rounded, summed, table, te_sql, trade, treated
-from infocausal.sources import tables
 
 # ---------------------------------------------------------------- samples and series
 
@@ -294,15 +293,6 @@ def partition_agreement(spark, sf_dir):
 # ---------------------------------------------------------------- searches with hidden causes, resampling
 
 
-@query("SELECT * FROM (VALUES ('w', 'z', '<--'), ('x', 'z', 'o->'), ('y', 'z', 'o->')) AS v(a, b, edge)")
-def fci_graph(spark, sf_dir):
-    """x and y act on z, and z on w: the search must find that z -> w has no hidden cause, and can't tell for the others."""
-    noise = lambda k: tables.normal(k, F.col("o_orderkey"))
-    d = table(spark, sf_dir, "orders").select(noise(1).alias("x"), noise(2).alias("y"), noise(3).alias("e"), noise(4).alias("f"))
-    d = d.withColumn("z", 0.8 * F.col("x") + 0.7 * F.col("y") + F.col("e")).withColumn("w", 0.9 * F.col("z") + F.col("f"))
-    return latent.fci(spark, d, ["w", "x", "y", "z"], alpha=1e-5)
-
-
 PLACED = f"{DAILY}, x AS (SELECT series, v, row_number() OVER (PARTITION BY series ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM s)"
 
 
