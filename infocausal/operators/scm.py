@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from infocausal.operators.dependence import Gram
+
 Equation = Callable[[Callable[[str], Column]], Column]
 
 
@@ -66,6 +68,34 @@ def linear(**terms: dict[str, float]) -> Model:
     return Model({name: equation(parts) for name, parts in terms.items()})
 
 
+def fitted(df: DataFrame, parents: dict[str, list[str]]) -> Model:
+    """The linear model of a causal order whose slopes and intercepts least squares finds; the moments of all variables come from one scan."""
+    gram, terms = Gram(df, list(parents)), {}
+    for name, ps in parents.items():
+        slopes, intercept, _ = gram.ols(name, ps)
+        terms[name] = {"1": intercept, **{p: float(b) for p, b in zip(ps, slopes, strict=True)}}
+    return linear(**terms)
+
+
+def worlds(model: Model, df: DataFrame, y: str, settings: dict[str, dict], evidence: Column | None = None) -> DataFrame:
+    """world, n, mean, sd, low, middle, high (5th, 50th and 95th percentile), change (mean against what is observed), better (share of rows above their observed value).
+
+    The rows that meet the evidence keep their own noise in every world, so worlds differ by their
+    settings only: with evidence on the treatment, the change is the effect on those treated.
+    """
+    rows = model.abduct(df if evidence is None else df.filter(evidence))
+    for i, values in enumerate(settings.values()):
+        made = model.do(**values).columns(lambda n: F.col(f"u_{n}"))
+        rows = rows.withColumn(f"_w{i}", made[y])
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("world"), F.col(f"_w{i}").alias("v")) for i, n in enumerate(settings)]))
+    x = rows.select(F.col(y).alias("_y"), each.alias("_x")).select("_y", "_x.*")
+    v = F.col("v")
+    return x.groupBy("world").agg(
+        F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), *[F.percentile(v, F.lit(q)).alias(c) for q, c in ((0.05, "low"), (0.5, "middle"), (0.95, "high"))],
+        F.avg(v - F.col("_y")).alias("change"), F.avg((v > F.col("_y")).cast("double")).alias("better"),
+    )
+
+
 def unit_bounds(df: DataFrame, y1: str, y0: str) -> DataFrame:
     """Shares of units by their pair of potential outcomes: always, never, helped, hurt."""
     a, b = F.col(y1).cast("boolean"), F.col(y0).cast("boolean")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from infocausal.operators import components, dependence, effects, graph, information, kernels, scm, series
+from infocausal.operators import components, dependence, effects, graph, information, kernels, series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -594,10 +594,10 @@ def _causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.unionByName(o.select((F.col("o_custkey") + F.lit(FAR)).alias("src"), (F.col("o_orderkey") + F.lit(2 * FAR)).alias("dst")))
 
 
-@query(f"WITH {CAUSES} SELECT p.src AS a, p.dst AS c, q.src AS b FROM e p JOIN e q ON p.dst = q.dst AND p.src < q.src")
+@query(f"WITH {CAUSES} SELECT p.dst AS c, count(*) AS n, min(p.src) AS first_cause FROM e p JOIN e q ON p.dst = q.dst AND p.src < q.src GROUP BY p.dst")
 def v_structures_orders(spark, sf_dir):
-    """No two causes of an order are linked, so each pair is one."""
-    return graph.v_structures(_causes(spark, sf_dir))
+    """No two causes of an order are linked, so each pair is one; counted by order."""
+    return graph.v_structures(_causes(spark, sf_dir)).groupBy("c").agg(F.count("*").alias("n"), F.min("a").alias("first_cause"))
 
 
 @query(f"WITH {CAUSES} SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM e UNION SELECT p.src, q.src FROM e p JOIN e q USING (dst) WHERE p.src < q.src")
@@ -610,41 +610,6 @@ def mutilated_graph_orders(spark, sf_dir):
     return graph.mutilated(_causes(spark, sf_dir), spark.createDataFrame([(2 * FAR + 1,), (2 * FAR + 2,)], "node long"))
 
 
-# ---------------------------------------------------------------- structural models: orders give the noise
-
-
-def _noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(k, ((k * 7 % 100) / 100 - 0.5).alias("u_t"), ((k * 13 % 100) / 100 - 0.5).alias("u_m"), ((k * 17 % 100) / 100 - 0.5).alias("u_y"))
-
-
-MEDIATED = scm.linear(t={}, m={"t": 1.0}, y={"t": 2.0, "m": 1.5})
-NOISE = "n AS (SELECT o_orderkey, o_orderkey * 7 % 100 / 100 - 0.5 AS ut, o_orderkey * 13 % 100 / 100 - 0.5 AS um, o_orderkey * 17 % 100 / 100 - 0.5 AS uy FROM orders)"
-
-
-@query(f"WITH {NOISE} SELECT {r6('avg(2 + 1.5 * (1 + um) + uy) - avg(1.5 * um + uy) AS total', 'avg(2 + 1.5 * um + uy) - avg(1.5 * um + uy) AS direct')} FROM n")
-def scm_do_effects(spark, sf_dir):
-    """Total effect of t on y, and the direct one with m held at its value under t = 0."""
-    d = MEDIATED.do(t=0.0).simulate(_noise(spark, sf_dir), "_0")
-    d = MEDIATED.do(t=1.0).simulate(d, "_1")
-    d = MEDIATED.do(t=1.0, m=F.col("m_0")).simulate(d, "_d")
-    return rounded(d.agg((F.avg("y_1") - F.avg("y_0")).alias("total"), (F.avg("y_d") - F.avg("y_0")).alias("direct")))
-
-
-@query(f"WITH {NOISE} SELECT o_orderkey, {r6('2 * ut + 1.5 * (ut + um) + uy AS y', '2 + 1.5 * (1 + um) + uy AS y_cf')} FROM n")
-def counterfactual_outcome(spark, sf_dir):
-    """Noise is abducted from the observed t, m and y, then t is set to 1."""
-    seen = MEDIATED.simulate(_noise(spark, sf_dir)).select("o_orderkey", "t", "m", "y")
-    return rounded(MEDIATED.counterfactual(seen, t=1.0).select("o_orderkey", "y", "y_cf"))
-
-
-@query(f"""WITH {NOISE}, p AS (SELECT 2 + 1.5 * (1 + um) + uy > 2 AS a, 1.5 * um + uy > 0.2 AS b FROM n)
-SELECT {r6('avg((a AND b)::INT) AS always', 'avg((NOT a AND NOT b)::INT) AS never', 'avg((a AND NOT b)::INT) AS helped', 'avg((NOT a AND b)::INT) AS hurt')} FROM p""")
-def unit_types(spark, sf_dir):
-    d = MEDIATED.do(t=1.0).simulate(MEDIATED.do(t=0.0).simulate(_noise(spark, sf_dir), "_0"), "_1")
-    return rounded(scm.unit_bounds(d.select((F.col("y_1") > 2).alias("a"), (F.col("y_0") > 0.2).alias("b")), "a", "b"))
-
-
 # ---------------------------------------------------------------- searches and series statistics
 
 
@@ -691,4 +656,4 @@ def surrogate_te(spark, sf_dir):
     return rounded(kernels.surrogate_te(b, shifts=19))
 
 
-from infocausal.plans import bootstrap_queries, discovery_queries, kernel_queries, longitudinal_queries, measures, recurrence_queries, spectral_queries  # noqa: E402, F401  register their queries
+from infocausal.plans import bootstrap_queries, discovery_queries, kernel_queries, longitudinal_queries, measures, recurrence_queries, scm_queries, spectral_queries  # noqa: E402, F401  register their queries
