@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from infocausal.scratch import materialize
@@ -25,7 +25,7 @@ def delays(df: DataFrame, shifts: dict[str, int], series: str = "series", t: str
     return x.groupBy("series", "t").agg(*[F.max(F.when(F.col("_n") == n, F.col("v"))).alias(n) for n in shifts]).na.drop()
 
 
-def _distance(names: Sequence[str], other: str = "_o") -> F.Column:
+def _distance(names: Sequence[str], other: str = "_o") -> Column:
     parts = [F.abs(F.col(n) - F.col(f"{other}.{n}")) for n in names]
     return parts[0] if len(parts) == 1 else F.greatest(*parts)
 
