@@ -656,4 +656,4 @@ def surrogate_te(spark, sf_dir):
     return rounded(kernels.surrogate_te(b, shifts=19))
 
 
-from infocausal.plans import adjust_queries, bootstrap_queries, discovery_queries, kernel_queries, longitudinal_queries, measures, recurrence_queries, scm_queries, spectral_queries  # noqa: E402, F401  register their queries
+from infocausal.plans import adjust_queries, bootstrap_queries, community_queries, discovery_queries, kernel_queries, longitudinal_queries, measures, recurrence_queries, scm_queries, spectral_queries  # noqa: E402, F401  register their queries
