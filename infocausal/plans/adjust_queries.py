@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from infocausal.operators import adjust, census
+from infocausal.operators import adjust, census, genetic
 from infocausal.operators.features import moments_sql, sweep_sql
 from infocausal.plans.catalogue import LI, query, r6, rounded, table
 
@@ -93,3 +93,24 @@ v AS (SELECT kind, n, s1 / {REPLICATES} AS mean, sqrt(greatest((s2 - s1 * s1 / {
 SELECT kind, n, {r6('mean', 'sd', '(n - mean) / nullif(sd, 0) AS z')} FROM v""")
 def motif_scores(spark, sf_dir):
     return rounded(census.motif_scores(next_parts(spark, sf_dir), REPLICATES, ROUNDS))
+
+
+WEIGHTS, CALIPER = [(1.0, 1.0), (3.0, 0.5), (0.25, 2.0)], 0.05
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, (o_orderpriority IN ('1-URGENT', '2-HIGH'))::INT AS t, (o_orderstatus = 'F')::INT::DOUBLE AS y, ln(o_totalprice) AS a, epoch(o_orderdate) / 86400 AS b FROM orders),
+m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, covar_pop(a, b) / stddev_pop(a) / stddev_pop(b) AS r FROM o),
+z AS (SELECT k, t, y, a, b, (a - ma) / sa AS w0, ((b - mb) / sb - r * (a - ma) / sa) / sqrt(1 - r * r) AS w1 FROM o, m),
+c(candidate, s0, s1) AS (VALUES {', '.join(f'({i}, sqrt({u}::DOUBLE), sqrt({v}::DOUBLE))' for i, (u, v) in enumerate(WEIGHTS))}),
+x AS MATERIALIZED (SELECT candidate, k, t, y, a, b, w0 * s0 AS z0, w1 * s1 AS z1, floor(w0 * s0 / {CALIPER})::BIGINT AS c0, floor(w1 * s1 / {CALIPER})::BIGINT AS c1 FROM z, c),
+n AS (SELECT candidate, k, y, a, b, z0, z1, c0 + d0 AS c0, c1 + d1 AS c1 FROM x, (VALUES (-1), (0), (1)) AS p(d0), (VALUES (-1), (0), (1)) AS q(d1) WHERE t = 0),
+p AS (SELECT x.candidate, x.k, n.k AS match, x.y, n.y AS y2, x.a, n.a AS a2, x.b, n.b AS b2, sqrt((x.z0 - n.z0) * (x.z0 - n.z0) + (x.z1 - n.z1) * (x.z1 - n.z1)) AS d FROM x JOIN n USING (candidate, c0, c1) WHERE x.t = 1),
+f AS (SELECT * FROM p WHERE d <= {CALIPER} QUALIFY row_number() OVER (PARTITION BY candidate, k ORDER BY round(d, 12), match) = 1),
+s AS (SELECT count(*) AS n, stddev_samp(a) AS sa, stddev_samp(b) AS sb FROM o WHERE t = 1)
+SELECT candidate, count(*) AS n, {r6('count(*) / any_value(s.n) AS share', 'avg(y - y2) AS att', 'greatest(abs(avg(a - a2)) / any_value(sa), abs(avg(b - b2)) / any_value(sb)) AS imbalance')} FROM f, s GROUP BY candidate""")
+def mahalanobis_matches(spark, sf_dir):
+    """Urgent orders with others of like price and date, on three weighted metrics; is the order finished?"""
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("k"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int").alias("t"), (F.col("o_orderstatus") == "F").cast("double").alias("y"),
+        F.log("o_totalprice").alias("a"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 86400e6).alias("b"))
+    return rounded(genetic.match_scores(o, ["a", "b"], "k", WEIGHTS, CALIPER))
