@@ -7,8 +7,9 @@ w_b is bit b's accuracy on held-back training rows; a small gap to the runner-up
 as ambiguous.
 
 Learning uses a sample of labelled rows of bounded size (SAMPLE_PER_LANGUAGE texts a language and
-SAMPLE_ROWS in all, so of at most SAMPLE_ROWS languages, by the hash of their ids; texts of more than
-SAMPLE_BYTES are not learned from); predictions read whole texts and nothing but the text.
+SAMPLE_ROWS in all, so of at most SAMPLE_ROWS languages, by the hash of their ids and texts). Both learning and
+prediction read whole texts, whatever their length, and nothing but the text; tasks turn the
+sampled texts into counts of n-grams, which are of one size, and only those reach the driver.
 
 Defined cases: null text and text without a letter give `und` with score 0; with no labelled rows
 every text is `und`; with one language every text with a letter has that language; repeated rows
@@ -24,11 +25,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bound on what is learned from: texts a language and in all, and bytes of a text that can be in the sample.
-SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_BYTES = 1_000, 6_000, 20_000
+#: Bound on what is learned from: texts a language and in all.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 1_000, 6_000
 BITS_OF_HASH = 13
 ORDERS = (1, 2, 3)
 EPOCHS, RATE, DECAY = 12, 0.5, 1e-6
@@ -91,8 +93,12 @@ class Model:
     bit_weight: np.ndarray
 
     def margin(self, grams: list[np.ndarray]) -> np.ndarray:
-        """The bits' margins of one text; the same as its features times the weights."""
-        return sum(self.weights[g].sum(0) for g in grams) / sum(map(len, grams)) + self.bias
+        """The bits' margins of one text."""
+        return self.margins(features(grams)[None])[0]
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """The bits' margins of texts by their features."""
+        return x @ self.weights + self.bias
 
     def losses(self, margin: np.ndarray) -> np.ndarray:
         """Rows of margins -> the weighted logistic loss of each language's codeword."""
@@ -112,12 +118,13 @@ class Model:
 
 def fit(texts: list[str], labels: list[str]) -> Model | None:
     found = [(features(g), y) for g, y in ((slots(t), y) for t, y in zip(texts, labels, strict=True)) if g is not None]
-    if not found:
-        return None
-    languages = tuple(sorted({y for _, y in found}))
+    return fit_features(np.stack([f for f, _ in found]), [y for _, y in found]) if found else None
+
+
+def fit_features(x: np.ndarray, labels: list[str]) -> Model:
+    languages = tuple(sorted(set(labels)))
     code = codewords(len(languages))
-    x = np.stack([f for f, _ in found])
-    y = np.array([languages.index(y) for _, y in found])
+    y = np.array([languages.index(v) for v in labels])
     held = np.arange(len(x)) % 10 == 9 if len(x) >= 100 else np.zeros(len(x), bool)
     target = code[y].astype(np.float32)
     # Rows of a language weigh as much as those of any other.
@@ -138,23 +145,38 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
 
 
 def training_sample(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """text, lang of a bounded sample: about SAMPLE_PER_LANGUAGE texts a language, those with the smallest id hashes."""
+    """f (packed features), lang of a bounded sample: about SAMPLE_PER_LANGUAGE texts a language, those with the smallest hashes of id and text."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)
+        F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
     space = 1 << 30
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ROWS).collect()
     if not counts:
-        return rows.select("text", "lang").limit(0)
+        return docs.sparkSession.createDataFrame([], "f binary, lang string")
     each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // len(counts)))
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], int(min(1.0, each / r["n"]) * space))])
-    picked = rows.filter(F.pmod(F.xxhash64("k", F.lit(6)), F.lit(space)) <= share[F.col("lang")])
-    return picked.select("text", "lang").limit(2 * SAMPLE_ROWS)
+    at = F.pmod(F.xxhash64("k", "text", F.lit(6)), F.lit(space))
+    picked = rows.select("text", "lang", at.alias("at"), F.xxhash64("text").alias("h")).filter(F.col("at") <= share[F.col("lang")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            found = [slots(t) for t in batch.column("text").to_pylist()]
+            held = batch.filter(pa.array([g is not None for g in found], pa.bool_()))
+            packed = pa.array([press.compress(features(g).tobytes()) for g in found if g is not None], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed, *[held.column(c) for c in ("lang", "at", "h")]], ["f", "lang", "at", "h"])
+
+    # Which rows are kept doesn't depend on their order.
+    return picked.mapInArrow(run, "f binary, lang string, at long, h long").orderBy("at", "h", "lang").limit(2 * SAMPLE_ROWS).select("f", "lang")
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    rows = sorted((r["text"], r["lang"]) for r in training_sample(docs, key, text, lang).collect())
-    return fit([r[0] for r in rows], [r[1] for r in rows])
+    # At most 2 * SAMPLE_ROWS rows of some KB.
+    rows = sorted((bytes(r["f"]), r["lang"]) for r in training_sample(docs, key, text, lang).collect())
+    if not rows:
+        return None
+    unpress = zstandard.ZstdDecompressor()
+    return fit_features(np.stack([np.frombuffer(unpress.decompress(f), np.float32) for f, _ in rows]), [y for _, y in rows])
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
@@ -171,7 +193,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: tupl
                 lang, score, doubt = [UNKNOWN] * len(found), np.zeros(len(found)), np.zeros(len(found), bool)
                 have = [i for i, f in enumerate(found) if f is not None]
                 if have:
-                    names, scores, doubts = m.decode(np.stack([m.margin(found[i]) for i in have]))
+                    names, scores, doubts = m.decode(m.margins(np.stack([features(found[i]) for i in have])))
                     for i, name in zip(have, names, strict=True):
                         lang[i] = name
                     score[have], doubt[have] = scores, doubts
