@@ -24,8 +24,10 @@ def weighted_rows(df: DataFrame, key: Sequence[str], replicates: int) -> DataFra
     h = df.withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // PER_HASH))))
     h = h.withColumn("_m", F.md5(F.concat(name, F.lit("|"), F.col("_h").cast("string"))))
     x = h.withColumn("_s", F.explode(F.array(*map(F.lit, range(PER_HASH))))).withColumn("rep", F.col("_h") * PER_HASH + F.col("_s")).filter(F.col("rep") < replicates)
-    u = F.conv(F.substr(F.col("_m"), F.col("_s") * 8 + 1, F.lit(8)), 16, 10).cast("long") / F.lit(4294967296.0)
-    return x.withColumn("w", sum(((u > c).cast("int") for c in CUTS[1:]), (u > CUTS[0]).cast("int"))).drop("_h", "_m", "_s").filter("w > 0")
+    # Hex digits of one length and case compare like their numbers, so no draw is turned into one.
+    u, cuts = F.substr(F.col("_m"), F.col("_s") * 8 + 1, F.lit(8)), [f"{int(c * 2**32):08x}" for c in CUTS]
+    kept = x.withColumn("_u", u).filter(F.col("_u") > cuts[0])
+    return kept.withColumn("w", sum(((F.col("_u") > c).cast("int") for c in cuts[1:]), F.lit(1))).drop("_h", "_m", "_s", "_u")
 
 
 def weight_sql(u: str) -> str:
