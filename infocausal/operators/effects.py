@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from infocausal.scratch import materialize
+
 
 def arm(stat, value: str | Column, t: int) -> Column:
     """An aggregate over one arm."""
@@ -149,7 +151,7 @@ def trimmed(df: DataFrame, share: float, parts: int = 64) -> DataFrame:
     Only how often a value comes matters, so values are counted first; running counts go inside
     `parts` ranges of the values, and one range's count after another is added to them.
     """
-    c = df.filter("t is not null and y is not null").groupBy("t", F.col("y").cast("double").alias("y")).agg(F.count("*").alias("n"))
+    c = materialize(df.filter("t is not null and y is not null").groupBy("t", F.col("y").cast("double").alias("y")).agg(F.count("*").alias("n")), "values")
     cuts = c.agg(F.percentile_approx("y", [i / parts for i in range(1, parts)], 10_000).alias("cuts"))
     place = F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda x: x < F.col("y")))
     c = c.crossJoin(F.broadcast(cuts)).withColumn("r", place).drop("cuts")  # one row
