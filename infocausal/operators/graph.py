@@ -17,9 +17,11 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def reciprocity(edges: DataFrame) -> DataFrame:
+    """n_edges, reciprocity (the share of edges that are answered; without edges not a number)."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("r"))
     j = edges.filter("src != dst").join(back, ["src", "dst"], "left")
-    return j.agg(F.count("*").alias("n_edges"), (F.count("r") / F.count("*")).alias("reciprocity"))
+    share = F.coalesce(F.count("r") / F.nullif(F.count("*"), F.lit(0)), F.lit(float("nan")))
+    return j.agg(F.count("*").alias("n_edges"), share.alias("reciprocity"))
 
 
 def feed_forward_loops(edges: DataFrame) -> DataFrame:
