@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from infocausal.operators.dependence import Gram
+from infocausal.operators.nearest import nearest_within
 
 
 def whitened(df: DataFrame, xs: Sequence[str]) -> DataFrame:
@@ -40,23 +41,17 @@ def whitened(df: DataFrame, xs: Sequence[str]) -> DataFrame:
 def weighted_matches(df: DataFrame, xs: Sequence[str], key: str, weights: Sequence[Sequence[float]], caliper: float) -> DataFrame:
     """candidate, k, match, distance, y, y_match and <x>, <x>_match: each treated row's nearest control within the caliper for each list of weights, ties to the smaller key.
 
-    Rows meet in cells of the first two scaled coordinates, a caliper wide, controls also in the neighbouring ones.
+    The search goes from small cells to the caliper (nearest_within).
     """
     p = len(xs)
     scaled = F.array(*[F.struct(F.lit(c).alias("candidate"), *[F.lit(float(np.sqrt(w))).alias(f"s{i}") for i, w in enumerate(ws)]) for c, ws in enumerate(weights)])
     z = whitened(df, xs).select(F.col("t").cast("int").alias("t"), F.col("y").cast("double").alias("y"), F.col(key).alias("k"), *xs, *[f"w{i}" for i in range(p)])
     z = z.select("*", F.explode(scaled).alias("_s")).select("t", "y", "k", *xs, F.col("_s.candidate").alias("candidate"), *[(F.col(f"w{i}") * F.col(f"_s.s{i}")).alias(f"z{i}") for i in range(p)])
-    axes = min(p, 2)
-    cell = [F.floor(F.col(f"z{i}") / caliper) for i in range(axes)]
-    one = z.filter("t = 1").select("candidate", "k", "y", *xs, *[F.col(f"z{i}").alias(f"a{i}") for i in range(p)], *[c.alias(f"c{i}") for i, c in enumerate(cell)])
-    two = z.filter("t = 0").select("candidate", F.col("k").alias("match"), F.col("y").alias("y_match"), *[F.col(x).alias(f"{x}_match") for x in xs], *[f"z{i}" for i in range(p)], *[c.alias(f"c{i}") for i, c in enumerate(cell)])
-    for i in range(axes):
-        two = two.withColumn(f"c{i}", F.explode(F.array(*[F.col(f"c{i}") + d for d in (-1, 0, 1)])))
-    gap = F.sqrt(sum(((F.col(f"a{i}") - F.col(f"z{i}")) * (F.col(f"a{i}") - F.col(f"z{i}")) for i in range(1, p)), (F.col("a0") - F.col("z0")) * (F.col("a0") - F.col("z0"))))
-    pairs = one.join(two, ["candidate", *[f"c{i}" for i in range(axes)]]).withColumn("distance", gap).filter(F.col("distance") <= caliper)
+    at = [f"z{i}" for i in range(p)]
     carried = [f"{x}_match" for x in xs]
-    best = pairs.groupBy("candidate", "k").agg(F.min(F.struct(F.round("distance", 12).alias("r"), "match", "distance", "y", "y_match", *xs, *carried)).alias("b"))
-    return best.select("candidate", "k", "b.match", "b.distance", "b.y", "b.y_match", *[f"b.{x}" for x in xs], *[f"b.{x}" for x in carried])
+    two = z.filter("t = 0").select("candidate", F.col("k").alias("match"), F.col("y").alias("y_match"), *[F.col(x).alias(c) for x, c in zip(xs, carried, strict=True)], *at)
+    best = nearest_within(z.filter("t = 1").select("candidate", "k", "y", *xs, *at), two, at, caliper, "match", ["candidate"])
+    return best.select("candidate", "k", "match", "distance", "y", "y_match", *xs, *carried)
 
 
 def match_scores(df: DataFrame, xs: Sequence[str], key: str, weights: Sequence[Sequence[float]], caliper: float) -> DataFrame:
