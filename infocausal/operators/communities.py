@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from infocausal.operators.nearest import nearest_within
 from infocausal.scratch import materialize
 
 
@@ -126,23 +127,15 @@ def girvan_newman(edges: list[tuple], parts: int) -> list[frozenset]:
 def caliper_match(df: DataFrame, xs: list[str], key: str, caliper: float) -> DataFrame:
     """key, match, distance, y, y_match: each treated row with the control nearest in the standardised covariates, if within `caliper`; ties to the smaller key.
 
-    Rows meet in cells of the first covariate, one caliper wide, with their two neighbours, so a pair
-    further apart than the caliper is never made; further covariates make the cells finer.
+    The search goes from small cells to the caliper (nearest_within).
     """
     moments = df.agg(*[f(F.col(x).cast("double")).alias(f"{n}_{x}") for x in xs for n, f in (("m", F.avg), ("s", F.stddev_samp))])
     z = df.crossJoin(F.broadcast(moments))  # one row
     z = z.select("t", "y", F.col(key).alias("k"), *[((F.col(x) - F.col(f"m_{x}")) / F.coalesce(F.nullif(F.col(f"s_{x}"), F.lit(0.0)), F.lit(1.0))).alias(f"z{i}") for i, x in enumerate(xs)])
-    z = z.na.drop(subset=[f"z{i}" for i in range(len(xs))])
-    grid = min(len(xs), 3)
-    cell = [F.floor(F.col(f"z{i}") / caliper) for i in range(grid)]
-    treated = z.filter("t = 1").select("k", "y", *[F.col(f"z{i}").alias(f"a{i}") for i in range(len(xs))], *[c.alias(f"c{i}") for i, c in enumerate(cell)])
-    controls = z.filter("t = 0").select(F.col("k").alias("match"), F.col("y").alias("y_match"), *[f"z{i}" for i in range(len(xs))], *[c.alias(f"c{i}") for i, c in enumerate(cell)])
-    for i in range(grid):
-        controls = controls.withColumn(f"c{i}", F.explode(F.array(*[F.col(f"c{i}") + d for d in (-1, 0, 1)])))
-    gap = sum((F.pow(F.col(f"a{i}") - F.col(f"z{i}"), F.lit(2.0)) for i in range(1, len(xs))), F.pow(F.col("a0") - F.col("z0"), F.lit(2.0)))
-    pairs = treated.join(controls, [f"c{i}" for i in range(grid)]).withColumn("distance", F.sqrt(gap)).filter(F.col("distance") <= caliper)
-    best = F.min(F.struct(F.round("distance", 12).alias("r"), "match", "distance", "y_match")).alias("b")
-    return pairs.groupBy("k", "y").agg(best).select(F.col("k").alias(key), "b.match", "b.distance", "y", "b.y_match")
+    at = [f"z{i}" for i in range(len(xs))]
+    z = z.na.drop(subset=at)
+    best = nearest_within(z.filter("t = 1").select("k", "y", *at), z.filter("t = 0").select(F.col("k").alias("match"), F.col("y").alias("y_match"), *at), at, caliper, "match")
+    return best.select(F.col("k").alias(key), "match", "distance", "y", "y_match")
 
 
 def matched_effect(matches: DataFrame, n_treated: int | None = None) -> DataFrame:
