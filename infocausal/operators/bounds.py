@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from infocausal.operators.effects import arm
+from infocausal.operators.quantiles import percentiles
+from infocausal.scratch import materialize
 
 
 def monotone(df: DataFrame) -> DataFrame:
@@ -48,11 +50,11 @@ def missing_outcomes(df: DataFrame) -> DataFrame:
 
 def quantile_effects(df: DataFrame, at: list[float]) -> DataFrame:
     """q, y1, y0, effect: differences of the arms' quantiles."""
-    qs = F.array(*map(F.lit, at))
-    side = lambda k: F.percentile(F.when(F.col("t") == k, F.col("y")), qs).alias(f"q{k}")
-    s = df.agg(side(1), side(0))
-    rows = F.arrays_zip(qs.alias("q"), F.col("q1").alias("y1"), F.col("q0").alias("y0"))
-    return s.select(F.explode(rows).alias("r")).select("r.q", "r.y1", "r.y0", (F.col("r.y1") - F.col("r.y0")).alias("effect"))
+    rows = materialize(df.select(F.col("t").cast("int").alias("t"), F.col("y").cast("double").alias("y")), "arms")
+    found = percentiles(rows, "t", "y", at)
+    none = [None] * len(at)
+    s = df.sparkSession.createDataFrame(list(zip(map(float, at), found.get(1, none), found.get(0, none), strict=True)), "q double, y1 double, y0 double")
+    return s.withColumn("effect", F.col("y1") - F.col("y0"))
 
 
 def dominance(df: DataFrame, cells: int = 200) -> DataFrame:
