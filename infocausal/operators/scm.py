@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from infocausal.operators.dependence import Gram
+from infocausal.operators.quantiles import percentiles
 
 Equation = Callable[[Callable[[str], Column]], Column]
 
@@ -90,10 +91,13 @@ def worlds(model: Model, df: DataFrame, y: str, settings: dict[str, dict], evide
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("world"), F.col(f"_w{i}").alias("v")) for i, n in enumerate(settings)]))
     x = rows.select(F.col(y).alias("_y"), each.alias("_x")).select("_y", "_x.*")
     v = F.col("v")
-    return x.groupBy("world").agg(
-        F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), *[F.percentile(v, F.lit(q)).alias(c) for q, c in ((0.05, "low"), (0.5, "middle"), (0.95, "high"))],
+    s = x.groupBy("world").agg(
+        F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"),
         F.avg(v - F.col("_y")).alias("change"), F.avg((v > F.col("_y")).cast("double")).alias("better"),
     )
+    marks = percentiles(x, "world", "v", [0.05, 0.5, 0.95])
+    marks = df.sparkSession.createDataFrame([(w, *q) for w, q in marks.items()], "world string, low double, middle double, high double")
+    return s.join(F.broadcast(marks), "world", "left").select("world", "n", "mean", "sd", "low", "middle", "high", "change", "better")  # marks: a row a world
 
 
 def unit_bounds(df: DataFrame, y1: str, y0: str) -> DataFrame:
