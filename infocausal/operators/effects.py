@@ -178,37 +178,38 @@ def front_door(df: DataFrame) -> DataFrame:
 
 
 def nearest_match(df: DataFrame, x: str, key: str, rows_per_cell: int = 100_000) -> DataFrame:
-    """att, n1: each treated row against the control nearest in x (ties: smaller x).
+    """att, n1: each treated row against the control nearest in x (ties: smaller x, and of one x the largest key at or below the row, the smallest above).
 
-    The nearest below and above are found by running windows over one sort by x, inside ranges of x
-    between quantiles, whose edges carry the last control over; no pair of rows is formed otherwise.
-    Controls with the same x are one row, that which a match takes.
+    Rows with the same x are one row of counts, sums and the controls that a match takes. The nearest below
+    and above are found by running windows inside ranges of x, whose edges carry the last control over.
     """
-    n = df.count()
-    cells = min(max(64, n // rows_per_cell), 4_096)
-    cuts = df.agg(F.percentile_approx(F.col(x).cast("double"), [i / cells for i in range(1, cells)], 10 * cells).alias("cuts"))
-    rows = df.select("t", "y", F.col(x).alias("x"), F.col(key).alias("k")).filter("x is not null")
-    ends = rows.filter("t = 0").groupBy("x").agg(F.min(F.struct("k", "y")).alias("low"), F.max(F.struct("k", "y")).alias("high"))
-    controls = ends.select(F.lit(0).alias("t"), "x", F.explode(F.array_distinct(F.array("low", "high"))).alias("c")).select("t", "c.y", "x", "c.k")
-    rows = rows.filter("t = 1").select(F.col("t").cast("int").alias("t"), "y", "x", "k").unionByName(controls)
-    place = F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c < F.col("x"))).alias("cell")
-    rows = rows.crossJoin(F.broadcast(cuts)).select("t", "y", "x", "k", place)  # one row
-    control = F.when(F.col("t") == 0, F.struct("x", "k", "y"))
-    edge = rows.groupBy("cell").agg(F.max(control).alias("top"), F.min(control).alias("bottom"))
-    by_cell = Window.orderBy("cell")  # over at most `cells` + 1 rows
+    y, k = F.col("y").cast("double"), F.struct(F.col(key).alias("k"), F.col("y").cast("double").alias("y"))
+    one, two = F.col("t").cast("int") == 1, F.col("t").cast("int") == 0
+    places = materialize(df.filter(F.col(x).isNotNull()).groupBy(F.col(x).alias("x")).agg(
+        F.count(F.when(one, 1)).alias("n"), F.count(F.when(one, y)).alias("ny"), F.sum(F.when(one, y)).alias("s"),
+        F.min(F.when(two, k)).alias("low"), F.max(F.when(two, k)).alias("high")), "places")
+    cells = places.count() // rows_per_cell + 1
+    # Spark cuts the ranges by a sample; written once, so that a row's range stays.
+    rows = materialize(places.repartitionByRange(cells, "x").withColumn("cell", F.spark_partition_id()), "ranges")
+    high, low = (F.when(F.col(c).isNotNull(), F.struct("x", f"{c}.y")) for c in ("high", "low"))
+    edge = rows.groupBy("cell").agg(F.max(high).alias("top"), F.min(low).alias("bottom"))
+    by_cell = Window.orderBy("cell")  # over `cells` rows
     edge = edge.select(
         "cell", F.last("top", True).over(by_cell.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
         F.first("bottom", True).over(by_cell.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
     )
-    w = Window.partitionBy("cell").orderBy("x", "k")
+    # Both windows run over what came before: a frame up to the end would be read anew for every row.
+    w, back = Window.partitionBy("cell").orderBy("x"), Window.partitionBy("cell").orderBy(F.desc("x"))
     r = rows.join(F.broadcast(edge), "cell").select(
-        "t", "y", "x",
-        F.coalesce(F.last(control, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "before").alias("b"),
-        F.coalesce(F.first(control, True).over(w.rowsBetween(0, Window.unboundedFollowing)), "after").alias("a"),
-    ).filter("t = 1")
+        "x", "n", "ny", "s",
+        F.coalesce(F.last(high, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "before").alias("b"),
+        F.coalesce(F.last(low, True).over(back.rowsBetween(Window.unboundedPreceding, -1)), "after").alias("a"),
+    ).filter("n > 0")
     below, above = F.col("x") - F.col("b.x"), F.col("a.x") - F.col("x")
     match = F.when(F.col("a").isNull() | (below <= above), F.col("b.y")).otherwise(F.col("a.y"))
-    return r.agg(F.avg(F.col("y") - match).alias("att"), F.count("*").alias("n1"))
+    seen = F.when(match.isNotNull(), F.col("ny"))
+    att = F.sum(F.col("s") - F.col("ny") * match) / F.nullif(F.sum(seen), F.lit(0))
+    return r.agg(att.alias("att"), F.coalesce(F.sum("n"), F.lit(0)).alias("n1"))
 
 
 def adjusted_p(df: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
