@@ -22,15 +22,32 @@ def _turned(d):
     return F.when(d == 3, 3).otherwise(3 - d)
 
 
+#: Words of 64 bits in a node's filter of the nodes that it leads to.
+WORDS = 4
+
+
 def triangles(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, a, b, c, ab, bc, ac (each dyad as seen from its first node) of all linked triples; pairs are led from the end with fewer links, so hubs are not joined with themselves."""
+    """by, a, b, c, ab, bc, ac (each dyad as seen from its first node) of all linked triples.
+
+    Pairs are led from the end with fewer links, so hubs are not joined with themselves. Two links of a
+    node are kept only where the filter of the first end, which its link carries, has the second; so what
+    is shuffled to be looked up follows the links and the triangles, not the open pairs of links.
+    """
+    by = list(by)
     ends = pairs.select(*by, F.explode(F.array("a", "b")).alias("v")).groupBy(*by, "v").agg(F.count("*").alias("k"))
     one = pairs.join(ends.select(*by, F.col("v").alias("a"), F.col("k").alias("ka")), [*by, "a"]).join(ends.select(*by, F.col("v").alias("b"), F.col("k").alias("kb")), [*by, "b"])
     small = (F.col("ka") < F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")))
-    led = materialize(one.select(*by, F.when(small, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(small, F.col("b")).otherwise(F.col("a")).alias("v"), F.when(small, F.col("d")).otherwise(_turned(F.col("d"))).alias("d")), "led")
-    p, q = led.select(*by, "u", F.col("v").alias("x"), F.col("d").alias("ux")), led.select(*by, "u", F.col("v").alias("y"), F.col("d").alias("uy"))
-    w = p.join(q, [*by, "u"]).filter("x < y")
-    t = w.join(pairs.select(*by, F.col("a").alias("x"), F.col("b").alias("y"), F.col("d").alias("xy")), [*by, "x", "y"])
+    turn = lambda x, y: F.when(small, x).otherwise(y)
+    led = materialize(one.select(*by, turn(F.col("a"), F.col("b")).alias("u"), turn(F.col("b"), F.col("a")).alias("v"), turn(F.col("d"), _turned(F.col("d"))).alias("d"), turn(F.col("kb"), F.col("ka")).alias("k")), "led")
+    place = F.pmod(F.xxhash64("v"), F.lit(64 * WORDS)).cast("int")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(v), {64 * WORDS}) % 64 as int))")
+    word = F.floor(place / 64).cast("int")
+    leads = led.groupBy(*by, "u").agg(F.array(*[F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")) for i in range(WORDS)]).alias("m")).withColumnRenamed("u", "x")
+    p = led.select(*by, "u", F.col("v").alias("x"), F.col("d").alias("ux"), F.col("k").alias("kx")).join(leads, [*by, "x"])
+    q = led.select(*by, "u", F.col("v").alias("y"), F.col("d").alias("uy"), F.col("k").alias("ky"), word.alias("word"), bit.alias("bit"))
+    w = p.join(q, [*by, "u"]).filter((F.col("kx") < F.col("ky")) | ((F.col("kx") == F.col("ky")) & (F.col("x") < F.col("y"))))
+    w = w.filter(F.get("m", F.col("word")).bitwiseAND(F.col("bit")) != 0).select(*by, "u", "x", "y", "ux", "uy")
+    t = w.join(led.select(*by, F.col("u").alias("x"), F.col("v").alias("y"), F.col("d").alias("xy")), [*by, "x", "y"])
     return t.select(*by, F.col("u").alias("a"), F.col("x").alias("b"), F.col("y").alias("c"), F.col("ux").alias("ab"), F.col("xy").alias("bc"), F.col("uy").alias("ac"))
 
 
