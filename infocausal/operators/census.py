@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from infocausal.scratch import materialize
+from infocausal.scratch import drop_unread, free_shuffles, materialize, tables
 
 
 def dyads(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -109,9 +109,19 @@ def rewired(edges: DataFrame, replicates: int, rounds: int, seed: int = 1) -> Da
     base = edges.filter("src != dst").select("src", "dst").distinct()
     boxes = max(base.count() // 3, 1)
     g = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    own = len(tables)
+
+    def keep_only(last: DataFrame) -> None:
+        """A round's tables and shuffles go when the next one is written."""
+        made = tables[own:]
+        drop_unread(last.sparkSession, made, [last])
+        tables[own:] = made
+        free_shuffles(last.sparkSession)
+
     for i in range(rounds):
         key = [F.lit(seed), F.lit(i), F.col("rep"), F.col("src"), F.col("dst")]
         g = materialize(g.withColumn("_box", F.floor(_unit(*key, F.lit("box")) * boxes)).withColumn("_u", _unit(*key, F.lit("order"))), "boxed")
+        keep_only(g)
         met = g.groupBy("rep", "_box").agg(F.count("*").alias("_n"), F.min(F.struct("_u", "src", "dst")).alias("one"))
         two = g.join(met.filter("_n > 1"), ["rep", "_box"]).filter((F.col("src") != F.col("one.src")) | (F.col("dst") != F.col("one.dst")))
         two = two.groupBy("rep", "_box").agg(F.min("one").alias("one"), F.min(F.struct("_u", "src", "dst")).alias("two"))
@@ -125,7 +135,9 @@ def rewired(edges: DataFrame, replicates: int, rounds: int, seed: int = 1) -> Da
         gone = good.select("rep", F.explode(F.array(*[F.struct(F.col(f"{e}_src").alias("src"), F.col(f"{e}_dst").alias("dst")) for e in ("one", "two")])).alias("e")).select("rep", "e.*")
         new = good.select("rep", F.explode(F.array(F.struct(F.col("one_src").alias("src"), F.col("two_dst").alias("dst")), F.struct(F.col("two_src").alias("src"), F.col("one_dst").alias("dst")))).alias("e")).select("rep", "e.*")
         g = g.select("rep", "src", "dst").join(gone, ["rep", "src", "dst"], "left_anti").unionByName(new)
-    return materialize(g.select("rep", "src", "dst"), "rewired")
+    g = materialize(g.select("rep", "src", "dst"), "rewired")
+    keep_only(g)
+    return g
 
 
 def motif_scores(edges: DataFrame, replicates: int = 10, rounds: int = 10, seed: int = 1) -> DataFrame:

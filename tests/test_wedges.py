@@ -14,3 +14,13 @@ def test_triangles_look_up_few_pairs(spark):
     near = {v: {b for a, b in link if a == v} | {a for a, b in link if b == v} for v in range(400)}
     want = sum(len(near[a] & near[b]) for a, b in link) // 3
     assert t.count() == want
+
+
+def test_rewiring_keeps_one_table(spark):
+    """The tables of earlier rounds filled the disk."""
+    from infocausal.scratch import tables
+
+    before = len(tables)
+    df = spark.createDataFrame([(i, (i * k + 1) % 60) for i in range(60) for k in (2, 5)], "src int, dst int")
+    g = census.rewired(df, 2, 3)
+    assert len(tables) == before + 1 and g.count() == 2 * df.filter("src != dst").distinct().count()
