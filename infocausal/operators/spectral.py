@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from infocausal.scratch import materialize
+
 #: Weights of cos(0), cos(2 pi x) and cos(4 pi x) of the common tapers, x from 0 to 1 over the segment.
 TAPERS = {"boxcar": (1.0, 0.0, 0.0), "hann": (0.5, -0.5, 0.0), "hamming": (0.54, -0.46, 0.0), "blackman": (0.42, -0.5, 0.08)}
 
@@ -64,7 +66,8 @@ def _gridded(df: DataFrame, cells: int, by: list[str], columns: list[str]) -> Da
     for i in range(len(columns)):
         s = s.withColumn(f"h{i}", 1.06 * F.col(f"sd{i}") * F.pow(F.col("n").cast("double"), F.lit(power)))
         s = s.withColumn(f"d{i}", (F.col(f"hi{i}") - F.col(f"lo{i}") + 6 * F.col(f"h{i}")) / (cells - 1))
-    j = x.join(s, by) if by else x.crossJoin(F.broadcast(s))  # one row
+    # Written, so that the planner knows a row a group and sends it to the rows; by their groups' few keys the rows would meet in few tasks.
+    j = x.join(materialize(s, "widths"), by) if by else x.crossJoin(F.broadcast(s))  # one row
     j = j.filter(" and ".join(f"h{i} > 0" for i in range(len(columns))))
     weight = F.lit(1.0)
     for i in range(len(columns)):
@@ -75,7 +78,7 @@ def _gridded(df: DataFrame, cells: int, by: list[str], columns: list[str]) -> Da
         weight = weight * F.col(f"w{i}")
     stats = ["n", *[f"{k}{i}" for i in range(len(columns)) for k in "hd"]]
     keys = [*by, *[f"g{i}" for i in range(len(columns))]]
-    return j.groupBy(*keys).agg(F.sum(weight).alias("w"), *[F.first(c).alias(c) for c in stats]).filter("w > 0")
+    return materialize(j.groupBy(*keys).agg(F.sum(weight).alias("w"), *[F.first(c).alias(c) for c in stats]).filter("w > 0"), "cells")
 
 
 def _smoothed(cells: DataFrame, at: str, h: str, d: str, by: list[str], w: str = "w") -> DataFrame:

@@ -97,3 +97,13 @@ def test_densities(spark):
     hx, hy = (1.06 * v.std(ddof=1) * 800 ** (-1 / 6) for v in (x, y))
     kx, ky = (np.exp(-0.5 * ((v[:, None] - v) / w) ** 2) / (w * np.sqrt(2 * np.pi)) for v, w in ((x, hx), (y, hy)))
     assert mi == pytest.approx(np.log((kx * ky).mean(1) / kx.mean(1) / ky.mean(1)).mean(), abs=0.01)
+
+
+def test_rows_of_few_groups_are_not_dealt_by_group(spark, monkeypatch):
+    """Three groups used to send all rows to three tasks."""
+    frames, write = {}, spectral.materialize
+    monkeypatch.setattr(spectral, "materialize", lambda df, label: frames.setdefault(label, df) and write(df, label))
+    df = spark.range(2_000_000).select((F.col("id") % 3).alias("g"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+    assert spectral.kernel_information(df, "x", "y", 12, ["g"]).count() == 3
+    plan = frames["cells"]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
