@@ -61,3 +61,31 @@ def test_planted_blocks(spark, directed):
 
 def test_no_edges(spark):
     assert me.infomap(spark.createDataFrame([(1, 1)], "src int, dst int")).count() == 0
+
+
+def test_rounds_send_links_of_the_moving_half_only(spark, monkeypatch):
+    """Each round used to shuffle all links both ways five times, some with ten numbers; labels now go to links that lie in buckets."""
+    plans, write = [], me.materialize
+    monkeypatch.setattr(me, "materialize", lambda df, label: plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or write(df, label))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        labels = me.infomap(spark.createDataFrame(blocks(3, 6, seed=3), "src int, dst int"), rounds=6)
+        assert {r["node"]: r["module"] for r in labels.collect()} == {v: v // 6 * 6 for v in range(18)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moves = [p for label, p in plans if label == "labels"][1:]
+    dealt = lambda p: [x for x in p.splitlines() if "Exchange hashpartitioning" in x and "REPARTITION_BY_NUM" in x]
+    assert moves and all(len(dealt(p)) == 1 and "Bucketed: true" in p for p in moves)
+
+
+def test_tasks_follow_links(spark, monkeypatch):
+    """However few shuffle partitions are set, one task gets a bounded share of the links."""
+    from infocausal import scratch
+
+    monkeypatch.setattr(scratch, "TASK_ROWS", 20)
+    flow = me.link_flow(spark.createDataFrame(blocks(), "src int, dst int"))
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    try:
+        assert flow.rdd.getNumPartitions() == -(-flow.count() // 20) > 4
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
