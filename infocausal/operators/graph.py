@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from infocausal.scratch import materialize, n_tasks
+from infocausal.scratch import materialize, n_tasks, tasks_for
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -111,19 +111,28 @@ def descendants(edges: DataFrame, start: DataFrame) -> DataFrame:
         known = materialize(known.unionByName(front), "reach")
 
 
+def _parents(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The edges, written; a < b, c: all pairs of parents; and the tasks that keep each at a bounded share of pairs and edges."""
+    spark = edges.sparkSession
+    e = materialize(edges.select("src", "dst"), "edges")
+    n_edges = e.count()
+    pairs = e.select("dst").repartition(tasks_for(spark, n_edges), "dst").groupBy("dst").agg(F.count("*").alias("k")).agg(F.sum(F.expr("k * (k - 1) div 2"))).first()[0] or 0
+    side = lambda name: e.select(F.col("src").alias(name), F.col("dst").alias("c")).repartition(tasks_for(spark, n_edges), "c")
+    return e, side("a").join(side("b"), "c").filter("a < b").select("a", "b", "c"), tasks_for(spark, pairs + n_edges)
+
+
 def v_structures(edges: DataFrame) -> DataFrame:
     """a, c, b: a -> c <- b with a < b not adjacent."""
-    p = edges.select(F.col("src").alias("a"), F.col("dst").alias("c"))
-    q = edges.select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    near = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    return p.join(q, "c").filter("a < b").join(near, ["a", "b"], "left_anti").select("a", "c", "b")
+    e, married, n = _parents(edges)
+    near = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).repartition(n, "a", "b")
+    return married.repartition(n, "a", "b").join(near, ["a", "b"], "left_anti").select("a", "c", "b")
 
 
 def moral_graph(edges: DataFrame) -> DataFrame:
     """a < b: adjacent, or parents of the same node."""
-    p, q = edges.select(F.col("src").alias("a"), "dst"), edges.select(F.col("src").alias("b"), "dst")
-    married = p.join(q, "dst").filter("a < b").select("a", "b")
-    return edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).unionByName(married).distinct()
+    e, married, n = _parents(edges)
+    near = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    return near.unionByName(married.select("a", "b")).repartition(n, "a", "b").distinct()
 
 
 def mutilated(edges: DataFrame, targets: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from infocausal.operators import components, dependence, effects, graph, information, kernels, series
+from infocausal.scratch import tasks_for
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -590,7 +591,8 @@ CAUSES = f"e AS (SELECT DISTINCT l_suppkey::BIGINT AS src, l_orderkey + {2 * FAR
 
 def _causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o = table(spark, sf_dir, LI), table(spark, sf_dir, "orders")
-    e = li.select(F.col("l_suppkey").cast("long").alias("src"), (F.col("l_orderkey") + F.lit(2 * FAR)).alias("dst")).distinct()
+    e = li.select(F.col("l_suppkey").cast("long").alias("src"), (F.col("l_orderkey") + F.lit(2 * FAR)).alias("dst"))
+    e = e.repartition(tasks_for(spark, li.count()), "src", "dst").distinct()
     return e.unionByName(o.select((F.col("o_custkey") + F.lit(FAR)).alias("src"), (F.col("o_orderkey") + F.lit(2 * FAR)).alias("dst")))
 
 

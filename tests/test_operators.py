@@ -126,3 +126,17 @@ def test_kernels():
     a, b = rng.normal(size=(2, 300))
     assert kernels.ksg(a, a + 0.1 * b, 3) > 1 > 0.2 > kernels.ksg(a, b, 3)
     assert kernels.hsic_statistic(a, a * a) > 3 * kernels.hsic_statistic(a, b)
+
+
+def test_moral_graph_tasks_follow_pairs(spark, monkeypatch):
+    """However few shuffle partitions are set, one task gets a bounded share of the pairs of parents."""
+    from infocausal import scratch
+
+    monkeypatch.setattr(scratch, "TASK_ROWS", 50)
+    e = spark.createDataFrame([(a, 100 + c) for c in range(10) for a in range(c, c + 10)], "src long, dst long")
+    m = graph.moral_graph(e)
+    assert m.rdd.getNumPartitions() == (10 * 45 + 100) // 50
+    want = {(a, 100 + c) for c in range(10) for a in range(c, c + 10)} | {(a, b) for c in range(10) for a in range(c, c + 10) for b in range(a + 1, c + 10)}
+    rows = [tuple(r) for r in m.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert graph.v_structures(e).count() == 450
