@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -138,46 +139,71 @@ def kernel_test(df: DataFrame, x: str, y: str, given: Sequence[str] = (), key: S
     ridge regression on the condition's features explains. A replicate gives the rows' products of
     residuals random signs, which leaves no dependence; all replicates share the second scan.
     """
-    spark: SparkSession = df.sparkSession
-    names = [x, y, *given]
-    z = standardised(df.select(*dict.fromkeys([*names, *key])), list(dict.fromkeys(names)))
-    fx, fy, fz = p.sides(len(given))
-    col = lambda cs: [F.col(c) for c in cs]
-    features = [*fx.columns(col([x, *given])), *fy.columns(col([y])), *(fz.columns(col(given)) if fz else [])]
-    m = Moments(z, features)
-    a, b, c = range(fx.d), range(fx.d, fx.d + fy.d), range(fx.d + fy.d, len(features))
-    left, slopes = partialled(m.cov, [*a, *b], list(c), p.ridge)
-    cross = left[: fx.d, fx.d :]
-    statistic = float(m.n * (cross * cross).sum())
-    by_gamma = gamma_p(statistic, left[: fx.d, : fx.d], left[fx.d :, fx.d :]) if m.n > 1 else 1.0
-    by_signs = _sign_p(z, features, m, slopes, fx.d, fy.d, key, statistic, p) if key and m.n > 1 else None
-    row = [(x, y, ",".join(given), m.n, statistic, by_gamma, by_signs)]
-    return spark.createDataFrame(row, "x string, y string, given string, n long, statistic double, p double, p_signs double")
+    return kernel_tests(df.na.drop(subset=[x, y, *given]), [(x, y, given)], key, p)
+
 
+def kernel_tests(df: DataFrame, tests: Sequence[tuple[str, str, Sequence[str]]], key: Sequence[str] = (), p: KernelTest = KernelTest()) -> DataFrame:
+    """kernel_test for each (x, y, given), a row each, all of them in the same scans: one for means, one for moments, one for the signs.
 
-def _sign_p(z: DataFrame, features: list[Column], m: Moments, slopes: np.ndarray, da: int, db: int, key: Sequence[str], statistic: float, p: KernelTest) -> float:
+    Features that several tests use are made once, and a row's key is hashed once. Where nulls give
+    the tests different rows, each test scans its own.
+    """
+    spark: SparkSession = df.sparkSession
+    names = list(dict.fromkeys(c for x, y, given in tests for c in (x, y, *given)))
+    df = df.select(*dict.fromkeys([*names, *key]))
+    if len(tests) > 1 and df.agg(F.coalesce(F.max(F.greatest(*[F.col(c).isNull().cast("int") for c in names], F.lit(0))), F.lit(0))).first()[0]:
+        return reduce(DataFrame.unionByName, [kernel_test(df, *t, key, p) for t in tests])
+    z = standardised(df, names)
+    made: dict[tuple, int] = {}
+    features: list[Column] = []
+
+    def places(f: Cosines | None, columns: Sequence[str]) -> list[int]:
+        if f is None:
+            return []
+        if (f, tuple(columns)) not in made:
+            made[f, tuple(columns)] = len(features)
+            features.extend(f.columns([F.col(c) for c in columns]))
+        return list(range(made[f, tuple(columns)], made[f, tuple(columns)] + f.d))
+
+    at = [[places(f, c) for f, c in zip(p.sides(len(given)), ([x, *given], [y], given), strict=True)] for x, y, given in tests]
+    m = Moments(z, features)
+    found = []
+    for a, b, c in at:
+        left, slopes = partialled(m.cov, [*a, *b], c, p.ridge)
+        cross = left[: len(a), len(a) :]
+        by_gamma = gamma_p(float(m.n * (cross * cross).sum()), left[: len(a), : len(a)], left[len(a) :, len(a) :]) if m.n > 1 else 1.0
+        found.append((float(m.n * (cross * cross).sum()), by_gamma, slopes, cross))
+    by_signs = _sign_p(z, features, m, at, [f[2] for f in found], [f[3] for f in found], key, [f[0] for f in found], p) if key and m.n > 1 else [None] * len(tests)
+    rows = [(x, y, ",".join(given), m.n, f[0], f[1], s) for (x, y, given), f, s in zip(tests, found, by_signs, strict=True)]
+    return spark.createDataFrame(rows, "x string, y string, given string, n long, statistic double, p double, p_signs double")
+
+
+def _sign_p(z: DataFrame, features: list[Column], m: Moments, at: list, slopes: list[np.ndarray], cross: list[np.ndarray], key: Sequence[str], statistics: list[float], p: KernelTest) -> list[float]:
     words = -(-p.replicates // SIGNS)
     rows = z.select(F.array(*features).alias("f"), *[s.alias(f"s{i}") for i, s in enumerate(signs(key, words))])
-    mean, size, k = m.mean, len(features), da + db
-    cross = (m.cov[:k, :k] - m.cov[:k, k:] @ slopes)[:da, da:].ravel()
+    mean, size = m.mean, len(features)
+    width = [c.size for c in cross]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((words * SIGNS, da * db))
+        total = np.zeros((words * SIGNS, sum(width)))
         for batch in it:
             f = batch.column("f").flatten().to_numpy(zero_copy_only=False).reshape(-1, size) - mean
-            r = f[:, :k] - f[:, k:] @ slopes
-            product = (r[:, :da, None] * r[:, None, da:]).reshape(len(r), -1) - cross
+            products = []
+            for (a, b, c), s, x in zip(at, slopes, cross, strict=True):
+                r = f[:, [*a, *b]] - f[:, c] @ s
+                products.append((r[:, : len(a), None] * r[:, None, len(a) :]).reshape(len(r), -1) - x.ravel())
+            product = np.concatenate(products, axis=1)
             for i in range(words):
                 bits = batch.column(f"s{i}").to_numpy()[:, None] >> np.arange(SIGNS) & 1
                 total[i * SIGNS : (i + 1) * SIGNS] += (2.0 * bits - 1).T @ product
         flat = total.ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["at", "v"])
 
-    # A row for each replicate and pair of features.
-    summed = rows.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v"))
-    drawn = summed.groupBy((F.col("at") / (da * db)).cast("int").alias("rep")).agg((F.sum(F.col("v") * F.col("v")) / m.n).alias("t"))
-    beaten = drawn.filter(F.col("t") >= statistic).count()
-    return (1 + beaten) / (1 + words * SIGNS)
+    # A number for each replicate and pair of features.
+    got = {r["at"]: r["v"] for r in rows.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()}
+    drawn = np.array([got[i] for i in range(words * SIGNS * sum(width))]).reshape(words * SIGNS, -1)
+    t = [(v * v).sum(1) / m.n for v in np.split(drawn, np.cumsum(width)[:-1], axis=1)]
+    return [float((1 + (d >= s).sum()) / (1 + words * SIGNS)) for d, s in zip(t, statistics, strict=True)]
 
 
 @dataclass(frozen=True)

@@ -54,11 +54,7 @@ TESTS = [("q", "u", ["e"]), ("q", "d", ["e"]), ("d", "tax", ["q"])]
 @query(f"WITH {LINES}, {', '.join(_test_sql(f'a{i}', *t, SMALL) for i, t in enumerate(TESTS))} " + " UNION ALL ".join(f"SELECT x, y, given, n, {r6('statistic', 'p_signs')} FROM a{i}_r" for i in range(len(TESTS))))
 def kernel_conditional_test(spark, sf_dir):
     """Quantity depends on the price of a unit given the price, and on nothing else here."""
-    out = None
-    for x, y, given in TESTS:
-        r = features.kernel_test(lines(spark, sf_dir), x, y, given, KEY, SMALL).select("x", "y", "given", "n", "statistic", "p_signs")
-        out = r if out is None else out.unionByName(r)
-    return rounded(out)
+    return rounded(features.kernel_tests(lines(spark, sf_dir), TESTS, KEY, SMALL).select("x", "y", "given", "n", "statistic", "p_signs"))
 
 
 SHORT = {"l_quantity": "q", "l_extendedprice": "e", "l_discount": "d", "l_tax": "tax"}
@@ -68,11 +64,7 @@ NUMERIC_PAIRS = [(SHORT[a], SHORT[b]) for i, a in enumerate(NUMERIC) for b in NU
 @query(f"WITH {LINES}, {', '.join(_test_sql(f'a{i}', *t, [], SMALL) for i, t in enumerate(NUMERIC_PAIRS))} " + " UNION ALL ".join(f"SELECT x, y, n, {r6('statistic', 'p_signs')} FROM a{i}_r" for i in range(len(NUMERIC_PAIRS))))
 def kernel_dependence(spark, sf_dir):
     """All pairs of numbers of a line, over all lines."""
-    out = None
-    for x, y in NUMERIC_PAIRS:
-        r = features.kernel_test(lines(spark, sf_dir), x, y, [], KEY, SMALL).select("x", "y", "n", "statistic", "p_signs")
-        out = r if out is None else out.unionByName(r)
-    return rounded(out)
+    return rounded(features.kernel_tests(lines(spark, sf_dir), [(x, y, []) for x, y in NUMERIC_PAIRS], KEY, SMALL).select("x", "y", "n", "statistic", "p_signs"))
 
 
 DIRECTION_D = 4

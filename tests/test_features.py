@@ -94,3 +94,22 @@ def test_moments(spark):
     df, rows = frame(spark, 300)
     m = features.Moments(df.repartition(5), [df["x"], df["y"]])
     assert m.n == 300 and np.allclose(m.cov, np.cov(rows["x"], rows["y"], bias=True)) and np.allclose(m.mean, [rows["x"].mean(), rows["y"].mean()])
+
+
+def test_tests_share_their_scans(spark, monkeypatch):
+    """Each test used to scan the rows three times and to hash their keys anew."""
+    rng = np.random.default_rng(3)
+    rows = [(i, *map(float, r)) for i, r in enumerate(rng.normal(size=(400, 3)))]
+    df = spark.createDataFrame([(i, x, x * x + 0.5 * y, z) for i, x, y, z in rows], "i long, x double, y double, z double")
+    tests = [("x", "y", []), ("x", "z", []), ("x", "y", ["z"])]
+    p = features.KernelTest(d=4, d_given=4, replicates=60)
+    for data in (df, df.unionByName(spark.createDataFrame([(900, None, 1.0, 2.0), (901, 0.5, 1.0, None)], df.schema))):
+        alone = [features.kernel_test(data, *t, ["i"], p).first() for t in tests]
+        scans, init = [], features.Moments.__init__
+        monkeypatch.setattr(features.Moments, "__init__", lambda self, *a, **k: scans.append(1) or init(self, *a, **k))
+        together = features.kernel_tests(data, tests, ["i"], p).collect()
+        monkeypatch.undo()
+        for a, b in zip(alone, together, strict=True):
+            assert a["n"] == b["n"] and a["p_signs"] == b["p_signs"] and a["given"] == b["given"]
+            assert abs(a["statistic"] - b["statistic"]) < 1e-9 and abs(a["p"] - b["p"]) < 1e-9
+        assert len(scans) == (1 if data is df else 3)
