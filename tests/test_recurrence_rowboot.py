@@ -92,6 +92,19 @@ def test_draws_are_poisson(spark):
     assert len(by) == 6 and all(abs(r["n"] - 2000) < 200 and abs(r["k"] / 2000 - 0.632) < 0.05 and 3 < r["m"] <= 6 for r in by)
 
 
+@pytest.mark.parametrize("held", [4096, 2])
+def test_sums_equal_weighted_rows(spark, monkeypatch, held):
+    """The sums used to take a row for each row and replicate through Spark's aggregation."""
+    monkeypatch.setattr(rowboot, "HELD", held)
+    rows = [(i, None if i % 7 == 0 else f"s{i % 3}", i % 2, i * 0.25) for i in range(60)] + [(99, "alone", 1, 5.0)]
+    df = spark.createDataFrame(rows, "i long, z string, t int, y double")
+    want = rowboot.weighted_rows(df, ["i"], 6).groupBy("z", "t", "rep").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("s"))
+    got = rowboot.weighted_sums(df, ["i"], 6, ["z", "t"], {"s": F.col("y")})
+    as_set = lambda d: {(r["z"], r["t"], r["rep"], float(r["n"]), r["s"]) for r in d.collect()}
+    assert as_set(got) == as_set(want) and got.columns == want.columns
+    assert rowboot.weighted_sums(df.filter("i < 0"), ["i"], 6, [], {"s": F.col("y")}).count() == 0
+
+
 def test_errors_of_mediation(spark):
     rng = np.random.default_rng(5)
     t = (rng.random(2000) < 0.5).astype(float)
