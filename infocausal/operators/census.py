@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from infocausal.scratch import drop_unread, free_shuffles, materialize, tables
+from infocausal.scratch import drop_unread, free_shuffles, materialize, tables, tasks_for
 
 
 def dyads(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -26,29 +27,49 @@ def _turned(d):
 WORDS = 4
 
 
-def triangles(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def _place(v: Column) -> tuple[Column, Column]:
+    """The word and the bit of a node in a filter."""
+    place = F.pmod(F.xxhash64(v), F.lit(64 * WORDS)).cast("int")
+    return F.floor(place / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), place % 64)
+
+
+#: A node with over so many times the mean number of links is placed by it; the others are few enough to be placed by name.
+HEAVY = 4
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    """v, k: the nodes and their numbers of rows."""
+    return links.select(F.explode(F.array(*links.columns[:2])).alias("v")).groupBy("v").agg(F.count("*").alias("k"))
+
+
+def triangles(pairs: DataFrame, by: tuple[str, ...] = (), ends: DataFrame | None = None) -> DataFrame:
     """by, a, b, c, ab, bc, ac (each dyad as seen from its first node) of all linked triples.
 
-    Pairs are led from the end with fewer links, so hubs are not joined with themselves. Two links of a
-    node are kept only where the filter of the first end, which its link carries, has the second; so what
-    is shuffled to be looked up follows the links and the triangles, not the open pairs of links.
+    pairs may have a mutual link as one row (3) or two (1 and 2). They are led from the end with fewer links (those of
+    `ends`: v, k; any order gives the same triples), so a hub's own list is short. A node's list goes to each node on it,
+    less what comes before that one. There the node's filter is asked for the others first, and its own list then; what
+    is shuffled follows the lists, and open pairs of links are never written.
     """
-    by = list(by)
-    ends = pairs.select(*by, F.explode(F.array("a", "b")).alias("v")).groupBy(*by, "v").agg(F.count("*").alias("k"))
-    one = pairs.join(ends.select(*by, F.col("v").alias("a"), F.col("k").alias("ka")), [*by, "a"]).join(ends.select(*by, F.col("v").alias("b"), F.col("k").alias("kb")), [*by, "b"])
+    by, spark = list(by), pairs.sparkSession
+    ends = materialize(_ends(pairs.select("a", "b")) if ends is None else ends, "ends")
+    heavy = materialize(ends.filter(F.col("k") > HEAVY * (ends.agg(F.avg("k")).first()[0] or 0.0)), "heavy")
+    one = pairs.join(heavy.select(F.col("v").alias("a"), F.col("k").alias("ka")), "a", "left").join(heavy.select(F.col("v").alias("b"), F.col("k").alias("kb")), "b", "left").na.fill(0, ["ka", "kb"])
     small = (F.col("ka") < F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")))
     turn = lambda x, y: F.when(small, x).otherwise(y)
-    led = materialize(one.select(*by, turn(F.col("a"), F.col("b")).alias("u"), turn(F.col("b"), F.col("a")).alias("v"), turn(F.col("d"), _turned(F.col("d"))).alias("d"), turn(F.col("kb"), F.col("ka")).alias("k")), "led")
-    place = F.pmod(F.xxhash64("v"), F.lit(64 * WORDS)).cast("int")
-    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(v), {64 * WORDS}) % 64 as int))")
-    word = F.floor(place / 64).cast("int")
-    leads = led.groupBy(*by, "u").agg(F.array(*[F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")) for i in range(WORDS)]).alias("m")).withColumnRenamed("u", "x")
-    p = led.select(*by, "u", F.col("v").alias("x"), F.col("d").alias("ux"), F.col("k").alias("kx")).join(leads, [*by, "x"])
-    q = led.select(*by, "u", F.col("v").alias("y"), F.col("d").alias("uy"), F.col("k").alias("ky"), word.alias("word"), bit.alias("bit"))
-    w = p.join(q, [*by, "u"]).filter((F.col("kx") < F.col("ky")) | ((F.col("kx") == F.col("ky")) & (F.col("x") < F.col("y"))))
-    w = w.filter(F.get("m", F.col("word")).bitwiseAND(F.col("bit")) != 0).select(*by, "u", "x", "y", "ux", "uy")
-    t = w.join(led.select(*by, F.col("u").alias("x"), F.col("v").alias("y"), F.col("d").alias("xy")), [*by, "x", "y"])
-    return t.select(*by, F.col("u").alias("a"), F.col("x").alias("b"), F.col("y").alias("c"), F.col("ux").alias("ab"), F.col("xy").alias("bc"), F.col("uy").alias("ac"))
+    led = one.select(*by, turn(F.col("a"), F.col("b")).alias("u"), turn(F.col("b"), F.col("a")).alias("v"), turn(F.col("d"), _turned(F.col("d"))).cast("byte").alias("d"), turn(F.col("kb"), F.col("ka")).alias("k"))
+    led = led.repartition(tasks_for(spark, pairs.count()), *by, "u").groupBy(*by, "u", "v").agg(F.bit_or("d").alias("d"), F.max("k").alias("k"))
+    word, bit = _place(F.col("v"))
+    leads = F.array(*[F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")) for i in range(WORDS)])
+    led = led.groupBy(*by, "u").agg(F.sort_array(F.collect_list(F.struct("k", "v", "d"))).alias("l"), leads.alias("m"))
+    led = materialize(led.select(*by, "u", F.col("l.v").alias("vs"), F.col("l.d").alias("ds"), "m"), "led")
+    rest = lambda c: F.slice(c, F.col("i") + 2, F.size(c))
+    sent = led.select(*by, "u", "vs", "ds", F.posexplode("vs").alias("i", "x")).filter(F.col("i") + 1 < F.size("vs"))
+    sent = sent.select(*by, "u", "x", F.get("ds", F.col("i")).alias("ux"), rest("vs").alias("ys"), rest("ds").alias("us"))
+    met = sent.join(led.select(*by, F.col("u").alias("x"), "vs", "ds", "m").hint("shuffle_hash"), [*by, "x"]).select("*", F.posexplode("ys").alias("j", "y"))
+    word, bit = _place(F.col("y"))
+    at = F.array_position("vs", F.col("y"))
+    t = met.filter((F.get("m", word).bitwiseAND(bit) != 0) & (at > 0))
+    return t.select(*by, F.col("u").alias("a"), F.col("x").alias("b"), F.col("y").alias("c"), F.col("ux").cast("int").alias("ab"), F.get("ds", (at - 1).cast("int")).cast("int").alias("bc"), F.get("us", F.col("j")).cast("int").alias("ac"))
 
 
 def _closed_kind():
@@ -95,9 +116,14 @@ def triad_census(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return edges.sparkSession.createDataFrame(sorted((k, int(n)) for k, n in found.items()), "kind string, n long")
 
 
-def _unit(*of) -> Column:
-    """A number from 0 to 1 that a hash of the columns decides."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in of])), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+def _digits(of: Column, tag: str) -> Column:
+    """Eight hexadecimal digits that a hash of the text decides; as text they have the order of their numbers."""
+    return F.substring(F.md5(F.concat(of, F.lit(f"|{tag}"))), 1, 8)
+
+
+def _unit(digits: Column) -> Column:
+    """From 0 to 1."""
+    return F.conv(digits, 16, 10).cast("long") / F.lit(4294967296.0)
 
 
 def rewired(edges: DataFrame, replicates: int, rounds: int, seed: int = 1) -> DataFrame:
@@ -105,46 +131,61 @@ def rewired(edges: DataFrame, replicates: int, rounds: int, seed: int = 1) -> Da
 
     In a round edges meet by chance in small boxes, and the two with the smallest numbers of a box
     swap their ends if that makes no loop, no edge that is there, and none that another swap makes.
+    An edge keeps its start, so a round deals the edges to boxes once, and once more what is there
+    and what would be made by both ends; the few boxes whose swaps clash are then joined to the edges.
     """
-    base = edges.filter("src != dst").select("src", "dst").distinct()
-    boxes = max(base.count() // 3, 1)
-    g = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     own = len(tables)
+    g = _rewired(materialize(edges.filter("src != dst").select("src", "dst").distinct(), "edges"), replicates, rounds, seed)
+    _keep_only(g, own)
+    return g
 
-    def keep_only(last: DataFrame) -> None:
-        """A round's tables and shuffles go when the next one is written."""
-        made = tables[own:]
-        drop_unread(last.sparkSession, made, [last])
-        tables[own:] = made
-        free_shuffles(last.sparkSession)
 
+def _keep_only(last: DataFrame, own: int, *others: DataFrame) -> None:
+    """Of the tables made since there were `own`, only those that are read stay; the shuffles of the others' plans go as well."""
+    made = tables[own:]
+    drop_unread(last.sparkSession, made, [last, *others])
+    tables[own:] = made
+    free_shuffles(last.sparkSession)
+
+
+def _rewired(base: DataFrame, replicates: int, rounds: int, seed: int) -> DataFrame:
+    spark, own, size = base.sparkSession, len(tables), base.count()
+    boxes, n = max(size // 3, 1), tasks_for(base.sparkSession, size * replicates)
+    g = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    rep = F.expr(f"cast(box div {boxes} as int)").alias("rep")
+    w = Window.partitionBy("box").orderBy("u", "src", "dst")
     for i in range(rounds):
-        key = [F.lit(seed), F.lit(i), F.col("rep"), F.col("src"), F.col("dst")]
-        g = materialize(g.withColumn("_box", F.floor(_unit(*key, F.lit("box")) * boxes)).withColumn("_u", _unit(*key, F.lit("order"))), "boxed")
-        keep_only(g)
-        met = g.groupBy("rep", "_box").agg(F.count("*").alias("_n"), F.min(F.struct("_u", "src", "dst")).alias("one"))
-        two = g.join(met.filter("_n > 1"), ["rep", "_box"]).filter((F.col("src") != F.col("one.src")) | (F.col("dst") != F.col("one.dst")))
-        two = two.groupBy("rep", "_box").agg(F.min("one").alias("one"), F.min(F.struct("_u", "src", "dst")).alias("two"))
-        swap = two.select("rep", "_box", *[F.col(f"{e}.{s}").alias(f"{e}_{s}") for e in ("one", "two") for s in ("src", "dst")])
-        swap = materialize(swap.filter("one_src != two_dst and two_src != one_dst and one_src != two_src and one_dst != two_dst"), "swaps")
-        made = swap.select("rep", "_box", F.explode(F.array(F.struct(F.col("one_src").alias("src"), F.col("two_dst").alias("dst")), F.struct(F.col("two_src").alias("src"), F.col("one_dst").alias("dst")))).alias("e")).select("rep", "_box", "e.*")
-        twice = made.groupBy("rep", "src", "dst").agg(F.count("*").alias("n"), F.min("_box").alias("_first"))
-        there = made.join(g.select("rep", "src", "dst"), ["rep", "src", "dst"])
-        bad = there.select("rep", "_box").unionByName(made.join(twice.filter("n > 1"), ["rep", "src", "dst"]).select("rep", "_box")).distinct()
-        good = materialize(swap.join(bad, ["rep", "_box"], "left_anti"), "good")
-        gone = good.select("rep", F.explode(F.array(*[F.struct(F.col(f"{e}_src").alias("src"), F.col(f"{e}_dst").alias("dst")) for e in ("one", "two")])).alias("e")).select("rep", "e.*")
-        new = good.select("rep", F.explode(F.array(F.struct(F.col("one_src").alias("src"), F.col("two_dst").alias("dst")), F.struct(F.col("two_src").alias("src"), F.col("one_dst").alias("dst")))).alias("e")).select("rep", "e.*")
-        g = g.select("rep", "src", "dst").join(gone, ["rep", "src", "dst"], "left_anti").unionByName(new)
+        key = F.concat_ws("|", *[c.cast("string") for c in (F.lit(seed), F.lit(i), F.col("rep"), F.col("src"), F.col("dst"))])
+        # A box's number has the replicate in it.
+        box = F.col("rep") * F.lit(boxes).cast("long") + F.floor(_unit(_digits(key, "box")) * boxes)
+        met = g.select(box.alias("box"), _digits(key, "order").alias("u"), "src", "dst").repartition(n, "box")
+        met = met.select("box", "src", "dst", F.row_number().over(w).alias("k"), *[f(c).over(w).alias(f"{t}_{c}") for t, f in (("next", F.lead), ("last", F.lag)) for c in ("src", "dst")])
+        other = {c: F.when(F.col("k") == 1, F.col(f"next_{c}")).when(F.col("k") == 2, F.col(f"last_{c}")) for c in ("src", "dst")}
+        may = (F.col("src") != other["dst"]) & (F.col("dst") != other["src"]) & (F.col("src") != other["src"]) & (F.col("dst") != other["dst"])
+        boxed = materialize(met.select("box", "src", "dst", F.when(may, other["dst"]).alias("new")), "boxed")
+        _keep_only(boxed, own)
+        made = boxed.filter("new is not null").select("box", rep, "src", F.col("new").alias("dst"), F.lit(1).alias("made"))
+        ends = boxed.select("box", rep, "src", "dst", F.lit(0).alias("made")).unionByName(made).withColumn("h", F.xxhash64("rep", "src", "dst"))
+        clash = lambda of, *by: of.groupBy(*by).agg(F.sum("made").alias("m"), F.count("*").alias("n")).filter("m > 0 and n > 1").select(*by)
+        # Only the ends of like hash, some of the true ones at most times, are compared.
+        like = materialize(clash(ends.select("h", "made").repartition(n, "h"), "h"), "like")
+        like = materialize(ends.join(like, "h", "left_semi"), "like")
+        key = ["rep", "src", "dst"]
+        bad = materialize(like.filter("made = 1").join(clash(like, *key), key, "left_semi").select("box").distinct(), "bad")
+        g = boxed.join(bad.withColumn("bad", F.lit(True)), "box", "left").select(rep, "src", F.when(F.col("bad").isNull(), F.col("new")).alias("new"), "dst").select("rep", "src", F.coalesce("new", "dst").alias("dst"))
     g = materialize(g.select("rep", "src", "dst"), "rewired")
-    keep_only(g)
+    _keep_only(g, own)
     return g
 
 
 def motif_scores(edges: DataFrame, replicates: int = 10, rounds: int = 10, seed: int = 1) -> DataFrame:
     """kind, n, mean, sd, z of the linked triples by class, against graphs with the same degrees."""
     by = ("rep",)
-    own = edges.select(F.lit(-1).alias("rep"), "src", "dst").unionByName(rewired(edges, replicates, rounds, seed).select(F.col("rep").cast("int").alias("rep"), "src", "dst"))
-    counts = triangles(materialize(dyads(own, by), "dyads"), by).withColumn("kind", _closed_kind()).groupBy("rep", "kind").agg(F.count("*").alias("n"))
+    base = materialize(edges.filter("src != dst").select("src", "dst").distinct(), "edges")
+    own = base.select(F.lit(-1).alias("rep"), "src", "dst").unionByName(_rewired(base, replicates, rounds, seed).select(F.col("rep").cast("int").alias("rep"), "src", "dst"))
+    pairs = own.select("rep", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.when(F.col("src") < F.col("dst"), 1).otherwise(2).alias("d"))
+    # Degrees are the same in all the graphs.
+    counts = triangles(pairs, by, _ends(base)).withColumn("kind", _closed_kind()).groupBy("rep", "kind").agg(F.count("*").alias("n"))
     c, zero = F.col("n"), F.col("rep") < 0
     s = counts.groupBy("kind").agg(
         F.coalesce(F.sum(F.when(zero, c)), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(~zero, c)), F.lit(0)).alias("s1"), F.coalesce(F.sum(F.when(~zero, c * c)), F.lit(0)).alias("s2"))
